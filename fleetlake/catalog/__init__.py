@@ -13,5 +13,6 @@ from fleetlake.catalog.registry import ORACLES, QUERIES
 # Importing the modules fills the registry.
 from fleetlake.catalog import analytics as _analytics  # noqa: F401,E402
 from fleetlake.catalog import listing as _listing  # noqa: F401,E402
+from fleetlake.catalog import parsing as _parsing  # noqa: F401,E402
 
 __all__ = ["ORACLES", "QUERIES"]

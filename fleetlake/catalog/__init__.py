@@ -14,5 +14,8 @@ from fleetlake.catalog.registry import ORACLES, QUERIES
 from fleetlake.catalog import analytics as _analytics  # noqa: F401,E402
 from fleetlake.catalog import listing as _listing  # noqa: F401,E402
 from fleetlake.catalog import parsing as _parsing  # noqa: F401,E402
+from fleetlake.catalog import identity as _identity  # noqa: F401,E402
+from fleetlake.catalog import quality as _quality  # noqa: F401,E402
+from fleetlake.catalog import exports as _exports  # noqa: F401,E402
 
 __all__ = ["ORACLES", "QUERIES"]

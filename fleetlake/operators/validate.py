@@ -12,16 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlake.functions.timestamps import parse_iso_timestamp
-from fleetlake.functions.tokens import (
-    is_blank,
-    is_null_token,
-    nullable_float,
-    nullable_string,
-    required_float,
-    required_float_reason,
-)
-from fleetlake.schema import REQUIRED_COLUMNS, VEHICLE_ID_MAX_LENGTH
+from fleetlake.functions.timestamps import ISO_TIMESTAMP_PATTERN
+from fleetlake.functions.tokens import is_number_text, strip
+from fleetlake.schema import NULL_TOKENS, REQUIRED_COLUMNS, VEHICLE_ID_MAX_LENGTH
 
 TYPED_COLUMNS = ("vehicle_id", "timestamp", "speed", "odometer", "soc", "elevation", "shift_state")
 
@@ -30,55 +23,104 @@ def _reason(cond: Column, text: str) -> Column:
     return F.when(cond, F.lit(text))
 
 
-def reject_reasons(raw: DataFrame) -> Column:
-    """Every broken rule of the contract, in column order.
+def _number(text: Column) -> Column:
+    return F.when(is_number_text(text), F.regexp_replace(text, "_", "").try_cast("double"))
+
+
+def _token(text: Column) -> Column:
+    return text.isNull() | F.upper(text).isin(*NULL_TOKENS)
+
+
+def _blank(text: Column) -> Column:
+    return text.isNull() | (text == F.lit(""))
+
+
+def validate(raw: DataFrame) -> DataFrame:
+    """typed record + ``reject_reasons`` (+ the raw text as ``raw_*``).
+
+    Three projections, each reading the previous one's columns: stripped
+    text → per-cell facts (parsed number, blank, token) → typed values and
+    reasons. Every regex and cast runs once per cell, and Catalyst keeps
+    the steps apart because the facts are used several times.
 
     Reasons: ``missing_columns:<sorted list>``, ``vehicle_id_empty``,
     ``vehicle_id_too_long``, ``timestamp_empty``, ``timestamp_invalid``,
     ``speed_not_numeric``, ``<odometer|soc|elevation>_empty``,
     ``<…>_not_numeric``, ``odometer_negative``, ``soc_out_of_range``,
-    ``shift_state_too_long``.
+    ``shift_state_too_long``. A column the header lacks is reported once,
+    as missing, not again per row.
     """
-    vid = F.col("vehicle_id")
-    ts_raw, speed_raw = F.col("timestamp"), F.col("speed")
-    odo, soc = required_float("odometer"), required_float("soc")
-    shift = nullable_string("shift_state")
-    missing = F.col("missing_columns") if "missing_columns" in raw.columns else F.lit(None)
-    checks = [
-        F.when(F.size(missing) > 0, F.concat(F.lit("missing_columns:"), F.array_join(missing, ","))),
-        _reason(vid.isNull() | (F.length(vid) == 0), "vehicle_id_empty"),
-        _reason(F.length(vid) > VEHICLE_ID_MAX_LENGTH, "vehicle_id_too_long"),
-        _reason(is_blank(ts_raw), "timestamp_empty"),
-        _reason(~is_blank(ts_raw) & parse_iso_timestamp(ts_raw).isNull(), "timestamp_invalid"),
-        _reason(~is_null_token(speed_raw) & nullable_float(speed_raw).isNull(), "speed_not_numeric"),
-        required_float_reason("odometer", "odometer"),
-        # NaN compares greater than every number in Spark, so test it explicitly.
-        _reason(odo.isNotNull() & (F.isnan(odo) | (odo < 0)), "odometer_negative"),
-        required_float_reason("soc", "soc"),
-        _reason(soc.isNotNull() & (F.isnan(soc) | (soc < 0) | (soc > 100)), "soc_out_of_range"),
-        required_float_reason("elevation", "elevation"),
-        _reason(F.length(shift) > 1, "shift_state_too_long"),
-    ]
-    return F.array_compact(F.array(*checks))
-
-
-def validate(raw: DataFrame) -> DataFrame:
-    """typed record + ``reject_reasons`` (+ the raw text as ``raw_*``)."""
-    typed = [
-        F.col("vehicle_id"),
-        parse_iso_timestamp("timestamp").alias("timestamp"),
-        nullable_float("speed").alias("speed"),
-        required_float("odometer").alias("odometer"),
-        required_float("soc").alias("soc"),
-        required_float("elevation").alias("elevation"),
-        F.upper(nullable_string("shift_state")).alias("shift_state"),
-    ]
     keep = [c for c in raw.columns if c not in REQUIRED_COLUMNS + ("vehicle_id", "missing_columns")]
-    return raw.select(
+    missing = (
+        F.col("missing_columns") if "missing_columns" in raw.columns else F.lit(None).cast("array<string>")
+    )
+    text = raw.select(
         *keep,
-        *typed,
+        "vehicle_id",
+        missing.alias("_missing"),
         *[F.col(c).alias(f"raw_{c}") for c in REQUIRED_COLUMNS],
-        reject_reasons(raw).alias("reject_reasons"),
+        *[strip(c).alias(f"_t_{c}") for c in REQUIRED_COLUMNS],
+    )
+    t = {c: F.col(f"_t_{c}") for c in REQUIRED_COLUMNS}
+    facts = text.select(
+        *keep,
+        "vehicle_id",
+        "_missing",
+        *[f"raw_{c}" for c in REQUIRED_COLUMNS],
+        _blank(t["timestamp"]).alias("_ts_blank"),
+        F.when(
+            t["timestamp"].rlike(ISO_TIMESTAMP_PATTERN),
+            F.regexp_replace(t["timestamp"], ",", ".").try_cast("timestamp"),
+        ).alias("_ts"),
+        _token(t["speed"]).alias("_speed_token"),
+        _number(t["speed"]).alias("_speed"),
+        *[_blank(t[c]).alias(f"_{c}_blank") for c in ("odometer", "soc", "elevation")],
+        *[_number(t[c]).alias(f"_{c}") for c in ("odometer", "soc", "elevation")],
+        F.when(~_token(t["shift_state"]), t["shift_state"]).alias("_shift"),
+    )
+    vid, miss = F.col("vehicle_id"), F.col("_missing")
+
+    def present(name: str) -> Column:
+        return F.coalesce(~F.array_contains(miss, F.lit(name)), F.lit(True))
+
+    def required(name: str) -> Column:
+        return F.when(~F.col(f"_{name}_blank"), F.col(f"_{name}"))
+
+    def required_reason(name: str) -> Column:
+        return F.when(present(name) & F.col(f"_{name}_blank"), F.lit(f"{name}_empty")).when(
+            ~F.col(f"_{name}_blank") & F.col(f"_{name}").isNull(), F.lit(f"{name}_not_numeric")
+        )
+
+    odo, soc = required("odometer"), required("soc")
+    speed = F.when(~F.col("_speed_token"), F.col("_speed"))
+    reasons = F.array_compact(
+        F.array(
+            F.when(F.size(miss) > 0, F.concat(F.lit("missing_columns:"), F.array_join(miss, ","))),
+            _reason(vid.isNull() | (F.length(vid) == 0), "vehicle_id_empty"),
+            _reason(F.length(vid) > VEHICLE_ID_MAX_LENGTH, "vehicle_id_too_long"),
+            _reason(present("timestamp") & F.col("_ts_blank"), "timestamp_empty"),
+            _reason(~F.col("_ts_blank") & F.col("_ts").isNull(), "timestamp_invalid"),
+            _reason(~F.col("_speed_token") & F.col("_speed").isNull(), "speed_not_numeric"),
+            required_reason("odometer"),
+            # NaN compares greater than every number in Spark, so test it explicitly.
+            _reason(odo.isNotNull() & (F.isnan(odo) | (odo < 0)), "odometer_negative"),
+            required_reason("soc"),
+            _reason(soc.isNotNull() & (F.isnan(soc) | (soc < 0) | (soc > 100)), "soc_out_of_range"),
+            required_reason("elevation"),
+            _reason(F.length("_shift") > 1, "shift_state_too_long"),
+        )
+    )
+    return facts.select(
+        *keep,
+        "vehicle_id",
+        F.col("_ts").alias("timestamp"),
+        speed.alias("speed"),
+        odo.alias("odometer"),
+        soc.alias("soc"),
+        required("elevation").alias("elevation"),
+        F.upper("_shift").alias("shift_state"),
+        *[f"raw_{c}" for c in REQUIRED_COLUMNS],
+        reasons.alias("reject_reasons"),
     )
 
 
@@ -148,7 +190,6 @@ __all__ = [
     "first_invalid_row",
     "is_valid",
     "out_of_range",
-    "reject_reasons",
     "rejected_rows",
     "strict_files",
     "valid_rows",

@@ -7,7 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlake.session import ensure_conf
-from fleetlake.sources.lines import ParsedLines, list_input_files, parse_lines, scan_lines
+from fleetlake.sources.lines import (
+    ParsedLines,
+    list_input_files,
+    parse_lines,
+    path_key,
+    path_key_text,
+    scan_lines,
+)
 
 
 def read_csv_directory(
@@ -44,6 +51,24 @@ def read_csv_file(spark: SparkSession, path: str, vehicle_id: str, cache: bool =
     return parse_lines(scan_lines(spark, files), vehicle_id=vehicle_id, cache=cache)
 
 
+def read_uploads(spark: SparkSession, uploads: list[tuple[str, str]], cache: bool = False) -> ParsedLines:
+    """S3 for many uploads at once: each ``(path, vehicle_id)`` pair is one
+    file with its caller-given id (one scan, one job, instead of one per file).
+    The id lookup is a literal map keyed by path — its size is the upload list."""
+    ensure_conf(spark)
+    if not uploads:
+        raise ValueError("no uploads given")
+    for path, vehicle_id in uploads:
+        if not vehicle_id:
+            raise ValueError("vehicle_id must not be empty")
+        if not path or not path.lower().endswith(".csv"):
+            raise ValueError("A CSV file is required")
+    files = list_input_files(spark, [p for p, _ in uploads], glob=None)
+    lookup = F.create_map(*[x for p, vid in uploads for x in (F.lit(path_key_text(p)), F.lit(vid))])
+    vid = F.try_element_at(lookup, path_key(F.col("file_path")))
+    return parse_lines(scan_lines(spark, files), vehicle_id=vid, cache=cache)
+
+
 def header_contract(parsed: ParsedLines) -> DataFrame:
     """Per file, its header, the missing contract columns (sorted) and
     whether the file may load. Judged from the header itself, so a file

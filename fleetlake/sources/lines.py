@@ -134,6 +134,7 @@ def _csv_struct(text: Column, width: int) -> Column:
 
 
 def _cells(text: Column, width: int) -> Column:
+    """Cells as an array (for small inputs such as headers)."""
     parsed = _csv_struct(text, width)
     return F.array(*[parsed[f"c{i}"] for i in range(width)])
 
@@ -147,11 +148,12 @@ def _position(header: Column, name: str) -> Column:
 
 def parse_lines(
     lines: DataFrame,
-    vehicle_id: str | None = None,
+    vehicle_id: str | Column | None = None,
     cache: bool = False,
     broadcast_bytes: int = SPLIT_TABLE_BROADCAST_BYTES,
 ) -> ParsedLines:
-    """Steps 2–4. ``vehicle_id`` overrides the id taken from the file name.
+    """Steps 2–4. ``vehicle_id`` (text, or a Column over ``file_path``)
+    overrides the id taken from the file name.
 
     Runs one small job over the split table (its width and size). With
     ``cache=True`` the lines are persisted so the text is read once (right
@@ -182,25 +184,34 @@ def parse_lines(
         header.alias("header"),
     )
     join_side = F.broadcast(split_info) if est_bytes <= broadcast_bytes else split_info
-    joined = lines.join(join_side, ["file_path", "block_start"], "inner")
+    # Parse each line once, before the join: the join keeps Catalyst from
+    # inlining the parser into every later use of a cell.
+    parsed_lines = lines.withColumn("_csv", _csv_struct(F.col("value"), width)).select(
+        "file_path", "block_start", "line_id", F.array(*[F.col(f"_csv.c{i}") for i in range(width)]).alias("cells")
+    )
+    joined = parsed_lines.join(join_side, ["file_path", "block_start"], "inner")
     row_number = F.col("line_id") - F.col("first_line_id") + F.col("line_offset") + F.lit(1)
     with_rn = joined.select(
         "file_path",
-        "value",
+        "cells",
         "header",
         row_number.alias("row_number"),
         # Total order of lines inside a file without extra work: split start, then line id.
         F.struct("block_start", "line_id").alias("order_key"),
     ).filter(F.col("row_number") > F.lit(1))
 
-    cells = _cells(F.col("value"), width)
     required = F.array(*[F.lit(c) for c in REQUIRED_COLUMNS])
     bound = [
-        F.when(_position(F.col("header"), name) > 0, F.get(F.col("cells"), _position(F.col("header"), name) - 1)).alias(name)
+        F.get(F.col("cells"), _position(F.col("header"), name) - F.lit(1)).alias(name)
         for name in REQUIRED_COLUMNS
     ]
-    vid = F.lit(vehicle_id) if vehicle_id is not None else vehicle_id_from_path(F.col("file_path"))
-    records = with_rn.withColumn("cells", cells).select(
+    if vehicle_id is None:
+        vid = vehicle_id_from_path(F.col("file_path"))
+    elif isinstance(vehicle_id, str):
+        vid = F.lit(vehicle_id)
+    else:
+        vid = vehicle_id
+    records = with_rn.select(
         F.col("file_path").alias("source_file"),
         "row_number",
         "order_key",
@@ -216,3 +227,16 @@ def parse_lines(
         (F.col("file_lines") - F.lit(1)).alias("data_rows"),
     ).withColumn("missing_columns", F.array_sort(F.array_except(required, F.col("header"))))
     return ParsedLines(records=records, files=files, width=width, _cached=tuple(cached))
+
+
+def path_key(path: Column) -> Column:
+    """``file_path`` as ``host/path`` without scheme, URI-decoded, to match
+    :func:`path_key_text` of a caller's path."""
+    decoded = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(decoded, r"^[a-zA-Z][a-zA-Z0-9+.-]*:/*", "")
+
+
+def path_key_text(path: str) -> str:
+    parts = urlsplit(path)
+    key = f"{parts.netloc}{parts.path}" if parts.scheme else path
+    return key.lstrip("/")

@@ -146,7 +146,9 @@ def ingest_parsed(
             files_rejected=int(totals[4] or 0),
         )
     finally:
-        for df in helpers:
+        # Newest first: dropping a cache that others were built on makes
+        # Spark re-plan every dependent cache.
+        for df in reversed(helpers):
             df.unpersist()
         parsed.release()
 

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from fleetlake.session import ensure_conf
 from fleetlake.sources.lines import (
     ParsedLines,
-    list_input_files,
     parse_lines,
     path_key,
     path_key_text,
     scan_lines,
+    text_source,
 )
 
 
@@ -28,15 +28,16 @@ def read_csv_directory(
     ensure_conf(spark)
     paths = [directory] if isinstance(directory, str) else list(directory)
     try:
-        files = list_input_files(spark, paths, recursive=recursive)
+        source = text_source(spark, paths, recursive=recursive)
+        has_files = len(source.inputFiles()) > 0
     except Exception as exc:
         if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc):
-            files = []
+            has_files = False
         else:
             raise
-    if not files:
+    if not has_files:
         raise ValueError(f"No CSV files found in {', '.join(paths)}")
-    return parse_lines(scan_lines(spark, files), cache=cache)
+    return parse_lines(scan_lines(spark, source), cache=cache)
 
 
 def read_csv_file(spark: SparkSession, path: str, vehicle_id: str, cache: bool = False) -> ParsedLines:
@@ -47,8 +48,8 @@ def read_csv_file(spark: SparkSession, path: str, vehicle_id: str, cache: bool =
         raise ValueError("vehicle_id must not be empty")
     if not path or not path.lower().endswith(".csv"):
         raise ValueError("A CSV file is required")
-    files = list_input_files(spark, [path], glob=None)
-    return parse_lines(scan_lines(spark, files), vehicle_id=vehicle_id, cache=cache)
+    source = text_source(spark, [path], glob=None)
+    return parse_lines(scan_lines(spark, source), vehicle_id=vehicle_id, cache=cache)
 
 
 def read_uploads(spark: SparkSession, uploads: list[tuple[str, str]], cache: bool = False) -> ParsedLines:
@@ -63,10 +64,10 @@ def read_uploads(spark: SparkSession, uploads: list[tuple[str, str]], cache: boo
             raise ValueError("vehicle_id must not be empty")
         if not path or not path.lower().endswith(".csv"):
             raise ValueError("A CSV file is required")
-    files = list_input_files(spark, [p for p, _ in uploads], glob=None)
+    source = text_source(spark, [p for p, _ in uploads], glob=None)
     lookup = F.create_map(*[x for p, vid in uploads for x in (F.lit(path_key_text(p)), F.lit(vid))])
     vid = F.try_element_at(lookup, path_key(F.col("file_path")))
-    return parse_lines(scan_lines(spark, files), vehicle_id=vid, cache=cache)
+    return parse_lines(scan_lines(spark, source), vehicle_id=vid, cache=cache)
 
 
 def header_contract(parsed: ParsedLines) -> DataFrame:

@@ -59,7 +59,7 @@ class ParsedLines:
     _cached: tuple[DataFrame, ...] = ()
 
     def release(self) -> None:
-        for df in self._cached:
+        for df in reversed(self._cached):
             df.unpersist()
 
 
@@ -87,9 +87,21 @@ def _as_load_path(uri: str) -> str:
     return f"{parts.scheme}://{parts.netloc}{path}" if parts.scheme else path
 
 
-def scan_lines(spark: SparkSession, files: list[str]) -> DataFrame:
+def text_source(spark: SparkSession, paths: list[str], recursive: bool = False, glob: str | None = "*.csv") -> DataFrame:
+    """The text scan over files or folders. Its file listing is taken once,
+    when this DataFrame is created, and every job built on it reads exactly
+    those files, even if more arrive meanwhile."""
+    reader = spark.read.format("text")
+    if recursive:
+        reader = reader.option("recursiveFileLookup", "true")
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    return reader.load(paths)
+
+
+def scan_lines(spark: SparkSession, files: list[str] | DataFrame) -> DataFrame:
     """Step 1: non-blank lines with file, split and a per-split running id."""
-    raw = spark.read.format("text").load(files)
+    raw = files if isinstance(files, DataFrame) else spark.read.format("text").load(files)
     return (
         raw.select(
             "value",

@@ -19,7 +19,6 @@ from fleetlake.operators import validate as v
 from fleetlake.plans.ingest import apply_mode, ingest_parsed
 from fleetlake.session import scratch_path
 from fleetlake.sinks import table as sink
-from fleetlake.sinks.files import CSV_WRITE_OPTIONS
 from fleetlake.sources.csv_files import header_contract as header_contract_of
 from fleetlake.sources.csv_files import read_csv_directory, read_uploads
 from fleetlake.sources.tables import driver_table, driver_telemetry
@@ -40,31 +39,57 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
 
+def csv_cell(c: F.Column) -> F.Column:
+    """One CSV field: quoted when it holds a comma, quote or line break; NULL → empty."""
+    quoted = F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.coalesce(F.when(c.rlike('[",\r\n]'), quoted).otherwise(c), F.lit(""))
+
+
 def write_csv_tree(spark: SparkSession, sf_dir: str) -> str:
-    """Write the derived CSV files; returns the folder holding ``<date>/``."""
+    """Write the derived CSV files in one job; returns the folder holding ``<date>/``.
+
+    Every line (a header line per file, then its rows in ``event_id`` order)
+    is built as text, so the three header layouts go out in a single
+    partitioned write. Rows are hash-partitioned by file; a file is one
+    vehicle's day, so no task holds more than that."""
     base = scratch_path(spark, "csv-tree")
     stage, dest = f"{base}/stage", f"{base}/files"
     raw = raw_records(driver_table(spark, sf_dir, "events")).withColumn("note", F.lit("x"))
     vnum = F.substring("vehicle_id", 5, 4).cast("int")
+    line, header = None, None
     for vehicles, columns in LAYOUTS:
-        part = raw.filter(vnum.isin(list(vehicles)))
-        (
-            part.repartition("file_date", "vehicle_id")
-            .sortWithinPartitions("file_date", "vehicle_id", "id")
-            .select("file_date", "vehicle_id", *columns)
-            .write.mode("append")
-            .partitionBy("file_date", "vehicle_id")
-            .options(**CSV_WRITE_OPTIONS)
-            .csv(stage)
+        in_layout = vnum.isin(list(vehicles))
+        text = F.concat_ws(",", *[csv_cell(F.col(c)) for c in columns])
+        line = F.when(in_layout, text) if line is None else line.when(in_layout, text)
+        header = F.when(in_layout, F.lit(",".join(columns))) if header is None else header.when(
+            in_layout, F.lit(",".join(columns))
         )
+    rows = raw.select("file_date", "vehicle_id", F.col("id").alias("_order"), line.alias("value"))
+    headers = (
+        raw.select("file_date", "vehicle_id").distinct()
+        .select("file_date", "vehicle_id", F.lit(-1).cast("long").alias("_order"), header.alias("value"))
+    )
+    (
+        rows.unionByName(headers)
+        .repartition("file_date", "vehicle_id")
+        .sortWithinPartitions("file_date", "vehicle_id", "_order")
+        .select("file_date", "vehicle_id", "value")
+        .write.mode("overwrite")
+        .partitionBy("file_date", "vehicle_id")
+        .text(stage)
+    )
     # One part file per (date, vehicle): rename it to <date>/<vehicle>.csv.
     fs, Path = _fs(spark, stage)
     unescape = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    made: set[str] = set()
     for status in fs.globStatus(Path(f"{stage}/file_date=*/vehicle_id=*/part-*")):
         src = status.getPath()
-        vehicle = unescape(src.getParent().getName().split("=", 1)[1])
-        day = unescape(src.getParent().getParent().getName().split("=", 1)[1])
-        fs.mkdirs(Path(f"{dest}/{day}"))
+        parent = src.getParent()
+        vehicle = unescape(parent.getName().split("=", 1)[1])
+        day = unescape(parent.getParent().getName().split("=", 1)[1])
+        if day not in made:
+            fs.mkdirs(Path(f"{dest}/{day}"))
+            made.add(day)
         if not fs.rename(src, Path(f"{dest}/{day}/{vehicle}.csv")):
             raise RuntimeError(f"could not rename {src}")
     return dest

@@ -40,9 +40,16 @@ def parse_with_patterns(c: Column | str, patterns: tuple[str, ...] = STREAM_TIME
     return F.coalesce(*[F.try_to_timestamp(c, F.lit(p)) for p in patterns])
 
 
+MICROS_PER_HOUR = 3_600_000_000
+
+
 def hour_bucket(c: Column | str) -> Column:
-    """Start of the UTC hour."""
-    return F.date_trunc("hour", _col(c))
+    """Start of the UTC hour.
+
+    Computed on epoch microseconds, so it is a UTC hour whatever the session
+    zone (``date_trunc`` would follow the zone the plan was analysed in)."""
+    micros = F.unix_micros(_col(c))
+    return F.timestamp_micros(micros - F.pmod(micros, F.lit(MICROS_PER_HOUR)))
 
 
 def iso_text(c: Column | str) -> Column:

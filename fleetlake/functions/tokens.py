@@ -42,13 +42,22 @@ def is_number_text(text: Column) -> Column:
     return text.rlike(NUMBER_PATTERN) | text.rlike(SPECIAL_NUMBER_PATTERN)
 
 
-def to_double(c: Column | str) -> Column:
-    """Stripped text → double, NULL when the text is not a number in the grammar.
+def parse_number(text: Column) -> Column:
+    """Already-stripped text → double by the contract's grammar, else NULL.
+
+    ``try_cast`` alone would also take ``1d``, ``1.0f`` and ``0x1p3``, and it
+    rejects ``-nan``; special values are therefore mapped explicitly."""
+    return (
+        F.when(text.rlike(NUMBER_PATTERN), F.regexp_replace(text, "_", "").try_cast("double"))
+        .when(text.rlike(r"(?i)^[+-]?nan$"), F.lit(float("nan")))
+        .when(text.rlike(r"(?i)^-inf(inity)?$"), F.lit(float("-inf")))
+        .when(text.rlike(r"(?i)^\+?inf(inity)?$"), F.lit(float("inf")))
+    )
+
 
-    ``try_cast`` alone would also take ``1d``, ``1.0f`` and ``0x1p3``.
-    """
-    text = strip(_col(c))
-    return F.when(is_number_text(text), F.regexp_replace(text, "_", "").try_cast("double"))
+def to_double(c: Column | str) -> Column:
+    """Text → double after strip, NULL when it is not a number (see ``parse_number``)."""
+    return parse_number(strip(_col(c)))
 
 
 def nullable_float(c: Column | str) -> Column:

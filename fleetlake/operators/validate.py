@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlake.functions.timestamps import ISO_TIMESTAMP_PATTERN
-from fleetlake.functions.tokens import is_number_text, strip
+from fleetlake.functions.tokens import parse_number, strip
 from fleetlake.schema import NULL_TOKENS, REQUIRED_COLUMNS, VEHICLE_ID_MAX_LENGTH
+from fleetlake.session import ensure_conf
 
 TYPED_COLUMNS = ("vehicle_id", "timestamp", "speed", "odometer", "soc", "elevation", "shift_state")
 
@@ -24,7 +25,7 @@ def _reason(cond: Column, text: str) -> Column:
 
 
 def _number(text: Column) -> Column:
-    return F.when(is_number_text(text), F.regexp_replace(text, "_", "").try_cast("double"))
+    return parse_number(text)
 
 
 def _token(text: Column) -> Column:
@@ -50,6 +51,7 @@ def validate(raw: DataFrame) -> DataFrame:
     ``shift_state_too_long``. A column the header lacks is reported once,
     as missing, not again per row.
     """
+    ensure_conf(raw.sparkSession)  # naive text is read as UTC
     keep = [c for c in raw.columns if c not in REQUIRED_COLUMNS + ("vehicle_id", "missing_columns")]
     missing = (
         F.col("missing_columns") if "missing_columns" in raw.columns else F.lit(None).cast("array<string>")

@@ -13,6 +13,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from fleetlake.functions.timestamps import iso_text
 from fleetlake.schema import EXPORT_COLUMNS, EXPORT_FORMATS
+from fleetlake.session import ensure_conf
 
 EXPORT_SCHEMA = StructType(
     [
@@ -38,6 +39,7 @@ CSV_WRITE_OPTIONS = {
 
 def export_records(df: DataFrame) -> DataFrame:
     """The seven export columns (no ``id``); timestamp as ISO text."""
+    ensure_conf(df.sparkSession)  # the text is UTC (+00:00)
     return df.select(
         "vehicle_id",
         iso_text("timestamp").alias("timestamp"),

@@ -147,13 +147,20 @@ FROM events"""
 
 # ------------------------------------------------------- raw CSV records
 
+# Vehicles whose text carries no defect (their files pass the whole-file rule).
+CLEAN_VEHICLES = (4, 5)
+
+
 def raw_records(events: DataFrame) -> DataFrame:
     """Contract records as text: ``id, vehicle_id, file_date`` and the six
-    CSV columns. Mostly valid rows; fixed shares carry each kind of defect."""
-    k = F.col("event_id") % F.lit(20)
+    CSV columns. Mostly valid rows; fixed shares carry each kind of defect,
+    except for the clean vehicles (4, 5), whose soc is also capped at 100."""
+    clean = (F.col("user_id") % F.lit(10)).isin(list(CLEAN_VEHICLES))
+    k = F.when(clean, F.lit(-1)).otherwise(F.col("event_id") % F.lit(20))
     ts = _ts()
     err = F.col("event_type") == F.lit("error")
     v = _f2(F.col("value"))
+    soc = _f2(F.when(clean, F.least(F.col("value"), F.lit(100.0))).otherwise(F.col("value")))
     odo = F.format_string("%.1f", F.col("event_id").cast("double") / F.lit(10.0))
     raw_ts = (
         F.when(k == 3, F.concat(_fmt(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z")))
@@ -183,39 +190,44 @@ def raw_records(events: DataFrame) -> DataFrame:
         raw_ts.alias("timestamp"),
         raw_speed.alias("speed"),
         raw_odo.alias("odometer"),
-        v.alias("soc"),
+        soc.alias("soc"),
         F.regexp_extract("props", "[0-9]+", 0).alias("elevation"),
         raw_shift.alias("shift_state"),
     )
 
 
-RAW_RECORDS_CTE = """raw AS (
+RAW_RECORDS_CTE = """base AS (
+    SELECT *, user_id % 10 IN (4, 5) AS clean,
+           CASE WHEN user_id % 10 IN (4, 5) THEN -1 ELSE event_id % 20 END AS kk,
+           CASE WHEN user_id % 10 IN (4, 5) THEN least(value, 100.0) ELSE value END AS soc_value
+    FROM events
+), raw AS (
     SELECT event_id AS id,
            'veh-' || CAST(user_id % 10 AS VARCHAR) AS vehicle_id,
            strftime(ts, '%Y-%m-%d') AS file_date,
-           event_id % 20 AS k,
+           kk AS k,
            event_type = 'error' AS err,
-           ts, value, event_type, event_id,
-           CASE event_id % 20
+           ts, value, soc_value, event_type, event_id,
+           CASE kk
                 WHEN 3 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z'
                 WHEN 7 THEN strftime(ts + INTERVAL 2 HOUR, '%Y-%m-%dT%H:%M:%S.%f') || '+02:00'
                 WHEN 11 THEN 'not-a-time'
                 WHEN 15 THEN ''
                 ELSE strftime(ts, '%Y-%m-%d %H:%M:%S.%f') END AS raw_timestamp,
            CASE WHEN event_type = 'error' THEN 'NULL'
-                WHEN event_id % 20 = 5 THEN ' n/a '
-                WHEN event_id % 20 = 9 THEN 'fast'
-                WHEN event_id % 20 = 13 THEN ' ' || printf('%.2f', value) || ' '
+                WHEN kk = 5 THEN ' n/a '
+                WHEN kk = 9 THEN 'fast'
+                WHEN kk = 13 THEN ' ' || printf('%.2f', value) || ' '
                 ELSE printf('%.2f', value) END AS raw_speed,
-           CASE event_id % 20 WHEN 17 THEN '' WHEN 19 THEN '-' || printf('%.1f', event_id / 10.0)
+           CASE kk WHEN 17 THEN '' WHEN 19 THEN '-' || printf('%.1f', event_id / 10.0)
                 ELSE printf('%.1f', event_id / 10.0) END AS raw_odometer,
-           printf('%.2f', value) AS raw_soc,
+           printf('%.2f', soc_value) AS raw_soc,
            regexp_extract(props, '[0-9]+', 0) AS raw_elevation,
            CASE WHEN event_type = 'error' THEN 'NULL'
-                WHEN event_id % 20 = 1 THEN 'pu'
+                WHEN kk = 1 THEN 'pu'
                 WHEN event_type = 'view' THEN ' v '
                 ELSE upper(substr(event_type, 1, 1)) END AS raw_shift_state
-    FROM events
+    FROM base
 )"""
 
 # Expected typed values and reasons, stated from the rules above.
@@ -226,7 +238,7 @@ EXPECTED_CTE = """expected AS (
            CASE WHEN k = 17 THEN NULL
                 WHEN k = 19 THEN -CAST(printf('%.1f', event_id / 10.0) AS DOUBLE)
                 ELSE CAST(printf('%.1f', event_id / 10.0) AS DOUBLE) END AS odometer,
-           CAST(printf('%.2f', value) AS DOUBLE) AS soc,
+           CAST(printf('%.2f', soc_value) AS DOUBLE) AS soc,
            TRY_CAST(regexp_extract(raw_elevation, '[0-9]+', 0) AS DOUBLE) AS elevation,
            CASE WHEN err THEN NULL WHEN k = 1 THEN 'PU' WHEN event_type = 'view' THEN 'V'
                 ELSE upper(substr(event_type, 1, 1)) END AS shift_state,
@@ -236,7 +248,7 @@ EXPECTED_CTE = """expected AS (
                 CASE WHEN k = 9 AND NOT err THEN 'speed_not_numeric' END,
                 CASE WHEN k = 17 THEN 'odometer_empty' END,
                 CASE WHEN k = 19 THEN 'odometer_negative' END,
-                CASE WHEN CAST(printf('%.2f', value) AS DOUBLE) > 100 THEN 'soc_out_of_range' END,
+                CASE WHEN CAST(printf('%.2f', soc_value) AS DOUBLE) > 100 THEN 'soc_out_of_range' END,
                 CASE WHEN k = 1 AND NOT err THEN 'shift_state_too_long' END) AS reasons
     FROM raw
 )"""

@@ -9,6 +9,8 @@ All of it is one projection: no shuffle, no Python.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from fleetlake.functions.tokens import parse_number, strip
 from fleetlake.schema import NULL_TOKENS, REQUIRED_COLUMNS, VEHICLE_ID_MAX_LENGTH
 from fleetlake.session import ensure_conf
 
+_OBSERVATION_IDS = itertools.count()
+
 TYPED_COLUMNS = ("vehicle_id", "timestamp", "speed", "odometer", "soc", "elevation", "shift_state")
 
 
@@ -112,7 +116,7 @@ def validate(raw: DataFrame) -> DataFrame:
             _reason(F.length("_shift") > 1, "shift_state_too_long"),
         )
     )
-    return facts.select(
+    typed = facts.select(
         *keep,
         "vehicle_id",
         F.col("_ts").alias("timestamp"),
@@ -124,6 +128,15 @@ def validate(raw: DataFrame) -> DataFrame:
         *[f"raw_{c}" for c in REQUIRED_COLUMNS],
         reasons.alias("reject_reasons"),
     )
+    # Row and reject counts as observed metrics. The CollectMetrics node is
+    # also a plan barrier: a later filter on validity is not pushed below it,
+    # so the reasons are computed once instead of being inlined into the
+    # predicate (which would repeat every regex and cast inside it).
+    return typed.observe(
+        f"validation_{next(_OBSERVATION_IDS)}",
+        F.count(F.lit(1)).alias("rows_checked"),
+        F.count_if(F.size("reject_reasons") > 0).alias("rows_rejected"),
+    )
 
 
 def is_valid() -> Column:

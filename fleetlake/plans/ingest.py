@@ -1,5 +1,7 @@
 """Batch ingest: parse → validate → first-wins → anti join → ids → write.
 
+Ids are dense per load in ``(observed_date, vehicle_id, timestamp)`` order.
+
 One plan for the directory loader, the single-file import and every stream
 micro-batch. Counts are always ``read = inserted + skipped + rejected``.
 """
@@ -90,7 +92,13 @@ def ingest_parsed(
         helpers.append(new_rows)
 
         base = next_id_base(spark, table_path, audit_path, ingest_id)
-        with_ids, numbered = assign_ids(new_rows.drop("id") if "id" in new_rows.columns else new_rows, base)
+        # Ids follow (date, vehicle, time): each range partition then covers one
+        # or two days, so the partitioned write opens few files per task even
+        # for a backfill of years.
+        to_number = (new_rows.drop("id") if "id" in new_rows.columns else new_rows).withColumn(
+            "observed_date", F.to_date("timestamp")
+        )
+        with_ids, numbered = assign_ids(to_number, base, order=("observed_date", "vehicle_id", "timestamp"))
         helpers.append(numbered)
         with_ids = with_ids.persist(StorageLevel.MEMORY_AND_DISK)
         helpers.append(with_ids)

@@ -86,7 +86,9 @@ def ingest_parsed(
     try:
         valid = v.valid_rows(validated)
         winners = dedup_first(valid)
-        dates = [r[0] for r in winners.select(F.to_date("timestamp")).distinct().collect()]
+        # The days this batch can touch (a handful per batch): read from the
+        # cached validated rows, not from the dedup result, so the window runs once.
+        dates = [r[0] for r in valid.select(F.to_date("timestamp").alias("d")).distinct().collect()]
         history = sink.history_for(spark, table_path, dates, exclude_ingest=ingest_id)
         new_rows = insert_new(winners, history).persist(StorageLevel.MEMORY_AND_DISK)
         helpers.append(new_rows)

@@ -32,6 +32,7 @@ class IngestResult:
     rows_skipped: int
     rows_rejected: int
     files_rejected: int
+    max_id: int | None = None
 
     def as_dict(self) -> dict:
         return dict(self.__dict__)
@@ -74,11 +75,14 @@ def ingest_parsed(
     mode: str = "permissive",
     rejects_path: str | None = None,
     audit_path: str | None = None,
+    id_base: int | None = None,
 ) -> IngestResult:
     """Load one batch of parsed CSV lines into the table, idempotently.
 
     Replaying the same ``ingest_id`` with the same input rewrites the same
-    partitions with the same rows and ids.
+    partitions with the same rows and ids. ``id_base`` (largest id of other
+    loads) may be passed by a caller that tracks it, e.g. a running stream;
+    otherwise it is read from the audit log or the table.
     """
     ensure_conf(spark)
     validated = apply_mode(v.validate(parsed.records), mode).persist(StorageLevel.MEMORY_AND_DISK)
@@ -93,7 +97,7 @@ def ingest_parsed(
         new_rows = insert_new(winners, history).persist(StorageLevel.MEMORY_AND_DISK)
         helpers.append(new_rows)
 
-        base = next_id_base(spark, table_path, audit_path, ingest_id)
+        base = id_base if id_base is not None else next_id_base(spark, table_path, audit_path, ingest_id)
         # Ids follow (date, vehicle, time): each range partition then covers one
         # or two days, so the partitioned write opens few files per task even
         # for a backfill of years.
@@ -145,7 +149,7 @@ def ingest_parsed(
 
         totals = audit.agg(
             F.sum("rows_read"), F.sum("rows_inserted"), F.sum("rows_skipped"), F.sum("rows_rejected"),
-            F.count_if(F.col("rows_rejected") > 0),
+            F.count_if(F.col("rows_rejected") > 0), F.max("max_id"),
         ).first()
         return IngestResult(
             ingest_id=ingest_id,
@@ -154,6 +158,7 @@ def ingest_parsed(
             rows_skipped=int(totals[2] or 0),
             rows_rejected=int(totals[3] or 0),
             files_rejected=int(totals[4] or 0),
+            max_id=int(totals[5]) if totals[5] is not None else base,
         )
     finally:
         # Newest first: dropping a cache that others were built on makes

@@ -31,12 +31,28 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def history_for(spark: SparkSession, path: str, dates: list, exclude_ingest: str | None) -> DataFrame:
-    """Stored keys the batch can collide with: only its own dates (partition
-    pruning) and never its own earlier attempt (so a replay re-inserts)."""
-    hist = read_table(spark, path)
+    """Stored keys the batch can collide with: only its own dates and never
+    its own earlier attempt (so a replay re-inserts).
+
+    Only the batch's ``observed_date=`` folders are listed (one glob path with
+    ``basePath``), not the whole table: a table with years of partitions is
+    not listed again for every batch."""
+    empty = spark.createDataFrame([], STORED_TELEMETRY)
     if not dates:
-        return hist.limit(0)
-    hist = hist.filter(F.col("observed_date").isin(dates))
+        return empty
+    days = ",".join(sorted({d.isoformat() if hasattr(d, "isoformat") else str(d) for d in dates}))
+    glob = f"{path.rstrip('/')}/observed_date={{{days}}}"
+    try:
+        hist = (
+            spark.read.schema(STORED_TELEMETRY)
+            .option("basePath", path)
+            .parquet(glob)
+            .select(*STORED_TELEMETRY.fieldNames())
+        )
+    except Exception as exc:
+        if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc):
+            return empty
+        raise
     if exclude_ingest is not None:
         hist = hist.filter(F.col("ingest_id") != F.lit(exclude_ingest))
     return hist

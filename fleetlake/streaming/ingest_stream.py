@@ -67,14 +67,21 @@ def make_batch_writer(
     """The ``foreachBatch`` function. Persists the batch's lines once,
     runs the ingest plan and logs ``batch=… valid=… rejected=…``."""
 
+    # Largest id written so far, carried from batch to batch in the driver.
+    # The first batch after a (re)start reads it from storage, excluding its
+    # own ingest id, so a replayed batch gets the same base as before.
+    state: dict[str, int | None] = {"max_id": None}
+
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         ensure_conf(spark)
         ingest_id = f"{_query_id(spark, checkpoint)}-{batch_id}"
         parsed = parse_lines(lines_from_stream_batch(batch), cache=True)
         result = ingest_parsed(
-            spark, parsed, table_path, ingest_id, "permissive", rejects_path, audit_path
+            spark, parsed, table_path, ingest_id, "permissive", rejects_path, audit_path,
+            id_base=state["max_id"],
         )
+        state["max_id"] = result.max_id
         log(
             f"batch={batch_id} read={result.rows_read} valid={result.rows_inserted + result.rows_skipped} "
             f"rejected={result.rows_rejected} inserted={result.rows_inserted} skipped={result.rows_skipped}"

@@ -23,6 +23,11 @@ from fleetlake.sources.lines import ParsedLines
 
 MODES = ("permissive", "strict")
 
+# Batch keys are broadcast for the history lookup only below this size
+# (estimated per key: vehicle id, timestamp and hash-table overhead).
+KEY_BYTES = 96
+BROADCAST_KEYS_BYTES = 256 * 1024 * 1024
+
 
 @dataclass
 class IngestResult:
@@ -90,10 +95,23 @@ def ingest_parsed(
     try:
         valid = v.valid_rows(validated)
         winners = dedup_first(valid)
-        # The days this batch can touch (a handful per batch): read from the
-        # cached validated rows, not from the dedup result, so the window runs once.
-        dates = [r[0] for r in valid.select(F.to_date("timestamp").alias("d")).distinct().collect()]
-        history = sink.history_for(spark, table_path, dates, exclude_ingest=ingest_id)
+        # One small job over the cached rows: the days and time span the batch
+        # can touch, and how many keys it has (bounds the broadcast below).
+        span = valid.agg(
+            F.collect_set(F.to_date("timestamp")).alias("dates"),
+            F.min("timestamp").alias("t0"),
+            F.max("timestamp").alias("t1"),
+            F.count(F.lit(1)).alias("n"),
+        ).first()
+        history = sink.history_for(spark, table_path, list(span["dates"] or []), exclude_ingest=ingest_id)
+        if span["n"]:
+            history = history.filter(F.col("timestamp").between(F.lit(span["t0"]), F.lit(span["t1"])))
+        if span["n"] * KEY_BYTES <= BROADCAST_KEYS_BYTES:
+            # Small batch against a big day of history: scan the day's keys once,
+            # keep those that match the broadcast batch keys (no shuffle of the
+            # history), then anti join against those few matches.
+            batch_keys = valid.select(*KEY)
+            history = history.select(*KEY).join(F.broadcast(batch_keys), list(KEY), "left_semi")
         new_rows = insert_new(winners, history).persist(StorageLevel.MEMORY_AND_DISK)
         helpers.append(new_rows)
 

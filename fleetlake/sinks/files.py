@@ -60,8 +60,8 @@ def write_records(records: DataFrame, path: str, export_format: str, by_vehicle:
     instant (fixed width, UTC)."""
     if export_format not in EXPORT_FORMATS:
         raise ValueError(f"format must be one of {EXPORT_FORMATS}")
-    n = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = records.repartitionByRange(n, "vehicle_id", "timestamp").sortWithinPartitions("vehicle_id", "timestamp")
+    # No fixed partition count: the session's shuffle partitions, coalesced by AQE.
+    ordered = records.repartitionByRange("vehicle_id", "timestamp").sortWithinPartitions("vehicle_id", "timestamp")
     if by_vehicle:
         ordered = ordered.withColumn(PARTITION_COLUMN, F.col("vehicle_id"))
     writer = ordered.write.mode("overwrite")

@@ -11,10 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# SQL whitespace set that ``strip`` removes (space, tab, LF, VT, FF, CR).
-SQL_WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
-
-
 def _ts() -> Column:
     return F.col("ts").cast("timestamp")
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlake.schema import STORED_TELEMETRY, TELEMETRY
+from fleetlake.schema import TELEMETRY
 from fleetlake.session import ensure_conf
+from fleetlake.sinks.table import read_table
 
 TELEMETRY_COLUMNS = tuple(f.name for f in TELEMETRY.fields)
 
@@ -15,17 +16,12 @@ def read_telemetry(spark: SparkSession, path: str, keep_partition_columns: bool
     """Scan the stored table (``observed_date=…/ingest_id=…`` parquet).
 
     The schema is passed explicitly, so an empty or not-yet-created table
-    reads as zero rows instead of failing, and nothing is inferred.
-    Filters on ``timestamp`` should be paired with ``observed_date`` (see
-    ``operators.query.filter_time_range``) to prune partitions.
+    reads as zero rows instead of failing, and nothing is inferred. Pair
+    ``timestamp`` filters with ``observed_date`` (``operators.query.
+    filter_time_range(date_col=...)``) to prune partitions.
     """
     ensure_conf(spark)
-    try:
-        df = spark.read.schema(STORED_TELEMETRY).parquet(path)
-    except Exception as exc:  # path does not exist yet
-        if "PATH_NOT_FOUND" not in str(exc) and "does not exist" not in str(exc):
-            raise
-        df = spark.createDataFrame([], STORED_TELEMETRY)
+    df = read_table(spark, path)
     return df if keep_partition_columns else df.select(*TELEMETRY_COLUMNS)
 
 

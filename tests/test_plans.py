@@ -29,3 +29,24 @@ def test_page_is_a_bounded_top_k(spark):
 def test_dashboard_stats_share_one_scan(spark):
     plan = _plan(entry.queries()["dashboard_stats"](spark, SF))
     assert plan.count("FileScan parquet") == 1
+
+
+def test_stored_table_range_prunes_date_partitions(spark, tmp_dir):
+    import datetime as dt
+
+    from fleetlake.operators import query
+    from fleetlake.schema import TELEMETRY
+    from fleetlake.sinks.table import write_telemetry
+    from fleetlake.sources.tables import read_telemetry
+
+    rows = [
+        (i, "car-1", dt.datetime(2026, 7, 1 + i % 20, 10, tzinfo=dt.timezone.utc), 1.0, 1.0 + i, 50.0, 1.0, "D")
+        for i in range(40)
+    ]
+    write_telemetry(spark.createDataFrame(rows, TELEMETRY), f"{tmp_dir}/t", "load-1")
+    table = read_telemetry(spark, f"{tmp_dir}/t", keep_partition_columns=True)
+    req = query.PageRequest("car-1", start="2026-07-05T00:00:00Z", end="2026-07-06T23:59:59Z", page_size=500)
+    items, meta = query.page(table, req, date_col="observed_date")
+    plan = _plan(items)
+    assert "PartitionFilters: [isnotnull(observed_date" in plan
+    assert meta.first()["total"] == 4

@@ -27,7 +27,7 @@ file. Quoted line breaks are not supported (such a row is rejected).
 from __future__ import annotations
 
 from dataclasses import dataclass
-from urllib.parse import unquote, urlsplit
+from urllib.parse import urlsplit
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -63,30 +63,6 @@ class ParsedLines:
             df.unpersist()
 
 
-def list_input_files(spark: SparkSession, paths: list[str], recursive: bool = False, glob: str | None = "*.csv") -> list[str]:
-    """Resolve the input file list once, so every pass reads the same files
-    even if more arrive meanwhile. Only the listing reaches the driver."""
-    reader = spark.read.format("text")
-    if recursive:
-        reader = reader.option("recursiveFileLookup", "true")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    return sorted(_as_load_path(uri) for uri in reader.load(paths).inputFiles())
-
-
-_GLOB_CHARS = "\\[]*?{}"
-
-
-def _as_load_path(uri: str) -> str:
-    """``inputFiles`` gives URIs (``car%201.csv``); ``load`` wants a path with
-    glob characters escaped."""
-    parts = urlsplit(uri)
-    path = unquote(parts.path)
-    for ch in _GLOB_CHARS:
-        path = path.replace(ch, "\\" + ch)
-    return f"{parts.scheme}://{parts.netloc}{path}" if parts.scheme else path
-
-
 def text_source(spark: SparkSession, paths: list[str], recursive: bool = False, glob: str | None = "*.csv") -> DataFrame:
     """The text scan over files or folders. Its file listing is taken once,
     when this DataFrame is created, and every job built on it reads exactly

@@ -1,0 +1,22 @@
+"""The command line drives the same plans."""
+
+from conftest import write_files
+from fleetlake import cli
+
+HEADER = "timestamp,speed,odometer,soc,elevation,shift_state"
+
+
+def test_load_prints_per_file_counts(spark, tmp_dir, capsys, monkeypatch):
+    src = write_files(f"{tmp_dir}/in", {
+        "car-1.csv": HEADER + "\n2026-07-21T10:30:00Z,45.5,12000.25,82.0,35.2,D\n",
+        "car-2.csv": HEADER + "\n2026-07-21T10:30:00Z,1,1,1,1,P\n2026-07-21T10:31:00Z,x,1,1,1,P\n",
+    })
+    monkeypatch.setattr(cli, "build_session", lambda name: spark)
+    monkeypatch.setattr(spark, "stop", lambda: None)
+    code = cli.main(["load", src, f"{tmp_dir}/table", "--ingest-id", "cli-1"])
+    out = capsys.readouterr().out.splitlines()
+    assert code == 0
+    assert out[0] == "car-1.csv: inserted=1, skipped=0, rejected=0"
+    assert out[1] == "car-2.csv: inserted=0, skipped=0, rejected=2"
+    code = cli.main(["build", f"{tmp_dir}/table"])
+    assert code == 0

@@ -69,9 +69,12 @@ def write_csv_tree(spark: SparkSession, sf_dir: str) -> str:
         raw.select("file_date", "vehicle_id").distinct()
         .select("file_date", "vehicle_id", F.lit(-1).cast("long").alias("_order"), header.alias("value"))
     )
+    # An explicit partition count keeps AQE from coalescing this write into a
+    # handful of tasks (the rows are small, the file count is not).
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     (
         rows.unionByName(headers)
-        .repartition("file_date", "vehicle_id")
+        .repartition(n, "file_date", "vehicle_id")
         .sortWithinPartitions("file_date", "vehicle_id", "_order")
         .select("file_date", "vehicle_id", "value")
         .write.mode("overwrite")

@@ -20,8 +20,10 @@ from fleetlake.schema import (
 )
 
 # Lists up to this many ids are inlined as an IN predicate (pushed to the
-# scan); longer lists become a semi join against a small DataFrame.
+# scan); longer lists become a semi join against a small DataFrame, broadcast
+# only up to MAX_BROADCAST_IDS (about 100 bytes each), shuffled beyond.
 MAX_INLINE_IDS = 10_000
+MAX_BROADCAST_IDS = 1_000_000
 
 
 def to_utc_naive(value: datetime | str | None) -> datetime | None:
@@ -93,7 +95,9 @@ def filter_vehicles(df: DataFrame, vehicle_ids: list[str] | tuple[str, ...]) ->
         return df.filter(F.col("vehicle_id").isin(ids))
     spark = df.sparkSession
     id_df = spark.createDataFrame([(i,) for i in ids], "vehicle_id string")
-    return df.join(F.broadcast(id_df), "vehicle_id", "left_semi")
+    if len(ids) <= MAX_BROADCAST_IDS:
+        id_df = F.broadcast(id_df)
+    return df.join(id_df, "vehicle_id", "left_semi")
 
 
 def filter_time_range(

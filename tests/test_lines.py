@@ -84,3 +84,26 @@ def test_single_file_import_checks_extension(spark, tmp_dir):
 def test_empty_directory_is_an_error(spark, tmp_dir):
     with pytest.raises(ValueError, match="No CSV files found"):
         read_csv_directory(spark, tmp_dir)
+
+
+def test_duplicate_header_name_takes_last_and_quotes_are_unescaped(spark, tmp_dir):
+    write_files(tmp_dir, {
+        "car-1.csv": "timestamp,speed,odometer,soc,elevation,shift_state,speed\n"
+                     "2026-07-21T10:30:00Z,1,\"1,5\",50,1,\"D\"\"\",7\n",
+    })
+    rec = read_csv_directory(spark, tmp_dir).records.first()
+    assert rec["speed"] == "7"
+    assert rec["odometer"] == "1,5"
+    assert rec["shift_state"] == 'D"'
+
+
+def test_header_only_and_short_rows(spark, tmp_dir):
+    write_files(tmp_dir, {
+        "only-header.csv": HEADER + "\n",
+        "short.csv": HEADER + "\n2026-07-21T10:30:00Z,1\n",
+    })
+    parsed = read_csv_directory(spark, tmp_dir)
+    recs = parsed.records.collect()
+    assert len(recs) == 1 and recs[0]["odometer"] is None and recs[0]["speed"] == "1"
+    rows = {r["source_file"].rsplit("/", 1)[-1]: r["data_rows"] for r in parsed.files.collect()}
+    assert rows == {"only-header.csv": 0, "short.csv": 1}

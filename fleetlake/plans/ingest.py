@@ -99,13 +99,17 @@ def ingest_parsed(
         # can touch, and how many keys it has (bounds the broadcast below).
         span = valid.agg(
             F.collect_set(F.to_date("timestamp")).alias("dates"),
-            F.min("timestamp").alias("t0"),
-            F.max("timestamp").alias("t1"),
+            # Epoch micros, not datetimes: a round trip through Python values
+            # would pass through the driver's local zone (ambiguous at DST changes).
+            F.min(F.unix_micros("timestamp")).alias("t0"),
+            F.max(F.unix_micros("timestamp")).alias("t1"),
             F.count(F.lit(1)).alias("n"),
         ).first()
         history = sink.history_for(spark, table_path, list(span["dates"] or []), exclude_ingest=ingest_id)
         if span["n"]:
-            history = history.filter(F.col("timestamp").between(F.lit(span["t0"]), F.lit(span["t1"])))
+            history = history.filter(
+                F.col("timestamp").between(F.timestamp_micros(F.lit(span["t0"])), F.timestamp_micros(F.lit(span["t1"])))
+            )
         if span["n"] * KEY_BYTES <= BROADCAST_KEYS_BYTES:
             # Small batch against a big day of history: scan the day's keys once,
             # keep those that match the broadcast batch keys (no shuffle of the

@@ -19,6 +19,7 @@ RANGE_START = "2024-01-08 06:00:00"
 RANGE_END = "2024-01-21 18:30:00"
 DASHBOARD_VEHICLES = ("veh-1", "veh-4", "veh-7")
 LOOKUP_ID = 4242
+REFRESH_FROM = "2024-01-20"
 DECIMALS = 6
 
 # The events → telemetry mapping of sources.tables.telemetry_from_events, as SQL.

@@ -47,7 +47,7 @@ def build_marts(telemetry: DataFrame, register_views: bool = True) -> dict[str,
     """K4/K5 shape: staging is a view over the source, the mart a derived relation.
 
     Persisting the mart as a table is the caller's choice
-    (``sinks.table.overwrite_table``); here both are lazily defined.
+    (``plans.build.write_mart`` / ``refresh_mart_days``); here both are lazily defined.
     """
     staging = stg_vehicle_data(telemetry)
     mart = fct_vehicle_hourly(staging)

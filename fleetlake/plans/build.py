@@ -5,12 +5,16 @@ on it. The summary is one small DataFrame (one row per model or check).
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import LongType, StringType, IntegerType, StructField, StructType
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from fleetlake.operators import marts
 from fleetlake.operators.quality import Check, check_counts
-from fleetlake.sinks.table import overwrite_table
+from fleetlake.schema import HOURLY_MART
+from fleetlake.session import ensure_conf
 
 # The declared tests of the source, staging and mart models.
 SOURCE_CHECKS = [
@@ -89,8 +93,45 @@ def build_with_tests(
     if not failed:
         mart = marts.fct_vehicle_hourly(staging)
         if mart_path:
-            overwrite_table(mart, mart_path)
-            mart = spark.read.parquet(mart_path)
+            write_mart(mart, mart_path, dynamic=False)
+            mart = read_mart(spark, mart_path)
     add_model("fct_vehicle_hourly", not failed)
     add_checks(mart, MART_CHECKS)
     return spark.createDataFrame(rows, SUMMARY)
+
+
+MART_COLUMNS = tuple(HOURLY_MART.fieldNames())
+
+
+def write_mart(mart: DataFrame, path: str, dynamic: bool) -> None:
+    """K5: the mart as a table partitioned by UTC day. ``dynamic=False`` is a
+    full rebuild; ``dynamic=True`` replaces only the days present in ``mart``."""
+    out = mart.select(*MART_COLUMNS, F.to_date("observed_hour").alias("observed_date"))
+    (
+        out.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic" if dynamic else "static")
+        .partitionBy("observed_date")
+        .parquet(path)
+    )
+
+
+def read_mart(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).select(*MART_COLUMNS)
+
+
+def refresh_mart_days(spark: SparkSession, telemetry: DataFrame, mart_path: str, days: list[date | str]) -> None:
+    """K5, incremental: recompute the mart for the given UTC days only (e.g.
+    the days a load touched) and overwrite just those partitions. An hour
+    never spans two days, so the result equals a full rebuild.
+
+    Pass the stored table with its ``observed_date`` column to prune the
+    read to those days; otherwise rows are filtered by their timestamp."""
+    ensure_conf(spark)
+    if not days:
+        return
+    wanted = [F.lit(str(d)).cast("date") for d in days]
+    if "observed_date" in telemetry.columns:
+        source = telemetry.filter(F.col("observed_date").isin(wanted))
+    else:
+        source = telemetry.filter(F.to_date("timestamp").isin(wanted))
+    write_mart(marts.fct_vehicle_hourly(marts.stg_vehicle_data(source)), mart_path, dynamic=True)

@@ -38,6 +38,7 @@ class IngestResult:
     rows_rejected: int
     files_rejected: int
     max_id: int | None = None
+    days: tuple[str, ...] = ()  # UTC days the load touched: refresh_mart_days(…, days)
 
     def as_dict(self) -> dict:
         return dict(self.__dict__)
@@ -181,6 +182,7 @@ def ingest_parsed(
             rows_rejected=int(totals[3] or 0),
             files_rejected=int(totals[4] or 0),
             max_id=int(totals[5]) if totals[5] is not None else base,
+            days=tuple(sorted(d.isoformat() for d in (span["dates"] or []))),
         )
     finally:
         # Newest first: dropping a cache that others were built on makes

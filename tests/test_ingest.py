@@ -102,3 +102,23 @@ def test_import_single_file_uses_given_vehicle_id(spark, tmp_dir):
     assert res.rows_inserted == 1
     assert read_table(spark, table).select("vehicle_id").first()[0] == "car-7"
     assert read_table(spark, table).filter(F.col("observed_date") == "2026-07-21").count() == 1
+
+
+def test_refresh_mart_days_after_a_load(spark, tmp_dir):
+    from fleetlake.plans.build import read_mart, refresh_mart_days, write_mart
+    from fleetlake.operators import marts
+    from fleetlake.sources.tables import read_telemetry
+
+    src = write_files(tmp_dir + "/in", {"car-1.csv": HEADER + "\n2026-07-21T10:30:00Z,10,100,50,1,D\n"})
+    table, rejects, audit = _paths(tmp_dir)
+    load_directory(spark, src, table, "load-1", audit_path=audit)
+    stored = read_telemetry(spark, table, keep_partition_columns=True)
+    write_mart(marts.fct_vehicle_hourly(marts.stg_vehicle_data(stored)), f"{tmp_dir}/mart", dynamic=False)
+    more = write_files(tmp_dir + "/in2", {"car-1.csv": HEADER + "\n2026-07-21T10:45:00Z,30,103,49,1,D\n"
+                                                      "2026-07-22T08:00:00Z,5,110,40,1,D\n"})
+    res = load_directory(spark, more, table, "load-2", audit_path=audit)
+    assert res.days == ("2026-07-21", "2026-07-22")
+    refresh_mart_days(spark, read_telemetry(spark, table, keep_partition_columns=True), f"{tmp_dir}/mart", res.days)
+    got = {r["observed_hour"].hour: r for r in read_mart(spark, f"{tmp_dir}/mart").collect()}
+    assert got[10]["observation_count"] == 2 and got[10]["distance_travelled"] == 3.0
+    assert got[8]["observation_count"] == 1

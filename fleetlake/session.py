@@ -23,8 +23,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
+# Partition overwrite mode is passed per write (dynamic for loads, static for
+# full rebuilds) instead of being changed for the whole session.
 
 
 def ensure_conf(spark: SparkSession) -> SparkSession:

@@ -112,11 +112,3 @@ def write_audit(audit: DataFrame, path: str) -> None:
 
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
     return _read_or_empty(spark, path, AUDIT_SCHEMA)
-
-
-def overwrite_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
-    """K5: full rebuild of a derived table (the mart)."""
-    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)

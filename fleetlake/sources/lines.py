@@ -40,6 +40,7 @@ from fleetlake.schema import REQUIRED_COLUMNS
 # The split table is broadcast when its estimated size is below this.
 SPLIT_TABLE_BROADCAST_BYTES = 64 * 1024 * 1024
 CSV_OPTIONS = {"quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+BOM = "\ufeff"  # stripped from a header line if the reader left it there
 
 
 @dataclass
@@ -104,7 +105,7 @@ def split_table(lines: DataFrame) -> DataFrame:
     )
     by_file = Window.partitionBy("file_path")
     running = by_file.orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
-    header = F.regexp_replace(F.min_by("first_line", "block_start").over(by_file), "^﻿", "")
+    header = F.regexp_replace(F.min_by("first_line", "block_start").over(by_file), "^" + BOM, "")
     return per_split.select(
         "file_path",
         "block_start",

@@ -25,8 +25,11 @@ def _load(args, spark) -> int:
     from fleetlake.plans.ingest import load_directory, per_file_counts
 
     audit = args.audit or f"{args.table.rstrip('/')}_audit"
-    res = load_directory(spark, args.dir, args.table, args.ingest_id, args.mode, args.rejects, audit)
-    counts = per_file_counts(spark, audit, args.ingest_id).select(
+    res = load_directory(
+        spark, args.dir, args.table, args.ingest_id, args.mode, args.rejects, audit,
+        files_per_batch=args.files_per_batch,
+    )
+    counts = per_file_counts(spark, audit, args.ingest_id, family=bool(args.files_per_batch)).select(
         F.regexp_extract("source_file", r"([^/]+)$", 1).alias("name"),
         "rows_inserted", "rows_skipped", "rows_rejected",
     )
@@ -96,6 +99,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--audit")
     p.add_argument("--rejects")
     p.add_argument("--mode", choices=("strict", "permissive"), default="strict")
+    p.add_argument("--files-per-batch", type=int, default=None)
     p.set_defaults(run=_load)
 
     p = sub.add_parser("import")

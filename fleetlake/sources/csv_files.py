@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from fleetlake.session import ensure_conf
 from fleetlake.sources.lines import (
     ParsedLines,
+    load_path,
     parse_lines,
     path_key,
     path_key_text,
@@ -17,14 +18,8 @@ from fleetlake.sources.lines import (
 )
 
 
-def read_csv_directory(
-    spark: SparkSession,
-    directory: str | list[str],
-    recursive: bool = False,
-    cache: bool = False,
-) -> ParsedLines:
-    """Every ``*.csv`` in the directory (sorted by name); the vehicle id
-    is each file's stem. Raises ``ValueError`` when there is no CSV file."""
+def csv_source(spark: SparkSession, directory: str | list[str], recursive: bool = False):
+    """The text scan of every ``*.csv`` below ``directory``; ``ValueError`` when there is none."""
     ensure_conf(spark)
     paths = [directory] if isinstance(directory, str) else list(directory)
     try:
@@ -37,7 +32,28 @@ def read_csv_directory(
             raise
     if not has_files:
         raise ValueError(f"No CSV files found in {', '.join(paths)}")
-    return parse_lines(scan_lines(spark, source), cache=cache)
+    return source
+
+
+def read_csv_directory(
+    spark: SparkSession,
+    directory: str | list[str],
+    recursive: bool = False,
+    cache: bool = False,
+) -> ParsedLines:
+    """Every ``*.csv`` in the directory (sorted by name); the vehicle id
+    is each file's stem. Raises ``ValueError`` when there is no CSV file."""
+    return parse_lines(scan_lines(spark, csv_source(spark, directory, recursive)), cache=cache)
+
+
+def file_batches(spark: SparkSession, directory: str | list[str], files_per_batch: int, recursive: bool = False):
+    """The directory's files, sorted, in consecutive groups of ``files_per_batch``
+    (as loadable paths). Same listing → same groups, so a re-run replays them."""
+    if files_per_batch < 1:
+        raise ValueError("files_per_batch must be >= 1")
+    uris = sorted(csv_source(spark, directory, recursive).inputFiles())
+    paths = [load_path(u) for u in uris]
+    return [paths[i:i + files_per_batch] for i in range(0, len(paths), files_per_batch)]
 
 
 def read_csv_file(spark: SparkSession, path: str, vehicle_id: str, cache: bool = False) -> ParsedLines:

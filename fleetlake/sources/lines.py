@@ -27,7 +27,7 @@ file. Quoted line breaks are not supported (such a row is rejected).
 from __future__ import annotations
 
 from dataclasses import dataclass
-from urllib.parse import urlsplit
+from urllib.parse import unquote, urlsplit
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,6 +64,19 @@ class ParsedLines:
             df.unpersist()
 
 
+_GLOB_CHARS = "\\[]*?{}"
+
+
+def load_path(uri: str) -> str:
+    """A listed file URI (``inputFiles`` gives ``car%201.csv``) as a path
+    ``load`` reads literally: URI-decoded, glob characters escaped."""
+    parts = urlsplit(uri)
+    path = unquote(parts.path)
+    for ch in _GLOB_CHARS:
+        path = path.replace(ch, "\\" + ch)
+    return f"{parts.scheme}://{parts.netloc}{path}" if parts.scheme else path
+
+
 def text_source(spark: SparkSession, paths: list[str], recursive: bool = False, glob: str | None = "*.csv") -> DataFrame:
     """The text scan over files or folders. Its file listing is taken once,
     when this DataFrame is created, and every job built on it reads exactly

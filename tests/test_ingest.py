@@ -122,3 +122,20 @@ def test_refresh_mart_days_after_a_load(spark, tmp_dir):
     got = {r["observed_hour"].hour: r for r in read_mart(spark, f"{tmp_dir}/mart").collect()}
     assert got[10]["observation_count"] == 2 and got[10]["distance_travelled"] == 3.0
     assert got[8]["observation_count"] == 1
+
+
+def test_files_per_batch_splits_a_backfill(spark, tmp_dir):
+    files = {
+        f"car {i}.csv": HEADER + "\n" + "\n".join(f"2026-07-2{d}T10:0{i}:00Z,1,{10 * i + d},50,1,D" for d in range(1, 4)) + "\n"
+        for i in range(5)
+    }
+    src = write_files(tmp_dir + "/in", files)
+    table, rejects, audit = _paths(tmp_dir)
+    res = load_directory(spark, src, table, "big", audit_path=audit, files_per_batch=2)
+    assert (res.rows_read, res.rows_inserted) == (15, 15)
+    loads = sorted({r["ingest_id"] for r in read_audit(spark, audit).collect()})
+    assert loads == ["big-0", "big-1", "big-2"]
+    assert sorted(r["id"] for r in read_table(spark, table).collect()) == list(range(1, 16))
+    again = load_directory(spark, src, table, "big", audit_path=audit, files_per_batch=2)
+    assert again.rows_inserted == 15  # each group replays its own partitions
+    assert sorted(r["id"] for r in read_table(spark, table).collect()) == list(range(1, 16))

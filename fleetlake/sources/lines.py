@@ -202,7 +202,9 @@ def parse_lines(
         F.struct("block_start", "line_id").alias("order_key"),
     ).filter(F.col("row_number") > F.lit(1))
 
-    required = F.array(*[F.lit(c) for c in REQUIRED_COLUMNS])
+    # Listed in sorted order, so array_except returns the missing names sorted
+    # (array_sort is a higher-order function and would leave generated code).
+    required = F.array(*[F.lit(c) for c in sorted(REQUIRED_COLUMNS)])
     bound = [
         F.get(F.col("cells"), _position(F.col("header"), name) - F.lit(1)).alias(name)
         for name in REQUIRED_COLUMNS
@@ -218,7 +220,7 @@ def parse_lines(
         "row_number",
         "order_key",
         vid.alias("vehicle_id"),
-        F.array_sort(F.array_except(required, F.col("header"))).alias("missing_columns"),
+        F.array_except(required, F.col("header")).alias("missing_columns"),
         *bound,
     )
     files = splits.groupBy("file_path").agg(
@@ -227,7 +229,7 @@ def parse_lines(
         F.col("file_path").alias("source_file"),
         F.slice(_cells(F.col("header_line"), width), 1, F.size(F.split("header_line", ",", -1))).alias("header"),
         (F.col("file_lines") - F.lit(1)).alias("data_rows"),
-    ).withColumn("missing_columns", F.array_sort(F.array_except(required, F.col("header"))))
+    ).withColumn("missing_columns", F.array_except(required, F.col("header")))
     return ParsedLines(records=records, files=files, width=width, _cached=tuple(cached))
 
 

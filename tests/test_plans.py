@@ -50,3 +50,19 @@ def test_stored_table_range_prunes_date_partitions(spark, tmp_dir):
     plan = _plan(items)
     assert "PartitionFilters: [isnotnull(observed_date" in plan
     assert meta.first()["total"] == 4
+
+
+def test_validation_runs_in_generated_code(spark, tmp_dir):
+    import re
+
+    from conftest import write_files
+    from fleetlake.operators import validate as v
+    from fleetlake.sources.csv_files import read_csv_directory
+
+    header = "timestamp,speed,odometer,soc,elevation,shift_state"
+    write_files(tmp_dir, {"car-1.csv": header + "\n2026-07-21T10:30:00Z,1,2,3,4,D\n2026-07-21T10:31:00Z,x,,3,4,DR\n"})
+    checked = v.validate(read_csv_directory(spark, tmp_dir).records)
+    assert len(checked.collect()) == 2
+    final = checked._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    projects = [line for line in final.split("\n") if re.search(r"[+:]- (\*\(\d+\) )?Project \[", line)]
+    assert projects and all("*(" in line for line in projects), projects

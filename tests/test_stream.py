@@ -59,3 +59,18 @@ def test_restart_replay_and_new_checkpoint(spark, tmp_dir):
     assert sorted(tuple(r) for r in read_table(spark, table).collect()) == before
     ids = sorted(r["id"] for r in read_table(spark, table).collect())
     assert len(ids) == len(set(ids)) == 18
+
+
+def test_query_id_fallback_reads_the_checkpoint(spark, tmp_dir):
+    import json
+
+    from fleetlake.streaming.ingest_stream import _query_id
+
+    inbox, table, ckpt = f"{tmp_dir}/in", f"{tmp_dir}/table", f"{tmp_dir}/ckpt"
+    os.makedirs(inbox)
+    write_files(inbox, {"car-1.csv": _file(1, 3)})
+    run_available_now(spark, inbox, table, ckpt, log=lambda _m: None)
+    with open(f"{ckpt}/metadata") as fh:
+        expected = json.loads(fh.readline())["id"]
+    # Outside a micro-batch the local property is unset: the id comes from the checkpoint.
+    assert _query_id(spark, ckpt) == expected

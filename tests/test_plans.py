@@ -49,6 +49,7 @@ def test_stored_table_range_prunes_date_partitions(spark, tmp_dir):
     items, meta = query.page(table, req, date_col="observed_date")
     plan = _plan(items)
     assert "PartitionFilters: [isnotnull(observed_date" in plan
+    assert "EqualTo(vehicle_id,car-1)" in plan  # pushed to Parquet row-group statistics
     assert meta.first()["total"] == 4
 
 

@@ -168,16 +168,15 @@ def ingest_parsed(
         ).persist(StorageLevel.MEMORY_AND_DISK)
         helpers.append(audit)
 
+        totals = audit.agg(
+            F.sum("rows_read"), F.sum("rows_inserted"), F.sum("rows_skipped"), F.sum("rows_rejected"),
+            F.count_if(F.col("rows_rejected") > 0), F.max("max_id"), F.count(F.lit(1)),
+        ).first()
         sink.write_telemetry(with_ids, table_path, ingest_id)
         if rejects_path:
             sink.write_rejects(v.rejected_rows(validated), rejects_path, ingest_id)
         if audit_path:
-            sink.write_audit(audit, audit_path)
-
-        totals = audit.agg(
-            F.sum("rows_read"), F.sum("rows_inserted"), F.sum("rows_skipped"), F.sum("rows_rejected"),
-            F.count_if(F.col("rows_rejected") > 0), F.max("max_id"),
-        ).first()
+            sink.write_audit(audit, audit_path, n_rows=int(totals[6] or 0))
         return IngestResult(
             ingest_id=ingest_id,
             rows_read=int(totals[0] or 0),

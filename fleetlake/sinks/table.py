@@ -98,11 +98,17 @@ AUDIT_SCHEMA = StructType(
 )
 
 
-def write_audit(audit: DataFrame, path: str) -> None:
-    """Per-file counters and id range of one load (small)."""
+AUDIT_ROWS_PER_FILE = 250_000
+
+
+def write_audit(audit: DataFrame, path: str, n_rows: int | None = None) -> None:
+    """Per-file counters and id range of one load: one row per input file.
+    Written as ``ceil(n_rows / 250k)`` files, so a load of millions of files
+    is not funnelled through a single task."""
     out = audit.select(*[F.col(f.name).cast(f.dataType) for f in AUDIT_SCHEMA.fields])
+    parts = max(1, -(-(n_rows or 0) // AUDIT_ROWS_PER_FILE))
     (
-        out.coalesce(1)
+        out.coalesce(parts)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("ingest_id")

@@ -203,7 +203,7 @@ def parse_lines(
     ).filter(F.col("row_number") > F.lit(1))
 
     # Listed in sorted order, so array_except returns the missing names sorted
-    # (array_sort is a higher-order function and would leave generated code).
+    # without an extra array_sort.
     required = F.array(*[F.lit(c) for c in sorted(REQUIRED_COLUMNS)])
     bound = [
         F.get(F.col("cells"), _position(F.col("header"), name) - F.lit(1)).alias(name)

@@ -11,6 +11,7 @@ from fleetlake.functions.naming import (
 from fleetlake.functions.timestamps import (
     hour_bucket,
     iso_text,
+    iso_to_timestamp,
     parse_iso_timestamp,
     parse_with_patterns,
 )
@@ -36,6 +37,7 @@ __all__ = [
     "is_blank",
     "is_null_token",
     "iso_text",
+    "iso_to_timestamp",
     "normalise_shift_state",
     "nullable_float",
     "nullable_float_error",

@@ -25,13 +25,22 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Spark's cast needs seconds before an offset; Python's parser does not.
+_HOUR_ONLY = r"^(\d{4}-\d{2}-\d{2}[T ]\d{2})(?=[Z+-]|$)"
+_NO_SECONDS = r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2})(?=[Z+-]|$)"
+
+
+def iso_to_timestamp(text: Column) -> Column:
+    """Already-stripped ISO text → timestamp (see ``ISO_TIMESTAMP_PATTERN``):
+    missing minutes/seconds are filled in, a ``,`` fraction becomes ``.``,
+    then Spark's cast reads it (offsets applied, naive = session zone)."""
+    full = F.regexp_replace(F.regexp_replace(text, _HOUR_ONLY, "$1:00:00"), _NO_SECONDS, "$1:00")
+    return F.when(text.rlike(ISO_TIMESTAMP_PATTERN), F.regexp_replace(full, ",", ".").try_cast("timestamp"))
+
+
 def parse_iso_timestamp(c: Column | str) -> Column:
     """P5: ISO text → timestamp; naive text is UTC; NULL when not accepted."""
-    text = strip(_col(c))
-    return F.when(
-        text.rlike(ISO_TIMESTAMP_PATTERN),
-        F.regexp_replace(text, ",", ".").try_cast("timestamp"),
-    )
+    return iso_to_timestamp(strip(_col(c)))
 
 
 def parse_with_patterns(c: Column | str, patterns: tuple[str, ...] = STREAM_TIMESTAMP_PATTERNS) -> Column:

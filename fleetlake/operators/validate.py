@@ -14,7 +14,7 @@ import itertools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlake.functions.timestamps import ISO_TIMESTAMP_PATTERN
+from fleetlake.functions.timestamps import iso_to_timestamp
 from fleetlake.functions.tokens import parse_number, strip
 from fleetlake.schema import NULL_TOKENS, REQUIRED_COLUMNS, VEHICLE_ID_MAX_LENGTH
 from fleetlake.session import ensure_conf
@@ -74,10 +74,7 @@ def validate(raw: DataFrame) -> DataFrame:
         "_missing",
         *[f"raw_{c}" for c in REQUIRED_COLUMNS],
         _blank(t["timestamp"]).alias("_ts_blank"),
-        F.when(
-            t["timestamp"].rlike(ISO_TIMESTAMP_PATTERN),
-            F.regexp_replace(t["timestamp"], ",", ".").try_cast("timestamp"),
-        ).alias("_ts"),
+        iso_to_timestamp(t["timestamp"]).alias("_ts"),
         _token(t["speed"]).alias("_speed_token"),
         _number(t["speed"]).alias("_speed"),
         *[_blank(t[c]).alias(f"_{c}_blank") for c in ("odometer", "soc", "elevation")],

@@ -67,3 +67,42 @@ def test_iso_timestamps_match_fromisoformat(spark, parts):
             ref = ref.replace(tzinfo=dt.timezone.utc)  # naive text is UTC by contract
         expected = (ref - dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)) // dt.timedelta(microseconds=1)
         assert micros == expected, (text, micros, expected)
+
+
+_cell_pieces = st.sampled_from(["", " ", "\t", "\r\n", "null", "NULL", "None", "n/a", "N/A", "na", "d", "D", "pu", "0"])
+cell_like = st.lists(_cell_pieces, min_size=0, max_size=4).map("".join)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(cell_like, min_size=15, max_size=15))
+def test_tokens_and_shift_state_match_python_rules(spark, cells):
+    from fleetlake.functions import is_null_token, nullable_string, normalise_shift_state
+
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, c string")
+    got = df.orderBy("i").select(
+        is_null_token("c"), nullable_string("c"), normalise_shift_state("c")
+    ).collect()
+    for cell, (flag, text, shift) in zip(cells, got):
+        token = cell.strip().upper() in {"", "NULL", "NONE", "N/A"}
+        assert flag == token, cell
+        assert text == (None if token else cell.strip()), cell
+        assert shift == (cell.strip().upper() or None), cell
+
+
+_name_pieces = st.sampled_from(["car", "-", "1", " ", ".", "data", "+", "%", "_", "é", "csv", "x"])
+file_names = st.lists(_name_pieces, min_size=1, max_size=5).map(lambda p: "".join(p) + ".csv")
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(file_names, min_size=10, max_size=10))
+def test_vehicle_id_matches_pathlib_stem(spark, names):
+    from pathlib import Path
+    from urllib.parse import quote
+
+    from fleetlake.functions import vehicle_id_from_path
+
+    uris = [f"file:/data/in/{quote(n)}" for n in names]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(uris)], "i int, u string")
+    got = [r[0] for r in df.orderBy("i").select(vehicle_id_from_path("u")).collect()]
+    for name, vid in zip(names, got):
+        assert vid == Path(name).stem.strip(), (name, vid)

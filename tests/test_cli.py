@@ -20,3 +20,14 @@ def test_load_prints_per_file_counts(spark, tmp_dir, capsys, monkeypatch):
     assert out[1] == "car-2.csv: inserted=0, skipped=0, rejected=2"
     code = cli.main(["build", f"{tmp_dir}/table"])
     assert code == 0
+
+
+def test_export_command(spark, tmp_dir, monkeypatch):
+    src = write_files(f"{tmp_dir}/in", {"car-1.csv": HEADER + "\n2026-07-21T10:30:00Z,45.5,12000.25,82.0,35.2,D\n"})
+    monkeypatch.setattr(cli, "build_session", lambda name: spark)
+    monkeypatch.setattr(spark, "stop", lambda: None)
+    assert cli.main(["load", src, f"{tmp_dir}/table", "--ingest-id", "cli-1"]) == 0
+    assert cli.main(["export", f"{tmp_dir}/table", f"{tmp_dir}/out", "--vehicle", "car-1", "--format", "json"]) == 0
+    manifest = spark.read.json(f"{tmp_dir}/out_manifest").first()
+    assert (manifest["file_name"], manifest["rows"]) == ("car-1_vehicle_data.json", 1)
+    assert cli.main(["export", f"{tmp_dir}/table", f"{tmp_dir}/out2", "--vehicle", "nobody"]) == 4

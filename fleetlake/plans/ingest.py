@@ -28,6 +28,10 @@ MODES = ("permissive", "strict")
 KEY_BYTES = 96
 BROADCAST_KEYS_BYTES = 256 * 1024 * 1024
 
+# Rows per range partition when numbering and writing a load (~100–200 MB).
+ROWS_PER_ID_PARTITION = 1_000_000
+MAX_ID_PARTITIONS = 100_000
+
 
 @dataclass
 class IngestResult:
@@ -131,7 +135,12 @@ def ingest_parsed(
         to_number = (new_rows.drop("id") if "id" in new_rows.columns else new_rows).withColumn(
             "observed_date", F.to_date("timestamp")
         )
-        with_ids, numbered = assign_ids(to_number, base, order=("observed_date", "vehicle_id", "timestamp"))
+        # Partitions sized by the batch (same count on a replay, so the same ids):
+        # a small micro-batch is not spread over hundreds of tasks and files.
+        parts = max(1, min(MAX_ID_PARTITIONS, -(-int(span["n"] or 0) // ROWS_PER_ID_PARTITION)))
+        with_ids, numbered = assign_ids(
+            to_number, base, order=("observed_date", "vehicle_id", "timestamp"), num_partitions=parts
+        )
         helpers.append(numbered)
         with_ids = with_ids.persist(StorageLevel.MEMORY_AND_DISK)
         helpers.append(with_ids)

@@ -1,0 +1,85 @@
+import zlib
+
+import numpy as np
+import pyarrow.parquet as pq
+import pytest
+from tokenizers import Tokenizer
+
+from fleetlake.llm.token_output import TOKENIZER, WordEncoder, read_shards, read_token_documents, token_binary, write_token_shards
+from fleetlake.llm.wavelet import WaveletMatrix
+from fleetlake.session import scratch_path
+
+ODD = [
+    "", " ", "plain words, here.", "Don't I'll we're IT'S '", "a\x1cb\x1f c", "x y z　w", "É é é Straße ÀÉ",
+    "ΣΊΣΥΦΟΣ İstanbul", "H̱ ẖ", "<|endoftext|> and <|startoftext|>x", "1,234.5 a1b2 ½ ²", "😀 ok👍🏽 ﷺ", "…“quoted”—dash",
+    "mixed|$%&*# word### $$$ || ", "漢字かな交じり文 русский текст", "tail.) (head [both]", "ﬁ ligature ǅ ʼn", "w" * 5000, "\t\n tabs\r\n",
+]
+
+
+@pytest.fixture(scope="module")
+def whole():
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_word_encoder_equals_whole_text_encoding(whole):
+    encoder = WordEncoder(TOKENIZER, remembered=10)
+    for text in [*ODD, " ".join(ODD), *ODD]:
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == whole(text), repr(text)
+
+
+def expected(docs, whole):
+    out, start = [], 0
+    for doc_id, text in sorted(docs, key=lambda x: (x[0] is not None, x[0])):
+        ids = [*whole(text or ""), 2]
+        out.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    return out
+
+
+def test_documents_come_back_in_order(make_docs, whole):
+    docs = [(i * 7 % 101, t) for i, t in enumerate(ODD)] + [(500, None), (None, "no id")]
+    rows = token_binary(make_docs(docs)).select("doc_id", "start", "n_tokens", "ids_crc32").collect()
+    assert sorted(map(tuple, rows), key=lambda r: r[1]) == expected(docs, whole)
+
+
+def test_small_shards_hold_the_same_sequence(spark, make_docs, whole):
+    docs = [(i, f"text number {i} " * (i % 5)) for i in range(60)]
+    path = write_token_shards(make_docs(docs), scratch_path(spark, "test-shards"), shard_tokens=50)
+    shards = read_shards(spark, path).orderBy("first_doc_id", "part", "seq").collect()
+    assert len(shards) > 5
+    ids = [x for s in shards for x in WaveletMatrix(bytes(s.matrix)).decode().tolist()]
+    assert ids == [x for _, t in docs for x in [*whole(t), 2]]
+    rows = read_token_documents(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32").collect()
+    assert sorted(map(tuple, rows)) == expected(docs, whole)
+
+
+def test_empty_table_and_repeated_ids(make_docs, whole):
+    assert token_binary(make_docs([])).collect() == []
+    rows = token_binary(make_docs([(1, "same"), (1, "same"), (2, "x")])).collect()
+    assert sorted((r.doc_id, r.start) for r in rows) == [(1, 0), (1, 2), (2, 4)]
+
+
+def test_query_against_the_library(run_query, whole):
+    docs = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    rows = run_query("op5_token_binary")
+    assert sorted(tuple(r.values()) for r in rows) == sorted(expected([(d["doc_id"], d["text"]) for d in docs], whole))
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 65536, 65537, 150_000])
+def test_wavelet_matrix_against_numpy(n):
+    rng = np.random.default_rng(n)
+    ids = (rng.zipf(1.3, n) % 5000).astype(np.uint32)
+    matrix = WaveletMatrix(WaveletMatrix.build(ids))
+    assert (matrix.decode() == ids).all()
+    for i in rng.integers(0, n, 20) if n else []:
+        assert matrix.access(int(i)) == ids[i]
+    for token in (1, 2, 3, 4999, 77_777):
+        at = np.flatnonzero(ids == token)
+        assert matrix.count(token) == len(at)
+        assert matrix.rank(token, n // 2) == (ids[: n // 2] == token).sum()
+        assert matrix.positions(token, 0, 5) == at[:5].tolist()
+        if len(at):
+            assert matrix.select(token, len(at) - 1) == at[-1]
+    with pytest.raises(IndexError):
+        matrix.access(n)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlake.llm import line_dedup, token_output
+from fleetlake.llm import line_dedup, substring_dedup, token_output
 from fleetlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,9 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines shared by three documents or more are dropped from all but the largest id."""
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
+@register("op1_substring_dedup")
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages of each document that repeat across documents, and which document keeps them."""
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))

@@ -20,6 +20,8 @@ from fleetlake.session import ensure_conf, scratch_path
 SHINGLE_WORDS = 5
 #: Similarity from which two texts are near duplicates.
 SIMILARITY = 0.8
+#: Bytes of rows that an Arrow batch takes on before it goes to a Python worker.
+BATCH_BYTES = 4 << 20
 #: Text handed to one vectorised hashing step; longer texts are hashed in pieces of this many characters.
 PIECE_CHARS = 1 << 20
 
@@ -30,8 +32,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, to be handed to Python in Arrow batches of ``BATCH_BYTES``: some long texts never meet in one batch
+    of Spark's usual size. A setting of the session; it changes no result."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def keyed_texts(docs: DataFrame) -> DataFrame:
     """``(doc_id, text)`` of a documents table; a null text is an empty one, extra columns are left out."""
+    bounded_batches(docs)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlake.llm import embedding_join, line_dedup, substring_dedup, token_output
+from fleetlake.llm import embedding_join, line_dedup, quality_crf, substring_dedup, token_output
 from fleetlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,9 @@ FROM embeddings e JOIN component c USING (vec_id) LEFT JOIN counted n USING (vec
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of embeddings with a cosine of 0.93 or more inside each label."""
     return embedding_join.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@register("op8_quality_classifier")
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by a conditional random field over its lines."""
+    return quality_crf.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -35,9 +35,9 @@ from fleetlake.session import scratch_path
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
-SHARD_TOKENS = 1 << 23
+SHARD_TOKENS = 1 << 22
 #: Encoded words that a Python worker remembers; beyond it, it starts anew.
-REMEMBERED_WORDS = 300_000
+REMEMBERED_WORDS = 1_000_000
 #: Fixed value: the white space that the tokenizer's own splitting drops (Unicode White_Space).
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _OTHER_SPLITS = re.compile("[\x1c-\x1f]")
@@ -69,50 +69,56 @@ class WordEncoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._model, self._normalizer = self._tokenizer.model, self._tokenizer.normalizer
-        self._letters = _byte_letters()
+        self._letters = {b: ord(c) for b, c in _byte_letters().items()}
+        ids = range(max(self._tokenizer.get_vocab(with_added_tokens=True).values()) + 1)
+        self._packed = [i.to_bytes(4, "little") for i in ids]
         self._remembered = remembered
         self._known: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        packed = self._packed
+        return b"".join([packed[i] for i in self._tokenizer.encode(text, add_special_tokens=False).ids])
 
     def _letters_only(self, word: str) -> bytes | None:
-        plain = word if word.isascii() and word.islower() else self._normalizer.normalize_str(word)
-        if not plain.isalpha() or max(plain) > "\u024f":
-            return None
-        if not plain.isascii():
-            plain = "".join(self._letters[b] for b in plain.encode())
-        return np.array([t.id for t in self._model.tokenize(plain)], dtype="<u4").tobytes()
+        if not (word.isascii() and word.islower()):
+            word = self._normalizer.normalize_str(word)
+            if not word.isalpha() or max(word) > "\u024f":
+                return None
+            if not word.isascii():
+                word = word.encode().decode("latin-1").translate(self._letters)
+        packed = self._packed
+        return b"".join([packed[t.id] for t in self._model.tokenize(word)])
 
     def _word(self, word: str) -> bytes:
-        if word.isascii():
-            word = word.lower()
-        known = self._known.get(word)
-        if known is not None:
-            return known
-        stem = word.rstrip(_MARKS)
-        if not stem or not stem.isalpha():
-            known = self._whole(word)
-        elif stem == word:
-            known = self._letters_only(word) or self._whole(word)
-        else:
-            known = self._letters_only(stem)
-            known = self._whole(word) if known is None else known + self._word(word[len(stem):])
-        self._known[word] = known
-        return known
+        """Ids of a word that is not known yet; its stem is remembered too, as other marks may follow it elsewhere."""
+        plain = word.lower() if word.isascii() else word
+        stem = plain.rstrip(_MARKS)
+        if not stem.isalpha():
+            return self._whole(word)
+        ids = self._known.get(stem)
+        if ids is None:
+            ids = self._letters_only(stem)
+            if ids is None:
+                return self._whole(word)
+            self._known[stem] = ids
+        if len(stem) == len(plain):
+            return ids
+        marks = plain[len(stem):]
+        tail = self._known.get(marks)
+        if tail is None:
+            tail = self._known[marks] = self._whole(marks)
+        return ids + tail
 
     def encode(self, text: str) -> bytes:
+        if text.isascii() and "<|" not in text:  # special tokens are spelled in one case
+            text = text.lower()
         words = _SPACE.split(text) if _OTHER_SPLITS.search(text) else text.split()
         known = self._known
         if len(known) > self._remembered:
             known.clear()
-        parts = list(map(known.get, words))
-        if None in parts:
-            for i, part in enumerate(parts):
-                if part is None:
-                    word = words[i]
-                    parts[i] = known[word] = known.get(word) or (self._word(word) if word else b"")
-        return b"".join(parts)
+        for word in set(words).difference(known):
+            known[word] = self._word(word) if word else b""
+        return b"".join([known[word] for word in words])
 
 
 _encoders: dict[str, WordEncoder] = {}

@@ -55,7 +55,10 @@ class WaveletMatrix:
         ids = np.asarray(ids)
         n = len(ids)
         if n:
-            count = np.bincount(ids)
+            count = np.zeros(int(ids.max()) + 1, dtype=np.int64)
+            for a in range(0, n, BLOCK_BITS * 16):
+                part = np.bincount(ids[a:a + BLOCK_BITS * 16])
+                count[: len(part)] += part
             present = np.flatnonzero(count)
             order = present[np.argsort(-count[present], kind="stable")]
         else:

@@ -11,7 +11,7 @@ from fleetlake.session import scratch_path
 
 ODD = [
     "", " ", "plain words, here.", "Don't I'll we're IT'S '", "a\x1cb\x1f c", "x y z　w", "É é é Straße ÀÉ",
-    "ΣΊΣΥΦΟΣ İstanbul", "H̱ ẖ", "<|endoftext|> and <|startoftext|>x", "1,234.5 a1b2 ½ ²", "😀 ok👍🏽 ﷺ", "…“quoted”—dash",
+    "ΣΊΣΥΦΟΣ İstanbul", "H̱ ẖ", "<|endoftext|> and <|startoftext|>x", "<|EndOfText|> <|ENDOFTEXT|>", "1,234.5 a1b2 ½ ²", "😀 ok👍🏽 ﷺ", "…“quoted”—dash",
     "mixed|$%&*# word### $$$ || ", "漢字かな交じり文 русский текст", "tail.) (head [both]", "ﬁ ligature ǅ ʼn", "w" * 5000, "\t\n tabs\r\n",
 ]
 

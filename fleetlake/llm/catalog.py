@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlake.llm import embedding_join, line_dedup, ngram_join, quality_crf, substring_dedup, token_output
+from fleetlake.llm import (
+    decontamination, embedding_join, line_dedup, ngram_join, quality_crf, source_mixing, substring_dedup, token_output,
+)
 from fleetlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +104,89 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class and number of links of every document, at a Jaccard similarity of 0.8 on five-word shingles."""
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP2_SQL = r"""
+WITH docs AS (
+    SELECT doc_id, CASE WHEN regexp_matches(source, '[0-9]{1,9}$')
+             THEN 'domain' || (CAST(regexp_extract(source, '([0-9]{1,9})$', 1) AS BIGINT) % 4) ELSE 'other' END AS domain,
+           lang, source,
+           len(list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\r\f\x0B]+'), lambda x: x <> '')) AS tokens
+    FROM documents
+), leaves AS (
+    SELECT domain, lang, source, CAST(sum(tokens) AS BIGINT) AS tokens FROM docs GROUP BY ALL
+), total AS (
+    SELECT CAST(sum(tokens) AS BIGINT) AS budget FROM leaves
+), d0 AS (
+    SELECT domain, CAST(sum(tokens) * 4 AS BIGINT) AS room, any_value(budget) AS budget,
+           CASE domain WHEN 'domain0' THEN 4 WHEN 'domain1' THEN 3 WHEN 'domain2' THEN 2 ELSE 1 END AS weight
+    FROM leaves, total GROUP BY domain
+), d1 AS (
+    SELECT *, room * sum(weight) OVER (ORDER BY room / CAST(weight AS DOUBLE), domain ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+        <= weight * (budget - coalesce(sum(room) OVER (ORDER BY room / CAST(weight AS DOUBLE), domain
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS is_full FROM d0
+), d2 AS (
+    SELECT domain, CASE WHEN is_full THEN room ELSE weight * (budget - coalesce(sum(room) FILTER (WHERE is_full) OVER (), 0))
+        // sum(weight) FILTER (WHERE NOT is_full) OVER () END AS budget FROM d1
+), l0 AS (
+    SELECT domain, lang, CAST(sum(l.tokens) * 4 AS BIGINT) AS room, any_value(budget) AS budget,
+           CASE lang WHEN 'en' THEN 5 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 ELSE 1 END AS weight
+    FROM leaves l JOIN d2 USING (domain) GROUP BY domain, lang
+), l1 AS (
+    SELECT *, room * sum(weight) OVER (PARTITION BY domain ORDER BY room / CAST(weight AS DOUBLE), lang ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+        <= weight * (budget - coalesce(sum(room) OVER (PARTITION BY domain ORDER BY room / CAST(weight AS DOUBLE), lang
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS is_full FROM l0
+), l2 AS (
+    SELECT domain, lang, CASE WHEN is_full THEN room ELSE weight * (budget - coalesce(sum(room) FILTER (WHERE is_full) OVER (PARTITION BY domain), 0))
+        // sum(weight) FILTER (WHERE NOT is_full) OVER (PARTITION BY domain) END AS budget FROM l1
+), s0 AS (
+    SELECT domain, lang, source, tokens, tokens * 4 AS room, budget, 1 AS weight FROM leaves JOIN l2 USING (domain, lang)
+), s1 AS (
+    SELECT *, room * sum(weight) OVER (PARTITION BY domain, lang ORDER BY room / CAST(weight AS DOUBLE), source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+        <= weight * (budget - coalesce(sum(room) OVER (PARTITION BY domain, lang ORDER BY room / CAST(weight AS DOUBLE), source
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS is_full FROM s0
+), s2 AS (
+    SELECT domain, lang, source, tokens AS leaf_tokens, CASE WHEN is_full THEN room
+        ELSE weight * (budget - coalesce(sum(room) FILTER (WHERE is_full) OVER (PARTITION BY domain, lang), 0))
+        // sum(weight) FILTER (WHERE NOT is_full) OVER (PARTITION BY domain, lang) END AS share FROM s1
+), planned AS (
+    SELECT *, CASE WHEN leaf_tokens > 0 THEN CAST(share // leaf_tokens AS BIGINT) ELSE 0 END AS epochs FROM s2
+), placed AS (
+    SELECT d.*, p.epochs, p.share - p.epochs * p.leaf_tokens AS rest,
+           sum(d.tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('2:' || p.epochs || ':' || d.doc_id)) AS reached
+    FROM docs d JOIN planned p USING (domain, lang, source)
+), taken AS (
+    SELECT doc_id, domain, lang, source, tokens, epochs + CASE WHEN reached <= rest THEN 1 ELSE 0 END AS copies FROM placed
+)
+SELECT * FROM taken WHERE copies > 0
+"""
+
+
+@register("op2_source_mixing", OP2_SQL)
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that a mixture of domains, languages and sources takes, and in how many epochs."""
+    return source_mixing.mixed(table(spark, sf_dir, "documents"))
+
+
+OP3_SQL = r"""
+WITH words AS (
+    SELECT 'd' AS kind, doc_id AS id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS w
+    FROM documents
+    UNION ALL
+    SELECT 'b', item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') FROM benchmark
+), shingles AS (
+    SELECT DISTINCT kind, id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
+    FROM words WHERE len(w) >= 5
+), sizes AS (
+    SELECT id, count(*) AS n FROM shingles WHERE kind = 'b' GROUP BY id
+)
+SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_shared, any_value(z.n) AS n_shingles, count(*) / any_value(z.n) AS containment
+FROM shingles d JOIN shingles b ON d.s = b.s AND d.kind = 'd' AND b.kind = 'b' JOIN sizes z ON z.id = b.id
+GROUP BY d.id, b.id HAVING count(*) >= 0.8 * any_value(z.n) - 1e-9
+"""
+
+
+@register("op3_benchmark_decontamination", OP3_SQL)
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that each document holds: 0.8 or more of their five-word shingles."""
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -68,10 +68,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     keys = stored(line_keys(docs, min_chars), "line-keys")
     # a null id is counted as a value of its own
     counted = F.struct(F.col("doc_id"))
-    repeated = (
-        keys.groupBy("h1", "h2").agg(F.countDistinct(counted).alias("n"), F.max("doc_id").alias("keeper"))
-        .where(F.col("n") >= min_docs).select("h1", "h2", "keeper")
-    )
+    counts = keys.groupBy("h1", "h2").agg(F.countDistinct(counted).alias("n"), F.max("doc_id").alias("keeper"))
+    repeated = stored(counts.where(F.col("n") >= min_docs).select("h1", "h2", "keeper"), "repeated-lines")
     drops = (
         keys.join(repeated, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
         .groupBy(F.col("doc_id").alias("drop_id")).agg(F.collect_set(F.struct("h1", "h2")).alias("drops"))

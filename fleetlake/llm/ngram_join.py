@@ -199,8 +199,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, k: int = SH
             F.first("nodes").alias("nodes")), "text-classes")
     # members of a node of the forest are linked to its smallest id
     entries = classes.select("rep", F.explode("nodes").alias("node"))
-    heads = entries.groupBy("node").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).where("head <> last")
-    candidates = entries.join(heads.select("node", "head"), "node").where("rep <> head").select(
+    ends = entries.groupBy("node").agg(F.min("rep").alias("head"), F.max("rep").alias("last"))
+    heads = stored(ends.where("head <> last").select("node", "head"), "forest-heads")
+    candidates = entries.join(heads, "node").where("rep <> head").select(
         F.col("rep").alias("a"), F.col("head").alias("b"))
     clusters = components(candidates, "text-clusters").select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
     members = stored(

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlake.llm.common import PIECE_CHARS, keyed_texts, mix64
+from fleetlake.llm.common import PIECE_CHARS, keyed_texts, mix64, stored
 
 #: Bytes on either side among which a cut has the smallest hash.
 REACH = 16
@@ -132,7 +132,7 @@ def repeated_passages(docs: DataFrame, min_chars: int = MIN_CHARS, reach: int =
     """
     chunks = chunk_table(docs, reach)
     owners = chunks.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
-    owners = owners.where("owner <> last").select("digest", "owner")
+    owners = stored(owners.where("owner <> last").select("digest", "owner"), "chunk-owners")
     hits = chunks.join(owners, "digest").select("doc_id", "start", "n", "owner")
     hits = hits.repartition("doc_id").groupBy("doc_id", "start", "n").agg(F.min("owner").alias("owner"))
     by_place = Window.partitionBy("doc_id").orderBy("start", "n")

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlake.llm import (
-    decontamination, embedding_join, line_dedup, ngram_join, quality_crf, source_mixing, substring_dedup, token_output,
+    decontamination, embedding_join, line_dedup, ngram_join, quality_crf, source_mixing, substring_dedup, token_counts,
+    token_output,
 )
 from fleetlake.llm.common import table
 
@@ -190,3 +191,9 @@ GROUP BY d.id, b.id HAVING count(*) >= 0.8 * any_value(z.n) - 1e-9
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark items that each document holds: 0.8 or more of their five-word shingles."""
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op4_token_counts")
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and greedy longest-match tokens of every document."""
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))

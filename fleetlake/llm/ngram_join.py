@@ -215,7 +215,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, k: int = SH
         F.greatest("block", "other").alias("right_block"))
     texts = keyed_texts(docs).select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("rep"), "text")
     # rows that repeat an id: any text with words of the representative's class will do, the largest is taken
-    once = texts.join(dealt, "rep").groupBy("cluster", "left_block", "right_block", "rep").agg(
+    # sorted and merged at every size, so that the work grows evenly
+    once = texts.join(dealt.hint("merge"), "rep").groupBy("cluster", "left_block", "right_block", "rep").agg(
         F.max("text").alias("text"), F.first("weight").alias("weight"), F.first("block").alias("block"))
     key = ["cluster", "left_block", "right_block"]
     pairs = once.select(*key, "rep", "weight", "block", "text").repartition(*key).sortWithinPartitions(*key)

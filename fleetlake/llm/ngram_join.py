@@ -38,7 +38,7 @@ TREES = 20
 DEPTH = 8
 RECALL = 0.9999
 #: Words of the texts of a cluster that are held on either side of a pair of blocks.
-BLOCK_WORDS = 400_000
+BLOCK_WORDS = 100_000
 _SLICE_CHARS = 1 << 18
 _NO_ID = -(1 << 63)
 _COLUMNS = 1024

@@ -53,7 +53,7 @@ def result(df):
     return {r.doc_id: (r.class_id, r.n_links) for r in df.collect()}
 
 
-@pytest.mark.parametrize("block_words", [400_000, 300])
+@pytest.mark.parametrize("block_words", [100_000, 300])
 def test_all_links_of_near_copies(make_docs, monkeypatch, block_words):
     monkeypatch.setattr(m, "BLOCK_WORDS", block_words)
     docs = near_copies(random.Random(block_words), 30, 14)

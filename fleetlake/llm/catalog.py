@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlake.llm import (
-    decontamination, embedding_join, line_dedup, ngram_join, quality_crf, source_mixing, substring_dedup, token_counts,
+    decontamination, embedding_join, license_scan, line_dedup, ngram_join, quality_crf, source_mixing, substring_dedup, token_counts,
     token_output,
 )
 from fleetlake.llm.common import table
@@ -197,3 +197,9 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and greedy longest-match tokens of every document."""
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+@register("op9_license_scan")
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paragraphs of documents that are licence notices, their family, and whether a template confirms it."""
+    return license_scan.licences(table(spark, sf_dir, "documents"))

@@ -17,6 +17,7 @@ from fleetlake.catalog import parsing as _parsing  # noqa: F401,E402
 from fleetlake.catalog import identity as _identity  # noqa: F401,E402
 from fleetlake.catalog import quality as _quality  # noqa: F401,E402
 from fleetlake.catalog import exports as _exports  # noqa: F401,E402
+from fleetlake.catalog import stored as _stored  # noqa: F401,E402
 from fleetlake.catalog import files as _files  # noqa: F401,E402
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -3,8 +3,9 @@
 The files are written by Spark from the driver's ``events`` table (see
 ``derived.raw_records``) into a fresh folder under the shared checkpoint
 root: one ``<date>/<vehicle>.csv`` per vehicle and day, rows in ``event_id``
-order. Vehicles 0–5 use the standard header, 6–8 a reordered header with an
-extra column, vehicle 9 lacks ``elevation``. The SQL oracle states the
+order. Vehicles 0–5 use the standard header; vehicle ``v`` of 6–8 rotates it
+left by ``v - 4`` and puts an extra column at place ``v - 5``; vehicle 9 leaves
+out the one at place ``9 % 5``. The SQL oracle states the
 expected result per file from the same rules, numbering rows by ``event_id``.
 """
 
@@ -17,6 +18,7 @@ from fleetlake.catalog.derived import EXPECTED_CTE, RAW_RECORDS_CTE, raw_records
 from fleetlake.catalog.registry import register, with_ctes
 from fleetlake.operators import validate as v
 from fleetlake.plans.ingest import apply_mode, ingest_parsed
+from fleetlake.schema import REQUIRED_COLUMNS
 from fleetlake.session import scratch_path
 from fleetlake.sinks import table as sink
 from fleetlake.sources.csv_files import header_contract as header_contract_of
@@ -24,12 +26,22 @@ from fleetlake.sources.csv_files import read_csv_directory, read_uploads
 from fleetlake.sources.tables import driver_table, driver_telemetry
 from fleetlake.streaming.ingest_stream import run_available_now
 
-# Header layout per vehicle number (user_id % 10).
-LAYOUTS = (
-    (tuple(range(0, 6)), ("timestamp", "speed", "odometer", "soc", "elevation", "shift_state")),
-    ((6, 7, 8), ("soc", "note", "elevation", "timestamp", "shift_state", "odometer", "speed")),
-    ((9,), ("timestamp", "speed", "odometer", "soc", "shift_state")),
-)
+EXTRA_COLUMN = "trip"
+
+
+def layout(vehicle: int) -> tuple[str, ...]:
+    """The header of a vehicle's files, by its number (user_id % 10)."""
+    columns = list(REQUIRED_COLUMNS)
+    if vehicle in (6, 7, 8):
+        columns = columns[vehicle - 4:] + columns[:vehicle - 4]
+        columns.insert(vehicle - 5, EXTRA_COLUMN)
+    elif vehicle == 9:
+        del columns[vehicle % 5]
+    return tuple(columns)
+
+
+# Vehicles by header.
+LAYOUTS = ((tuple(range(0, 6)), layout(0)), *(((v,), layout(v)) for v in (6, 7, 8, 9)))
 SPLIT_DATE = "2024-01-16"
 
 
@@ -54,7 +66,7 @@ def write_csv_tree(spark: SparkSession, sf_dir: str) -> str:
     vehicle's day, so no task holds more than that."""
     base = scratch_path(spark, "csv-tree")
     stage, dest = f"{base}/stage", f"{base}/files"
-    raw = raw_records(driver_table(spark, sf_dir, "events")).withColumn("note", F.lit("x"))
+    raw = raw_records(driver_table(spark, sf_dir, "events")).withColumn(EXTRA_COLUMN, F.lit("x"))
     vnum = F.substring("vehicle_id", 5, 4).cast("int")
     line, header = None, None
     for vehicles, columns in LAYOUTS:
@@ -148,7 +160,9 @@ def ingest_counts_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     _CTES
     + """SELECT source_file,
        CASE WHEN v <= 5 THEN 'timestamp,speed,odometer,soc,elevation,shift_state'
-            WHEN v <= 8 THEN 'soc,note,elevation,timestamp,shift_state,odometer,speed'
+            WHEN v = 6 THEN 'odometer,trip,soc,elevation,shift_state,timestamp,speed'
+            WHEN v = 7 THEN 'soc,elevation,trip,shift_state,timestamp,speed,odometer'
+            WHEN v = 8 THEN 'elevation,shift_state,timestamp,trip,speed,odometer,soc'
             ELSE 'timestamp,speed,odometer,soc,shift_state' END AS header,
        CASE WHEN v = 9 THEN 'elevation' ELSE '' END AS missing_columns,
        v <> 9 AS header_ok,

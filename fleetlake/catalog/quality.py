@@ -8,14 +8,33 @@ from pyspark.sql import functions as F
 from fleetlake.catalog.registry import MART_CTE, STAGING_CTE, TELEMETRY_CTE, register, with_ctes
 from fleetlake.operators import marts, quality
 from fleetlake.plans.build import MART_CHECKS, SOURCE_CHECKS, STAGING_CHECKS, build_with_tests
+from fleetlake.session import scratch_path
 from fleetlake.sources.tables import driver_telemetry
 
-_ALL_CTES = with_ctes(TELEMETRY_CTE, STAGING_CTE, MART_CTE)
+# The driver's telemetry made dirty: some ids, vehicles and times are missing, and
+# every 97th row comes twice.
+DIRTY_CTE = TELEMETRY_CTE.replace("telemetry AS", "clean AS", 1) + """, telemetry AS (
+    SELECT CASE WHEN id % 89 <> 0 THEN id END AS id, CASE WHEN id % 101 <> 0 THEN vehicle_id END AS vehicle_id,
+           CASE WHEN id % 103 <> 0 THEN "timestamp" END AS "timestamp", speed, odometer, soc, elevation, shift_state
+    FROM (SELECT * FROM clean UNION ALL SELECT * FROM clean WHERE id % 97 = 0)
+)"""
+# The rows of the driver's telemetry that keep every rule.
+CLEAN_CTE = TELEMETRY_CTE.replace("telemetry AS", "every_row AS", 1) + """, telemetry AS (
+    SELECT * FROM every_row WHERE soc BETWEEN 0 AND 100
+)"""
+_ALL_CTES = with_ctes(DIRTY_CTE, STAGING_CTE, MART_CTE)
 _RELATION = {"vehicle_data": "telemetry", "stg_vehicle_data": "stg_vehicle_data", "fct_vehicle_hourly": "fct_vehicle_hourly"}
 
 
-def _models(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    source = driver_telemetry(spark, sf_dir)
+def _dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = driver_telemetry(spark, sf_dir)
+    rows = clean.unionByName(clean.filter(F.col("id") % 97 == 0))
+    gaps = {"id": 89, "vehicle_id": 101, "timestamp": 103}
+    return rows.select(*[F.when(F.col("id") % gaps[c] != 0, F.col(c)).alias(c) if c in gaps else c for c in rows.columns])
+
+
+def _models(spark: SparkSession, sf_dir: str, dirty: bool = True) -> dict[str, DataFrame]:
+    source = _dirty(spark, sf_dir) if dirty else driver_telemetry(spark, sf_dir)
     staging = marts.stg_vehicle_data(source)
     return {"vehicle_data": source, "stg_vehicle_data": staging, "fct_vehicle_hourly": marts.fct_vehicle_hourly(staging)}
 
@@ -48,12 +67,12 @@ def dq_not_null(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "dq_unique",
-    with_ctes(TELEMETRY_CTE, STAGING_CTE)
+    with_ctes(DIRTY_CTE, STAGING_CTE)
     + """SELECT vehicle_data_id, count(*) AS n_records FROM stg_vehicle_data
 WHERE vehicle_data_id IS NOT NULL GROUP BY vehicle_data_id HAVING count(*) > 1""",
 )
 def dq_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Duplicated ``vehicle_data_id`` values (none expected)."""
+    """Duplicated ``vehicle_data_id`` values."""
     return quality.unique(_models(spark, sf_dir)["stg_vehicle_data"], "vehicle_data_id")
 
 
@@ -64,21 +83,21 @@ def dq_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def dq_accepted_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Staging rows with soc outside 0..100 (the driver data has some)."""
-    return quality.accepted_range(_models(spark, sf_dir)["stg_vehicle_data"], "state_of_charge_pct", 0, 100)
+    return quality.accepted_range(_models(spark, sf_dir, dirty=False)["stg_vehicle_data"], "state_of_charge_pct", 0, 100)
 
 
 @register(
     "dq_unique_combination",
     _ALL_CTES
-    + """SELECT vehicle_id, observed_hour, count(*) AS n_records FROM fct_vehicle_hourly
-GROUP BY vehicle_id, observed_hour HAVING count(*) > 1""",
+    + """SELECT vehicle_id, observed_at, count(*) AS n_records FROM stg_vehicle_data
+GROUP BY vehicle_id, observed_at HAVING count(*) > 1""",
 )
 def dq_unique_combination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """More than one mart row per vehicle-hour (none expected)."""
-    return quality.unique_combination(_models(spark, sf_dir)["fct_vehicle_hourly"], ["vehicle_id", "observed_hour"])
+    """Vehicles with more than one observation at one time."""
+    return quality.unique_combination(_models(spark, sf_dir)["stg_vehicle_data"], ["vehicle_id", "observed_at"])
 
 
-def _summary_sql() -> str:
+def _summary_sql(telemetry: str) -> str:
     """The same build as SQL: counts per check, then pass/fail/skipped."""
     checks = SOURCE_CHECKS + STAGING_CHECKS + MART_CHECKS
     parts = []
@@ -118,11 +137,18 @@ def _summary_sql() -> str:
     src_q = " + ".join(f"({q})" for c, q in parts[:n_src])
     stg_q = " + ".join(f"({q})" for c, q in parts[n_src:n_src + n_stg])
     gate = f"gate AS (SELECT ({src_q}) > 0 AS src_fail, ({stg_q}) > 0 AS stg_fail)"
-    return with_ctes(TELEMETRY_CTE, STAGING_CTE, MART_CTE, gate) + "\nUNION ALL\n".join(lines)
+    return with_ctes(telemetry, STAGING_CTE, MART_CTE, gate) + "\nUNION ALL\n".join(lines)
 
 
-@register("dq_summary", _summary_sql())
+@register("dq_summary", _summary_sql(TELEMETRY_CTE))
 def dq_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Build with tests; the staging range test fails on the driver data,
     so the mart and its tests are skipped."""
     return build_with_tests(spark, driver_telemetry(spark, sf_dir))
+
+
+@register("dq_summary_pass", _summary_sql(CLEAN_CTE))
+def dq_summary_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Build with tests on rows that keep every rule: the mart is written as a table and tested too."""
+    clean = driver_telemetry(spark, sf_dir).filter(F.col("soc").between(0, 100))
+    return build_with_tests(spark, clean, mart_path=scratch_path(spark, "mart-pass"))

@@ -16,9 +16,10 @@ STRIP_CHARS = " \t\n\x0b\x0c\r"
 
 # Text accepted as a float: sign, digits with single underscores between
 # digits, optional fraction and exponent; or inf / infinity / nan.
-NUMBER_PATTERN = (
-    r"^[+-]?(?:\d(?:_?\d)*(?:\.(?:\d(?:_?\d)*)?)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?$"
-)
+# Groups repeat possessively: the engine loops over them instead of recursing,
+# so a cell of any length is matched in constant stack.
+_DIGITS = r"\d++(?:_\d++)*+"
+NUMBER_PATTERN = rf"^[+-]?+(?:{_DIGITS}(?:\.(?:{_DIGITS})?+)?+|\.{_DIGITS})(?:[eE][+-]?+{_DIGITS})?+$"
 SPECIAL_NUMBER_PATTERN = r"(?i)^[+-]?(?:inf|infinity|nan)$"
 
 

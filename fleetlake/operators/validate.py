@@ -48,7 +48,8 @@ def validate(raw: DataFrame) -> DataFrame:
     reasons. Every regex and cast runs once per cell, and Catalyst keeps
     the steps apart because the facts are used several times.
 
-    Reasons: ``missing_columns:<sorted list>``, ``vehicle_id_empty``,
+    Reasons: ``missing_columns:<sorted list>``, ``encoding_invalid`` (the line is
+    not valid UTF-8), ``vehicle_id_empty``,
     ``vehicle_id_too_long``, ``timestamp_empty``, ``timestamp_invalid``,
     ``speed_not_numeric``, ``<odometer|soc|elevation>_empty``,
     ``<…>_not_numeric``, ``odometer_negative``, ``soc_out_of_range``,
@@ -56,7 +57,8 @@ def validate(raw: DataFrame) -> DataFrame:
     as missing, not again per row.
     """
     ensure_conf(raw.sparkSession)  # naive text is read as UTC
-    keep = [c for c in raw.columns if c not in REQUIRED_COLUMNS + ("vehicle_id", "missing_columns")]
+    keep = [c for c in raw.columns if c not in REQUIRED_COLUMNS + ("vehicle_id", "missing_columns", "bad_encoding")]
+    bad_encoding = F.col("bad_encoding") if "bad_encoding" in raw.columns else F.lit(False)
     missing = (
         F.col("missing_columns") if "missing_columns" in raw.columns else F.lit(None).cast("array<string>")
     )
@@ -64,6 +66,7 @@ def validate(raw: DataFrame) -> DataFrame:
         *keep,
         "vehicle_id",
         missing.alias("_missing"),
+        bad_encoding.alias("_bad_encoding"),
         *[F.col(c).alias(f"raw_{c}") for c in REQUIRED_COLUMNS],
         *[strip(c).alias(f"_t_{c}") for c in REQUIRED_COLUMNS],
     )
@@ -72,6 +75,7 @@ def validate(raw: DataFrame) -> DataFrame:
         *keep,
         "vehicle_id",
         "_missing",
+        "_bad_encoding",
         *[f"raw_{c}" for c in REQUIRED_COLUMNS],
         _blank(t["timestamp"]).alias("_ts_blank"),
         iso_to_timestamp(t["timestamp"]).alias("_ts"),
@@ -102,6 +106,7 @@ def validate(raw: DataFrame) -> DataFrame:
     reasons = F.array_compact(
         F.array(
             F.when(F.size(miss) > 0, F.concat(F.lit("missing_columns:"), F.array_join(miss, ","))),
+            _reason(F.col("_bad_encoding"), "encoding_invalid"),
             _reason(vid.isNull() | (F.length(vid) == 0), "vehicle_id_empty"),
             _reason(F.length(vid) > VEHICLE_ID_MAX_LENGTH, "vehicle_id_too_long"),
             _reason(present("timestamp") & F.col("_ts_blank"), "timestamp_empty"),
@@ -195,16 +200,9 @@ def strict_files(validated: DataFrame) -> DataFrame:
     return validated.join(bad_files, "source_file", "left_anti")
 
 
-def out_of_range(df: DataFrame, column: str, min_value: float, max_value: float) -> DataFrame:
-    """Rows with ``column < min or column > max``; NULL passes."""
-    c = F.col(column)
-    return df.filter((c < F.lit(min_value)) | (c > F.lit(max_value)))
-
-
 __all__ = [
     "first_invalid_row",
     "is_valid",
-    "out_of_range",
     "rejected_rows",
     "strict_files",
     "valid_rows",

@@ -14,7 +14,7 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructField, St
 from fleetlake.operators import marts
 from fleetlake.operators.quality import Check, check_counts
 from fleetlake.schema import HOURLY_MART
-from fleetlake.session import ensure_conf
+from fleetlake.session import ensure_conf, literal_path
 
 # The declared tests of the source, staging and mart models.
 SOURCE_CHECKS = [
@@ -85,8 +85,8 @@ def build_with_tests(
     failed = add_checks(source, SOURCE_CHECKS)
     staging = None
     if not failed:
-        built = marts.build_marts(source, register_views=True)
-        staging = built["stg_vehicle_data"]
+        staging = marts.stg_vehicle_data(source)
+        staging.createOrReplaceTempView("stg_vehicle_data")
     add_model("stg_vehicle_data", not failed)
     failed = add_checks(staging, STAGING_CHECKS) or failed
     mart = None
@@ -95,11 +95,13 @@ def build_with_tests(
         if mart_path:
             write_mart(mart, mart_path, dynamic=False)
             mart = read_mart(spark, mart_path)
+        mart.createOrReplaceTempView("fct_vehicle_hourly")
     add_model("fct_vehicle_hourly", not failed)
     add_checks(mart, MART_CHECKS)
     return spark.createDataFrame(rows, SUMMARY)
 
 
+FILES_PER_DAY = 4
 MART_COLUMNS = tuple(HOURLY_MART.fieldNames())
 
 
@@ -107,8 +109,12 @@ def write_mart(mart: DataFrame, path: str, dynamic: bool) -> None:
     """K5: the mart as a table partitioned by UTC day. ``dynamic=False`` is a
     full rebuild; ``dynamic=True`` replaces only the days present in ``mart``."""
     out = mart.select(*MART_COLUMNS, F.to_date("observed_hour").alias("observed_date"))
+    # A day's rows meet in FILES_PER_DAY tasks at most, so a day has few files.
+    slot = F.pmod(F.xxhash64("vehicle_id"), F.lit(FILES_PER_DAY))
     (
-        out.write.mode("overwrite")
+        out.repartition("observed_date", slot)
+        .sortWithinPartitions("observed_date", "vehicle_id", "observed_hour")
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic" if dynamic else "static")
         .partitionBy("observed_date")
         .parquet(path)
@@ -116,7 +122,7 @@ def write_mart(mart: DataFrame, path: str, dynamic: bool) -> None:
 
 
 def read_mart(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).select(*MART_COLUMNS)
+    return spark.read.parquet(literal_path(path)).select(*MART_COLUMNS)
 
 
 def refresh_mart_days(spark: SparkSession, telemetry: DataFrame, mart_path: str, days: list[date | str]) -> None:
@@ -134,4 +140,14 @@ def refresh_mart_days(spark: SparkSession, telemetry: DataFrame, mart_path: str,
         source = telemetry.filter(F.col("observed_date").isin(wanted))
     else:
         source = telemetry.filter(F.to_date("timestamp").isin(wanted))
-    write_mart(marts.fct_vehicle_hourly(marts.stg_vehicle_data(source)), mart_path, dynamic=True)
+    mart = marts.fct_vehicle_hourly(marts.stg_vehicle_data(source))
+    write_mart(mart, mart_path, dynamic=True)
+    # Days that have no rows any more: nothing was written over what they had.
+    left = {r[0] for r in source.select(F.to_date("timestamp").cast("string")).distinct().collect()}
+    for day in sorted({str(d) for d in days} - left):
+        _drop_day(spark, mart_path, day)
+
+
+def _drop_day(spark: SparkSession, mart_path: str, day: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{mart_path.rstrip('/')}/observed_date={day}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -24,13 +24,12 @@ from fleetlake.sources.lines import ParsedLines
 MODES = ("permissive", "strict")
 
 # Batch keys are broadcast for the history lookup only below this size
-# (estimated per key: vehicle id, timestamp and hash-table overhead).
-KEY_BYTES = 96
+# (measured: the vehicle id's bytes, plus timestamp and hash-table overhead).
+KEY_OVERHEAD_BYTES = 64
 BROADCAST_KEYS_BYTES = 256 * 1024 * 1024
 
 # Rows per range partition when numbering and writing a load (~100–200 MB).
 ROWS_PER_ID_PARTITION = 1_000_000
-MAX_ID_PARTITIONS = 100_000
 
 
 @dataclass
@@ -64,21 +63,28 @@ def apply_mode(validated: DataFrame, mode: str) -> DataFrame:
     return flagged.withColumn("reject_reasons", reasons).drop("_bad")
 
 
-def next_id_base(
-    spark: SparkSession, table_path: str, audit_path: str | None, ingest_id: str, family: bool = False
-) -> int:
-    """Largest id written by *other* loads: from the small ingest log when
-    there is one, else from the table's id column. ``family=True`` also
-    leaves out the chunks ``<ingest_id>-<k>`` of the same batched load."""
+def id_range(
+    spark: SparkSession, table_path: str, audit_path: str | None, ingest_id: str
+) -> tuple[int, tuple[int, int] | None]:
+    """``(largest id given to other loads, this load's recorded (base, last))``.
+
+    The id log has one small row per load. Only while no other load is in it
+    (a table written before there was a log) the table and the ingest log are
+    asked too, and the largest answer counts."""
     own = F.col("ingest_id") == F.lit(ingest_id)
-    if family:
-        own = own | F.col("ingest_id").startswith(F.lit(f"{ingest_id}-"))
-    if audit_path:
-        got = sink.read_audit(spark, audit_path).filter(~own).agg(F.max("max_id")).first()[0]
-        if got is not None:
-            return int(got)
-    got = sink.read_table(spark, table_path).filter(~own).agg(F.max("id")).first()[0]
-    return int(got) if got is not None else 0
+    log = sink.read_id_log(spark, table_path).agg(
+        F.max(F.when(~own, F.col("last"))).alias("others"),
+        F.max(F.when(own, F.col("base"))).alias("base"),
+        F.max(F.when(own, F.col("last"))).alias("last"),
+    ).first()
+    highest = log["others"]
+    if highest is None:
+        known = sink.read_table(spark, table_path).filter(~own).agg(F.max("id")).first()[0]
+        if audit_path:
+            logged = sink.read_audit(spark, audit_path).filter(~own).agg(F.max("max_id")).first()[0]
+            known = max(known or 0, logged or 0)
+        highest = known or 0
+    return int(highest), None if log["base"] is None else (int(log["base"]), int(log["last"]))
 
 
 def ingest_parsed(
@@ -94,9 +100,10 @@ def ingest_parsed(
     """Load one batch of parsed CSV lines into the table, idempotently.
 
     Replaying the same ``ingest_id`` with the same input rewrites the same
-    partitions with the same rows and ids. ``id_base`` (largest id of other
-    loads) may be passed by a caller that tracks it, e.g. a running stream;
-    otherwise it is read from the audit log or the table.
+    partitions with the same rows and ids: a load's id range is recorded beside
+    the table before its rows are written, and a replay finds it. ``id_base``
+    (largest id of other loads) may be passed by a caller that tracks it and
+    knows that this is no replay, e.g. a running stream.
     """
     ensure_conf(spark)
     validated = apply_mode(v.validate(parsed.records), mode).persist(StorageLevel.MEMORY_AND_DISK)
@@ -107,19 +114,20 @@ def ingest_parsed(
         # One small job over the cached rows: the days and time span the batch
         # can touch, and how many keys it has (bounds the broadcast below).
         span = valid.agg(
-            F.collect_set(F.to_date("timestamp")).alias("dates"),
+            F.collect_set(F.to_date("timestamp").cast("string")).alias("dates"),
             # Epoch micros, not datetimes: a round trip through Python values
             # would pass through the driver's local zone (ambiguous at DST changes).
             F.min(F.unix_micros("timestamp")).alias("t0"),
             F.max(F.unix_micros("timestamp")).alias("t1"),
             F.count(F.lit(1)).alias("n"),
+            F.sum(F.octet_length("vehicle_id") + F.lit(KEY_OVERHEAD_BYTES)).alias("key_bytes"),
         ).first()
         history = sink.history_for(spark, table_path, list(span["dates"] or []), exclude_ingest=ingest_id)
         if span["n"]:
             history = history.filter(
                 F.col("timestamp").between(F.timestamp_micros(F.lit(span["t0"])), F.timestamp_micros(F.lit(span["t1"])))
             )
-        if span["n"] * KEY_BYTES <= BROADCAST_KEYS_BYTES:
+        if int(span["key_bytes"] or 0) <= BROADCAST_KEYS_BYTES:
             # Small batch against a big day of history: scan the day's keys once,
             # keep those that match the broadcast batch keys (no shuffle of the
             # history), then anti join against those few matches.
@@ -128,7 +136,6 @@ def ingest_parsed(
         new_rows = insert_new(winners, history).persist(StorageLevel.MEMORY_AND_DISK)
         helpers.append(new_rows)
 
-        base = id_base if id_base is not None else next_id_base(spark, table_path, audit_path, ingest_id)
         # Ids follow (date, vehicle, time): each range partition then covers one
         # or two days, so the partitioned write opens few files per task even
         # for a backfill of years.
@@ -137,13 +144,11 @@ def ingest_parsed(
         )
         # Partitions sized by the batch (same count on a replay, so the same ids):
         # a small micro-batch is not spread over hundreds of tasks and files.
-        parts = max(1, min(MAX_ID_PARTITIONS, -(-int(span["n"] or 0) // ROWS_PER_ID_PARTITION)))
+        parts = max(1, -(-int(span["n"] or 0) // ROWS_PER_ID_PARTITION))
         with_ids, numbered = assign_ids(
-            to_number, base, order=("observed_date", "vehicle_id", "timestamp"), num_partitions=parts
+            to_number, 0, order=("observed_date", "vehicle_id", "timestamp"), num_partitions=parts
         )
         helpers.append(numbered)
-        with_ids = with_ids.persist(StorageLevel.MEMORY_AND_DISK)
-        helpers.append(with_ids)
 
         per_file_new = with_ids.groupBy("source_file").agg(
             F.count(F.lit(1)).alias("rows_inserted"),
@@ -156,31 +161,42 @@ def ingest_parsed(
             F.count_if(ok).alias("rows_valid"),
             F.count_if(~ok).alias("rows_rejected"),
         )
+        # Every listed file is part of the load, also one without rows or bytes.
+        zero = F.lit(0).cast("long")
         audit = (
-            per_file.join(per_file_new, "source_file", "left")
-            .withColumn("rows_inserted", F.coalesce("rows_inserted", F.lit(0)))
+            parsed.files.select(
+                "source_file", "data_rows", (F.size("missing_columns") > 0).alias("bad_header")
+            )
+            .join(per_file, "source_file", "left")
+            .join(per_file_new, "source_file", "left")
+            .withColumns({c: F.coalesce(c, zero) for c in ("rows_read", "rows_valid", "rows_rejected", "rows_inserted")})
             .withColumn("rows_skipped", F.col("rows_valid") - F.col("rows_inserted"))
             .withColumn("ingest_id", F.lit(ingest_id))
+            .persist(StorageLevel.MEMORY_AND_DISK)
         )
-        # Header-only files have no rows but are part of the load.
-        empty_files = parsed.files.filter(F.col("data_rows") == 0).select("source_file")
-        audit = audit.unionByName(
-            empty_files.join(per_file.select("source_file"), "source_file", "left_anti").select(
-                F.lit(ingest_id).alias("ingest_id"),
-                "source_file",
-                *[F.lit(0).cast("long").alias(c) for c in
-                  ("rows_read", "rows_valid", "rows_rejected", "rows_inserted", "rows_skipped")],
-                F.lit(None).cast("long").alias("min_id"),
-                F.lit(None).cast("long").alias("max_id"),
-            ),
-            allowMissingColumns=True,
-        ).persist(StorageLevel.MEMORY_AND_DISK)
         helpers.append(audit)
 
         totals = audit.agg(
             F.sum("rows_read"), F.sum("rows_inserted"), F.sum("rows_skipped"), F.sum("rows_rejected"),
-            F.count_if(F.col("rows_rejected") > 0), F.max("max_id"), F.count(F.lit(1)),
+            F.count_if((F.col("rows_rejected") > 0) | F.col("bad_header")), F.max("max_id"), F.count(F.lit(1)),
+            F.sum("data_rows"),
         ).first()
+        if int(totals[0] or 0) != int(totals[7] or 0):
+            raise RuntimeError(f"{totals[7]} data lines were counted but {totals[0]} were read; nothing was written")
+
+        inserted = int(totals[1] or 0)
+        if id_base is not None:
+            base = id_base
+        else:
+            highest, own = id_range(spark, table_path, audit_path, ingest_id)
+            # A replay keeps its range; one that has grown gets a new one behind all others.
+            if own is not None and inserted <= own[1] - own[0]:
+                base = own[0]
+            else:
+                base = max(highest, own[1] if own else 0)
+        sink.write_id_range(spark, table_path, ingest_id, base, base + inserted)
+        with_ids = with_ids.withColumn("id", F.col("id") + F.lit(base))
+        audit = audit.withColumns({c: F.col(c) + F.lit(base) for c in ("min_id", "max_id")})
         sink.write_telemetry(with_ids, table_path, ingest_id)
         if rejects_path:
             sink.write_rejects(v.rejected_rows(validated), rejects_path, ingest_id)
@@ -193,8 +209,8 @@ def ingest_parsed(
             rows_skipped=int(totals[2] or 0),
             rows_rejected=int(totals[3] or 0),
             files_rejected=int(totals[4] or 0),
-            max_id=int(totals[5]) if totals[5] is not None else base,
-            days=tuple(sorted(d.isoformat() for d in (span["dates"] or []))),
+            max_id=base + inserted,
+            days=tuple(sorted(span["dates"] or [])),
         )
     finally:
         # Newest first: dropping a cache that others were built on makes
@@ -236,21 +252,15 @@ def load_directory(
     many files (sorted by name), ingest ids ``<ingest_id>-<k>``, so what one
     load caches stays bounded; re-running with the same listing replays the
     same groups. The result sums the loads."""
-    from fleetlake.sources.csv_files import file_batches, read_csv_directory
-    from fleetlake.sources.lines import parse_lines, scan_lines
+    from fleetlake.sources.csv_files import file_batches, read_csv_directory, read_csv_files
 
     if not files_per_batch:
         parsed = read_csv_directory(spark, directory, recursive=recursive)
         return ingest_parsed(spark, parsed, table_path, ingest_id, mode, rejects_path, audit_path)
     total: IngestResult | None = None
-    # One base for the whole load, then chained chunk to chunk: a re-run gives the same ids.
-    base = next_id_base(spark, table_path, audit_path, ingest_id, family=True)
     for k, group in enumerate(file_batches(spark, directory, files_per_batch, recursive)):
-        parsed = parse_lines(scan_lines(spark, group))
-        res = ingest_parsed(
-            spark, parsed, table_path, f"{ingest_id}-{k}", mode, rejects_path, audit_path, id_base=base
-        )
-        base = res.max_id
+        parsed = read_csv_files(spark, group)
+        res = ingest_parsed(spark, parsed, table_path, f"{ingest_id}-{k}", mode, rejects_path, audit_path)
         total = res if total is None else IngestResult(
             ingest_id=ingest_id,
             rows_read=total.rows_read + res.rows_read,

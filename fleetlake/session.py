@@ -69,6 +69,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not root:
         root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="fleetlake-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -81,6 +83,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_root(spark)}/fleetlake-scratch/{label}-{uuid.uuid4().hex[:12]}"
 
 
+_GLOB_CHARS = "\\[]*?{}"
+
+
+def literal_path(path: str) -> str:
+    """``path`` with glob characters escaped: Spark's readers take it as it stands."""
+    return "".join("\\" + c if c in _GLOB_CHARS else c for c in path)
+
+
 def local_path(path: str) -> str:
     """Strip a ``file:`` scheme so plain Python can inspect a local path (tests only)."""
     if path.startswith("file:"):

@@ -10,18 +10,20 @@ half of a load while it is being written (no transaction log here).
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from fleetlake.schema import INGEST_AUDIT, REJECTS, STORED_TELEMETRY, TELEMETRY
+from fleetlake.session import literal_path
 
 
 def _read_or_empty(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     try:
-        return spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
-    except Exception as exc:
-        if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc):
+        return spark.read.schema(schema).parquet(literal_path(path)).select(*schema.fieldNames())
+    except AnalysisException as exc:
+        if exc.getCondition() == "PATH_NOT_FOUND":
             return spark.createDataFrame([], schema)
         raise
 
@@ -41,7 +43,7 @@ def history_for(spark: SparkSession, path: str, dates: list, exclude_ingest: str
     if not dates:
         return empty
     days = ",".join(sorted({d.isoformat() if hasattr(d, "isoformat") else str(d) for d in dates}))
-    glob = f"{path.rstrip('/')}/observed_date={{{days}}}"
+    glob = f"{literal_path(path.rstrip('/'))}/observed_date={{{days}}}"
     try:
         hist = (
             spark.read.schema(STORED_TELEMETRY)
@@ -49,8 +51,8 @@ def history_for(spark: SparkSession, path: str, dates: list, exclude_ingest: str
             .parquet(glob)
             .select(*STORED_TELEMETRY.fieldNames())
         )
-    except Exception as exc:
-        if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc):
+    except AnalysisException as exc:
+        if exc.getCondition() == "PATH_NOT_FOUND":
             return empty
         raise
     if exclude_ingest is not None:
@@ -108,7 +110,7 @@ def write_audit(audit: DataFrame, path: str, n_rows: int | None = None) -> None:
     out = audit.select(*[F.col(f.name).cast(f.dataType) for f in AUDIT_SCHEMA.fields])
     parts = max(1, -(-(n_rows or 0) // AUDIT_ROWS_PER_FILE))
     (
-        out.coalesce(parts)
+        out.repartition(parts)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("ingest_id")
@@ -118,3 +120,29 @@ def write_audit(audit: DataFrame, path: str, n_rows: int | None = None) -> None:
 
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
     return _read_or_empty(spark, path, AUDIT_SCHEMA)
+
+
+# One row per load: the ids it may use are base + 1 … last. Kept beside the
+# table and written before the load's rows, so a range is never given twice,
+# whatever fails later, and a replay finds the range it had.
+ID_LOG = StructType(
+    [StructField("ingest_id", StringType(), False), StructField("base", LongType(), False), StructField("last", LongType(), False)]
+)
+
+
+def id_log_path(table_path: str) -> str:
+    return f"{table_path.rstrip('/')}-ids"
+
+
+def read_id_log(spark: SparkSession, table_path: str) -> DataFrame:
+    return _read_or_empty(spark, id_log_path(table_path), ID_LOG)
+
+
+def write_id_range(spark: SparkSession, table_path: str, ingest_id: str, base: int, last: int) -> None:
+    (
+        spark.createDataFrame([(ingest_id, base, last)], ID_LOG).coalesce(1)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("ingest_id")
+        .parquet(id_log_path(table_path))
+    )

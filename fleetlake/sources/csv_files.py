@@ -3,15 +3,16 @@ contract (S2) and a single uploaded file with a caller-given id (S3)."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlake.session import ensure_conf
+from fleetlake.session import ensure_conf, literal_path
 from fleetlake.sources.lines import (
     ParsedLines,
+    list_files,
     load_path,
     parse_lines,
-    path_key,
     path_key_text,
     scan_lines,
     text_source,
@@ -21,20 +22,23 @@ from fleetlake.sources.lines import (
 def csv_source(spark: SparkSession, directory: str | list[str], recursive: bool = False):
     """The text scan of every ``*.csv`` below ``directory``; ``ValueError`` when there is none."""
     ensure_conf(spark)
-    paths = [directory] if isinstance(directory, str) else list(directory)
+    paths = _folders(directory)
     try:
         source = text_source(spark, paths, recursive=recursive)
         has_files = len(source.inputFiles()) > 0
-    except Exception as exc:
-        if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc):
-            has_files = False
-        else:
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
             raise
+        has_files = False
     if not has_files:
-        raise ValueError(f"No CSV files found in {', '.join(paths)}")
+        raise ValueError(f"No CSV files found in {directory if isinstance(directory, str) else ', '.join(directory)}")
     return source
 
 
+def _folders(directory: str | list[str]) -> list[str]:
+    return [literal_path(d) for d in ([directory] if isinstance(directory, str) else directory)]
+
+
 def read_csv_directory(
     spark: SparkSession,
     directory: str | list[str],
@@ -43,7 +47,14 @@ def read_csv_directory(
 ) -> ParsedLines:
     """Every ``*.csv`` in the directory (sorted by name); the vehicle id
     is each file's stem. Raises ``ValueError`` when there is no CSV file."""
-    return parse_lines(scan_lines(spark, csv_source(spark, directory, recursive)), cache=cache)
+    source = csv_source(spark, directory, recursive)
+    return parse_lines(scan_lines(spark, source), cache=cache, listing=list_files(source))
+
+
+def read_csv_files(spark: SparkSession, paths: list[str]) -> ParsedLines:
+    """S1 for a part of a directory: the given loadable paths (see :func:`file_batches`)."""
+    source = text_source(spark, paths, glob=None)
+    return parse_lines(scan_lines(spark, source), listing=list_files(source))
 
 
 def file_batches(spark: SparkSession, directory: str | list[str], files_per_batch: int, recursive: bool = False):
@@ -64,14 +75,15 @@ def read_csv_file(spark: SparkSession, path: str, vehicle_id: str, cache: bool =
         raise ValueError("vehicle_id must not be empty")
     if not path or not path.lower().endswith(".csv"):
         raise ValueError("A CSV file is required")
-    source = text_source(spark, [path], glob=None)
-    return parse_lines(scan_lines(spark, source), vehicle_id=vehicle_id, cache=cache)
+    paths = [literal_path(path)]
+    source = text_source(spark, paths, glob=None)
+    return parse_lines(scan_lines(spark, source), vehicle_id=vehicle_id, cache=cache, listing=list_files(source))
 
 
 def read_uploads(spark: SparkSession, uploads: list[tuple[str, str]], cache: bool = False) -> ParsedLines:
     """S3 for many uploads at once: each ``(path, vehicle_id)`` pair is one
     file with its caller-given id (one scan, one job, instead of one per file).
-    The id lookup is a literal map keyed by path — its size is the upload list."""
+    The ids are a table joined to the splits of the files."""
     ensure_conf(spark)
     if not uploads:
         raise ValueError("no uploads given")
@@ -80,10 +92,12 @@ def read_uploads(spark: SparkSession, uploads: list[tuple[str, str]], cache: boo
             raise ValueError("vehicle_id must not be empty")
         if not path or not path.lower().endswith(".csv"):
             raise ValueError("A CSV file is required")
-    source = text_source(spark, [p for p, _ in uploads], glob=None)
-    lookup = F.create_map(*[x for p, vid in uploads for x in (F.lit(path_key_text(p)), F.lit(vid))])
-    vid = F.try_element_at(lookup, path_key(F.col("file_path")))
-    return parse_lines(scan_lines(spark, source), vehicle_id=vid, cache=cache)
+    paths = [literal_path(p) for p, _ in uploads]
+    source = text_source(spark, paths, glob=None)
+    ids = spark.createDataFrame(
+        list({path_key_text(spark, p): vid for p, vid in uploads}.items()), "path_key string, vehicle_id string"
+    )
+    return parse_lines(scan_lines(spark, source), vehicle_id=ids, cache=cache, listing=list_files(source))
 
 
 def header_contract(parsed: ParsedLines) -> DataFrame:

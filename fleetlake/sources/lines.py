@@ -8,7 +8,10 @@ reported) and "Invalid row N" messages, for files of any size. So:
 1. ``lines``: text scan → ``value, file_path, block_start`` (Hadoop splits,
    a line belongs to the split it starts in); blank lines dropped (the Python
    CSV reader skips them too), then ``line_id = monotonically_increasing_id()``,
-   which is contiguous inside one split.
+   which is contiguous inside one split. How files are split follows settings
+   and the cores of the moment, so the text is scanned once: the numbered lines
+   are written to the shared scratch folder (a bounded micro-batch is persisted
+   instead) and every later step reads those.
 2. ``splits``: ``groupBy(file, block)`` → first ``line_id``, line count and
    first line. This is one row per split — tiny next to the data. A window
    over it (partitioned by file) gives each split's running row offset and
@@ -21,7 +24,9 @@ reported) and "Invalid row N" messages, for files of any size. So:
    the cell at the position of its name in that file's header.
 
 No step keeps a whole file in one task, and no per-row window runs over a
-file. Quoted line breaks are not supported (such a row is rejected).
+file. Quoted line breaks are not supported (such a row is rejected). A line
+that is not valid UTF-8 is marked, so that it is rejected. Files without any
+line are known from the file listing and lack every column.
 """
 
 from __future__ import annotations
@@ -36,9 +41,11 @@ from pyspark.sql.window import Window
 
 from fleetlake.functions.naming import vehicle_id_from_path
 from fleetlake.schema import REQUIRED_COLUMNS
+from fleetlake.session import literal_path, scratch_path
 
 # The split table is broadcast when its estimated size is below this.
 SPLIT_TABLE_BROADCAST_BYTES = 64 * 1024 * 1024
+GIVEN_ID_BYTES = 160  # a caller's vehicle id of up to 100 characters, on every split of its file
 CSV_OPTIONS = {"quote": '"', "escape": '"', "mode": "PERMISSIVE"}
 BOM = "\ufeff"  # stripped from a header line if the reader left it there
 
@@ -48,7 +55,7 @@ class ParsedLines:
     """Result of :func:`parse_lines`.
 
     ``records``: one row per data line — ``source_file, row_number,
-    order_key, vehicle_id, missing_columns`` and the six contract columns
+    order_key, vehicle_id, missing_columns, bad_encoding`` and the six contract columns
     as text. ``files``: one row per file — ``source_file, header,
     missing_columns, data_rows``. Call :meth:`release` when done if
     ``cache`` was requested.
@@ -64,16 +71,11 @@ class ParsedLines:
             df.unpersist()
 
 
-_GLOB_CHARS = "\\[]*?{}"
-
-
 def load_path(uri: str) -> str:
     """A listed file URI (``inputFiles`` gives ``car%201.csv``) as a path
     ``load`` reads literally: URI-decoded, glob characters escaped."""
     parts = urlsplit(uri)
-    path = unquote(parts.path)
-    for ch in _GLOB_CHARS:
-        path = path.replace(ch, "\\" + ch)
+    path = literal_path(unquote(parts.path))
     return f"{parts.scheme}://{parts.netloc}{path}" if parts.scheme else path
 
 
@@ -89,6 +91,13 @@ def text_source(spark: SparkSession, paths: list[str], recursive: bool = False,
     return reader.load(paths)
 
 
+def list_files(source: DataFrame) -> DataFrame:
+    """``file_path`` of every file that :func:`text_source` listed, also of
+    those without a byte, which a scan leaves out. The listing itself is held
+    by the driver for any scan; ``files_per_batch`` bounds it for a backfill."""
+    return source.sparkSession.createDataFrame([(f,) for f in source.inputFiles()], "file_path string")
+
+
 def scan_lines(spark: SparkSession, files: list[str] | DataFrame) -> DataFrame:
     """Step 1: non-blank lines with file, split and a per-split running id."""
     raw = files if isinstance(files, DataFrame) else spark.read.format("text").load(files)
@@ -150,22 +159,28 @@ def _position(header: Column, name: str) -> Column:
 
 def parse_lines(
     lines: DataFrame,
-    vehicle_id: str | Column | None = None,
+    vehicle_id: str | DataFrame | None = None,
     cache: bool = False,
     broadcast_bytes: int = SPLIT_TABLE_BROADCAST_BYTES,
+    listing: DataFrame | None = None,
 ) -> ParsedLines:
-    """Steps 2–4. ``vehicle_id`` (text, or a Column over ``file_path``)
-    overrides the id taken from the file name.
+    """Steps 2–4. ``vehicle_id`` overrides the id taken from the file name: one
+    text for all files, or a table ``path_key, vehicle_id`` (joined per split).
+    ``listing`` (``file_path``) adds the files that have no line to ``files``.
 
     Runs one small job over the split table (its width and size). With
-    ``cache=True`` the lines are persisted so the text is read once (right
-    for bounded micro-batches); otherwise it is read twice, which costs I/O
-    but no executor memory at any input size.
+    ``cache=True`` the lines are persisted (right for bounded micro-batches);
+    otherwise they are written to the shared scratch folder, which costs I/O
+    but no executor memory at any input size, and survives a lost executor.
     """
     cached: list[DataFrame] = []
     if cache:
         lines = lines.persist(StorageLevel.MEMORY_AND_DISK)
         cached.append(lines)
+    else:
+        spark, path = lines.sparkSession, scratch_path(lines.sparkSession, "lines")
+        lines.write.parquet(path)
+        lines = spark.read.schema(lines.schema).parquet(path)
     splits = split_table(lines).persist(StorageLevel.MEMORY_AND_DISK)
     cached.append(splits)
     stats = splits.agg(
@@ -185,11 +200,17 @@ def parse_lines(
         "line_offset",
         header.alias("header"),
     )
+    if isinstance(vehicle_id, DataFrame):
+        # One look-up per split, not per line.
+        split_info = split_info.withColumn("path_key", path_key(F.col("file_path"))).join(
+            vehicle_id.select("path_key", F.col("vehicle_id").alias("given_id")), "path_key", "left"
+        ).drop("path_key")
+        est_bytes += vehicle_id.count() * GIVEN_ID_BYTES
     join_side = F.broadcast(split_info) if est_bytes <= broadcast_bytes else split_info
     # Parse each line once, before the join: the join keeps Catalyst from
     # inlining the parser into every later use of a cell.
     parsed_lines = lines.withColumn("_csv", _csv_struct(F.col("value"), width)).select(
-        "file_path", "block_start", "line_id", F.array(*[F.col(f"_csv.c{i}") for i in range(width)]).alias("cells")
+        "file_path", "block_start", "line_id", (~F.is_valid_utf8("value")).alias("bad_encoding"), F.array(*[F.col(f"_csv.c{i}") for i in range(width)]).alias("cells")
     )
     joined = parsed_lines.join(join_side, ["file_path", "block_start"], "inner")
     row_number = F.col("line_id") - F.col("first_line_id") + F.col("line_offset") + F.lit(1)
@@ -197,6 +218,8 @@ def parse_lines(
         "file_path",
         "cells",
         "header",
+        "bad_encoding",
+        *(["given_id"] if isinstance(vehicle_id, DataFrame) else []),
         row_number.alias("row_number"),
         # Total order of lines inside a file without extra work: split start, then line id.
         F.struct("block_start", "line_id").alias("order_key"),
@@ -214,21 +237,31 @@ def parse_lines(
     elif isinstance(vehicle_id, str):
         vid = F.lit(vehicle_id)
     else:
-        vid = vehicle_id
+        vid = F.col("given_id")
     records = with_rn.select(
         F.col("file_path").alias("source_file"),
         "row_number",
         "order_key",
         vid.alias("vehicle_id"),
         F.array_except(required, F.col("header")).alias("missing_columns"),
+        "bad_encoding",
         *bound,
     )
-    files = splits.groupBy("file_path").agg(
+    per_file = splits.groupBy("file_path").agg(
         F.first("header_line").alias("header_line"), F.first("file_lines").alias("file_lines")
-    ).select(
+    )
+    if listing is not None:
+        # A listing spells the empty authority out (file:///), a scan does not (file:/).
+        listed = listing.select(path_key(F.col("file_path")).alias("key"), F.col("file_path").alias("listed_path"))
+        per_file = (
+            per_file.withColumn("key", path_key(F.col("file_path"))).join(listed, "key", "full_outer")
+            .withColumn("file_path", F.coalesce("file_path", "listed_path"))
+        )
+    header_cells = F.slice(_cells(F.col("header_line"), width), 1, F.size(F.split("header_line", ",", -1)))
+    files = per_file.select(
         F.col("file_path").alias("source_file"),
-        F.slice(_cells(F.col("header_line"), width), 1, F.size(F.split("header_line", ",", -1))).alias("header"),
-        (F.col("file_lines") - F.lit(1)).alias("data_rows"),
+        F.when(F.col("header_line").isNull(), F.array().cast("array<string>")).otherwise(header_cells).alias("header"),
+        F.coalesce(F.col("file_lines") - F.lit(1), F.lit(0)).alias("data_rows"),
     ).withColumn("missing_columns", F.array_except(required, F.col("header")))
     return ParsedLines(records=records, files=files, width=width, _cached=tuple(cached))
 
@@ -240,7 +273,9 @@ def path_key(path: Column) -> Column:
     return F.regexp_replace(decoded, r"^[a-zA-Z][a-zA-Z0-9+.-]*:/*", "")
 
 
-def path_key_text(path: str) -> str:
-    parts = urlsplit(path)
-    key = f"{parts.netloc}{parts.path}" if parts.scheme else path
-    return key.lstrip("/")
+def path_key_text(spark: SparkSession, path: str) -> str:
+    """The key of a caller's path, relative or not, as its file system qualifies it."""
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    uri = fs.makeQualified(hadoop_path).toUri()
+    return f"{uri.getAuthority() or ''}{uri.getPath()}".lstrip("/")

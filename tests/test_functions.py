@@ -58,6 +58,25 @@ def test_required_float(spark):
     assert reasons == ["odometer_empty"] * 3 + [None] * 3 + ["odometer_not_numeric"] * 2
 
 
+def test_basic_format_other_separators_and_years(spark):
+    taken = ["20260721T103000", "20260721", "2026-07-21_10:31:00", "20260721 10", "2026-07-21x1031", "20260721T103000.25+0200",
+             "2026-07-21T103000Z", "9999-12-31T23:59:59Z", "0001-01-01T00:00:00Z"]
+    got = _eval(spark, taken, lambda c: F.unix_micros(parse_iso_timestamp(c)))
+    for text, micros in zip(taken, got):
+        ref = dt.datetime.fromisoformat(text)
+        ref = ref if ref.tzinfo else ref.replace(tzinfo=dt.timezone.utc)
+        assert micros == (ref - dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)) // dt.timedelta(microseconds=1), text
+    refused = ["0000-01-01T00:00:00Z", "9999-12-31T23:30:00-05:00", "0001-01-01T00:30:00+02:00", "2026072", "20260721T1030000",
+               "2026-07-21T10:30:00ZZ", "202607-21"]
+    assert _eval(spark, refused, parse_iso_timestamp) == [None] * len(refused)
+
+
+def test_long_cells_are_matched_without_recursion(spark):
+    long = ["1_" * 50_000 + "1", "9" * 50_000 + "x", "1" * 300 + "." + "5" * 50_000, "1_" * 50_000]
+    got = _eval(spark, long, required_float)
+    assert got[0] == float("inf") and got[1] is None and got[2] == float("1" * 300) and got[3] is None
+
+
 def test_iso_timestamps(spark):
     values = [
         "2026-07-21T10:30:00Z",
@@ -69,7 +88,7 @@ def test_iso_timestamps(spark):
         "2026-07-21T10",
         "2026-07-21T10:30:00,5",
         "not-a-timestamp",
-        "20260721T103000",
+        "20260230T103000",
         "10:30:00",
         "2026",
         "2026-02-30",

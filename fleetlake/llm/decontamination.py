@@ -39,17 +39,23 @@ def _shingle_at(w: Column, i: Column, k: int) -> list[Column]:
     return [F.get(w, i + j) for j in range(k)]
 
 
-def shingles(w: Column, k: int) -> Column:
-    """The distinct shingles of an array of words, as text."""
-    spread = F.when(F.size(w) >= k, F.sequence(F.lit(0), F.size(w) - k)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(spread, lambda i: F.concat_ws(" ", *_shingle_at(w, i, k))))
+def _places(w: Column, k: int) -> Column:
+    """Where the shingles of an array of words start."""
+    return F.when(F.size(w) >= k, F.sequence(F.lit(0), F.size(w) - k)).otherwise(F.array().cast("array<int>"))
+
+
+def shingles(column: str, k: int) -> Column:
+    """The distinct shingles of a column of word arrays, as text. It takes a column and no expression, which would be
+    worked out again for every place."""
+    w = F.col(column)
+    return F.array_distinct(F.transform(_places(w, k), lambda i: F.concat_ws(" ", *_shingle_at(w, i, k))))
 
 
 def item_sketches(items: DataFrame, containment: float, k: int) -> DataFrame:
     """``(item, item_id, shingles, n_shingles, partition, sketch)`` for every item with shingles."""
     sets = items.select(
-        F.xxhash64(F.col("item_id").cast("string"), F.col("text")).alias("item"), F.col("item_id"),
-        shingles(words(F.col("text")), k).alias("shingles")).dropDuplicates(["item"])
+        F.xxhash64(F.col("item_id").cast("string"), F.col("text")).alias("item"), F.col("item_id"), words(F.col("text")).alias("w"),
+    ).select("item", "item_id", shingles("w", k).alias("shingles")).dropDuplicates(["item"])
     sized = sets.withColumn("n_shingles", F.size("shingles")).where("n_shingles > 0")
     partition = F.floor(F.log2("n_shingles")).cast("int")
     # a contaminated document lacks n - ceil(containment * n) shingles at most; the partition's largest size lacks most
@@ -73,15 +79,15 @@ def contaminated(
     members, sketch = _small(known.select("item", F.explode("sketch").alias("h")), "sketch-members")
     ceiling = members.agg(F.max("h").alias("h")).first().h
     texts = docs.select("doc_id", words(F.col("text")).alias("w"))
-    long_enough = texts.where(F.size("w") >= k)
-    places = long_enough.select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - k)).alias("i"))
+    places = texts.select("doc_id", "w", F.explode(_places(F.col("w"), k)).alias("i"))
     hashed = places.select("doc_id", F.xxhash64(*_shingle_at(F.col("w"), F.col("i"), k)).alias("h"))
     below = hashed.where(F.col("h") <= F.lit(ceiling).cast("long"))
     found = below.join(sketch, "h").select(F.struct("doc_id").alias("doc"), "item").distinct()
     candidates, small = _small(found.groupBy("doc").agg(F.collect_set("item").alias("items")), "candidates")
     checked = (
         docs.select(F.struct("doc_id").alias("doc"), F.col("text")).join(small, "doc")
-        .select("doc", shingles(words(F.col("text")), k).alias("own"), "items")
+        .select("doc", words(F.col("text")).alias("w"), "items")
+        .select("doc", shingles("w", k).alias("own"), "items")
         .select("doc", "own", F.explode("items").alias("item"))
         .join(known.select("item", "item_id", "n_shingles", "shingles"), "item")
         .select("doc.doc_id", "item_id", F.size(F.array_intersect("shingles", "own")).alias("n_shared"), "n_shingles")

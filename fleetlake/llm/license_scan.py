@@ -7,9 +7,10 @@ templates (words dropped, cut, joined with ordinary paragraphs) and from ordinar
 of both is held out, to fit a temperature and the least probability at which a paragraph counts as a licence. A prediction
 is confirmed if the paragraph holds ``CONFIRMED`` of the features of one of the family's templates.
 
-Scoring is DataFrame code. An upper bound of a paragraph's evidence comes first, in the row: a table by hash of word and
-pair holds the largest positive weight of any feature that falls there. Paragraphs whose bound is below what the least
-probability asks for are unknown, whatever else they hold; the few others are scored exactly, by a join with the weights.
+Scoring is DataFrame code. An upper bound of a paragraph's evidence comes first, in the row: each template word is worth its
+own positive weight and those of the pairs in which it is the rarer word, and the words that are worth something are summed.
+Paragraphs whose bound is below what the least probability asks for are unknown, whatever else they hold; the few others are
+scored exactly, by a join with the weights.
 The weights are sent to every task; they are bounded by the templates' words. Text is read once more for the sample; only
 paragraphs that pass the bound are shuffled.
 
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,7 +36,6 @@ SAMPLE_DOCS = 400
 SAMPLE_LINES = 3000
 VARIATIONS = 60
 CONFIRMED = 0.7
-TABLE_SIZE = 1 << 13
 _BREAK = "[^a-z0-9]+"
 _SEED = 9
 
@@ -49,8 +50,9 @@ def _words(line: Column) -> Column:
     return F.array_remove(F.split(F.lower(line), _BREAK), "")
 
 
-def _grams(words: Column) -> Column:
-    """The distinct words and pairs of an array of words."""
+def _grams(column: str) -> Column:
+    """The distinct words and pairs of a column of word arrays (an expression would be worked out for every pair)."""
+    words = F.col(column)
     at = F.when(F.size(words) > 1, F.sequence(F.lit(0), F.size(words) - 2)).otherwise(F.array().cast("array<int>"))
     return F.array_distinct(F.concat(words, F.transform(at, lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1)))))
 
@@ -70,6 +72,26 @@ class LicenceModel:
     offsets: np.ndarray
     temperature: float
     least: float
+    ordinary: Counter[str]
+
+    def against_unknown(self) -> np.ndarray:
+        """By feature and family: evidence for the family against unknown."""
+        return (self.weights[:, :-1] - self.weights[:, -1:]) / self.temperature
+
+    def worth(self) -> dict[str, float]:
+        """By word: the most that its own weight and those of the pairs in which it is the rarer word can add."""
+        out: dict[str, float] = {}
+        for gram, most in zip(self.grams, self.against_unknown().max(axis=1)):
+            if most > 0:
+                word = min(reversed(gram.split(" ")), key=lambda w: self.ordinary[w])
+                out[word] = out.get(word, 0.0) + float(most)
+        return out
+
+    def asked(self) -> float:
+        """The evidence that the strongest family of any licence has at least."""
+        n = len(self.families)
+        start = (self.offsets[:n] - self.offsets[n]) / self.temperature
+        return float(np.log(self.least / (1 - self.least) / n) - start.max())
 
     def probabilities(self, grams: set[str]) -> np.ndarray:
         at = [i for i, g in enumerate(self.grams) if g in grams]
@@ -128,17 +150,18 @@ def fit(ordinary: list[list[str]], templates: dict[str, tuple[str, ...]] = TEMPL
     chance = 1 - _softmax(raw / temperature)[:, -1]
     ordinary_chance = np.sort(chance[truth[:, -1] == 1])
     least = float(np.clip(ordinary_chance[int(0.999 * (len(ordinary_chance) - 1))] if len(ordinary_chance) else 0.5, 0.5, 0.99))
-    return LicenceModel(families, grams, weights.astype(np.float64), offsets.astype(np.float64), temperature, least)
+    ordinary_words = Counter(g for o in plain for g in o)
+    return LicenceModel(families, grams, weights.astype(np.float64), offsets.astype(np.float64), temperature, least, ordinary_words)
 
 
 def sample_features(docs: DataFrame) -> list[list[str]]:
     """The template features of the sampled paragraphs; bounded by ``SAMPLE_LINES``."""
     spark = docs.sparkSession
     chosen = docs.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64(F.lit(_SEED), "doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    lines = paragraphs(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
+    lines = paragraphs(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).withColumn("words", _words(F.col("line")))
     grams = spark.createDataFrame([(sorted({g for t in TEMPLATES.values() for x in t for g in template_grams(x)}),)], "known array<string>")
     found = lines.join(F.broadcast(grams)).select(  # one row
-        F.xxhash64("doc_id", "paragraph").alias("place"), F.array_intersect("known", _grams(_words(F.col("line")))).alias("own"))
+        F.xxhash64("doc_id", "paragraph").alias("place"), F.array_intersect("known", _grams("words")).alias("own"))
     return [list(r.own) for r in found.orderBy("place", F.size("own")).limit(SAMPLE_LINES).collect()]
 
 
@@ -151,23 +174,16 @@ def licences(docs: DataFrame, model: LicenceModel | None = None) -> DataFrame:
     model = model or train(docs)
     spark = docs.sparkSession
     n = len(model.families)
-    # by class: evidence against unknown; what a licence asks of its strongest family
-    against = (model.weights[:, :n] - model.weights[:, n:]) / model.temperature
-    start = (model.offsets[:n] - model.offsets[n]) / model.temperature
-    asked = np.log(model.least / (1 - model.least) / n) - start.max()
-    hashes = _hash_places(spark, model.grams)
-    bound = np.zeros(TABLE_SIZE)
-    np.maximum.at(bound, hashes, against.max(axis=1))
-    table = F.lit(bound)
+    worth = model.worth()
+    words = sorted(worth) or [""]
+    table = F.map_from_arrays(F.array(*[F.lit(x) for x in words]), F.array(*[F.lit(worth.get(x, 0.0)) for x in words]))
     lines = paragraphs(docs).withColumn("words", _words(F.col("line")))
-    w = F.col("words")
-
-    def evidence(total: Column, i: Column) -> Column:
-        pair = F.when(i > 0, F.get(table, _place(F.concat_ws(" ", F.get(w, i - 1), F.get(w, i))))).otherwise(0.0)
-        return total + F.get(table, _place(F.get(w, i))) + pair
-
-    reach = F.when(F.size(w) > 0, F.aggregate(F.sequence(F.lit(0), F.size(w) - 1), F.lit(0.0), evidence)).otherwise(0.0)
-    passed = lines.where(reach >= float(asked) - 1e-6).select("doc_id", "paragraph", _grams(w).alias("grams")).distinct()
+    lines = lines.withColumn("found", F.array_intersect("words", F.array(*[F.lit(x) for x in words])))
+    reach = F.aggregate("found", F.lit(0.0), lambda total, x: total + F.element_at(table, x))
+    # a generator and no filter: a filter would be moved below the column of words, and split the line for every word
+    kept = F.when((F.size("found") > 0) & (reach >= model.asked() - 1e-6), F.array("words")).otherwise(F.array().cast("array<array<string>>"))
+    passed = lines.select("doc_id", "paragraph", F.explode(kept).alias("words"))
+    passed = passed.select("doc_id", "paragraph", _grams("words").alias("grams")).distinct()
     weights = spark.createDataFrame(
         [(g, [float(v) for v in row / model.temperature]) for g, row in zip(model.grams, model.weights)], "gram string, w array<double>")
     sums = (
@@ -190,11 +206,3 @@ def licences(docs: DataFrame, model: LicenceModel | None = None) -> DataFrame:
     compared = named.join(F.broadcast(known), "family").groupBy("doc_id", "paragraph", "family", "probability").agg(F.max(share).alias("template_share"))
     return compared.select("doc_id", "paragraph", "family", "probability", "template_share", (F.col("template_share") >= CONFIRMED).alias("confirmed"))
 
-
-def _place(gram: Column) -> Column:
-    return F.pmod(F.xxhash64(gram), F.lit(TABLE_SIZE)).cast("int")
-
-
-def _hash_places(spark, grams: list[str]) -> np.ndarray:
-    rows = spark.createDataFrame([(i, g) for i, g in enumerate(grams)], "i int, gram string").select("i", _place(F.col("gram")).alias("at")).collect()
-    return np.array([at for _, at in sorted(map(tuple, rows))])

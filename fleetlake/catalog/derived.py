@@ -89,7 +89,7 @@ ISO_TEXTS_SQL = """SELECT event_id AS id,
        CASE event_id % 8
             WHEN 4 THEN date_trunc('second', ts)
             WHEN 5 THEN date_trunc('day', ts)
-            WHEN 6 THEN NULL
+            WHEN 6 THEN date_trunc('second', ts)
             WHEN 7 THEN NULL
             ELSE ts END AS parsed
 FROM events"""

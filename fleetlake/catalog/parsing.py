@@ -96,7 +96,7 @@ def required_float_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("parse_timestamp", ISO_TEXTS_SQL)
 def parse_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P5: ISO text with Z, offsets, seconds only, date only; basic format and
+    """P5: ISO text with Z, offsets, seconds only, date only, basic format;
     bare times are rejected (Spark alone would read a bare time as today)."""
     texts = iso_texts(_events(spark, sf_dir))
     return texts.select("id", "raw", parse_iso_timestamp("raw").alias("parsed"))

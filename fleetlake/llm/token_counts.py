@@ -124,7 +124,7 @@ class TokenCounter:
             if len(known) > self._remembered:
                 known.clear()
             found = Counter(WORD.findall(stretch.lower()))
-            for word in found.keys() - known.keys():
+            for word in [w for w in found if w not in known]:
                 known[word] = self.word(word)
             words += found.total()
             tokens += sum([known[word] * n for word, n in found.items()])

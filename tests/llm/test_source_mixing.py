@@ -60,9 +60,9 @@ def random_docs(seed, n=400):
              f"src{min(rng.randrange(40), rng.randrange(12))}" if rng.random() < 0.9 else "web", 0) for i in range(n)]
 
 
-@pytest.mark.parametrize("mix", [Mix(), Mix(percent_of_tokens=30, max_epochs=1), Mix(percent_of_tokens=250), Mix(percent_of_tokens=10_000),
-                                 Mix(domains={"domain3": 500}, sources={"src3": 9, "src7": 2}, seed=9)])
-@pytest.mark.parametrize("range_docs", [10_000, 7])
+@pytest.mark.parametrize("mix, range_docs", [
+    (Mix(), 7), (Mix(percent_of_tokens=30, max_epochs=1), 10_000), (Mix(percent_of_tokens=250), 7),
+    (Mix(domains={"domain3": 500}, sources={"src3": 9, "src7": 2}, seed=9), 7)])
 def test_shares_and_prefixes_against_brute_force(spark, monkeypatch, mix, range_docs):
     monkeypatch.setattr(m, "RANGE_DOCS", range_docs)
     rows = random_docs(mix.percent_of_tokens)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from fleetlake.llm.common import stored
 
-RANGE_DOCS = 10_000
+RANGE_DOCS = 1_000
 BROADCAST_LEAVES = 100_000
 _SPACES = r"[ \t\n\r\f\x0B]+"
 _TREE = ["domain", "lang", "source"]

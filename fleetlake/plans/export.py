@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fleetlake.functions.naming import export_file_name
 from fleetlake.operators.query import filter_vehicle
 from fleetlake.schema import EXPORT_FORMATS
-from fleetlake.sinks.files import export_records, write_records
+from fleetlake.sinks.files import export_records, read_records, write_records
 
 
 class VehicleNotFound(LookupError):
@@ -32,19 +32,20 @@ def export_vehicle(
     if rows.isEmpty():
         raise VehicleNotFound(f"No data found for vehicle '{vehicle_id}'")
     write_records(export_records(rows), path, export_format, by_vehicle=False)
-    return export_manifest(rows, export_format)
+    return export_manifest(read_records(spark, path, export_format), export_format)
 
 
 def export_fleet(telemetry: DataFrame, path: str, export_format: str = "csv") -> DataFrame:
     """K3 at scale: all vehicles in one job, ``vehicle=<id>/`` per vehicle
     (ids that sanitise to the same name stay apart). Returns the manifest."""
     write_records(export_records(telemetry), path, export_format, by_vehicle=True)
-    return export_manifest(telemetry, export_format)
+    return export_manifest(read_records(telemetry.sparkSession, path, export_format), export_format)
 
 
-def export_manifest(telemetry: DataFrame, export_format: str) -> DataFrame:
-    """``vehicle_id, file_name, format, rows`` — the download name per vehicle."""
-    return telemetry.groupBy("vehicle_id").agg(F.count(F.lit(1)).alias("rows")).select(
+def export_manifest(written: DataFrame, export_format: str) -> DataFrame:
+    """``vehicle_id, file_name, format, rows`` — the download name per vehicle, and
+    the rows that its files hold (``written`` is the export read back)."""
+    return written.groupBy("vehicle_id").agg(F.count(F.lit(1)).alias("rows")).select(
         "vehicle_id",
         export_file_name("vehicle_id", export_format).alias("file_name"),
         F.lit(export_format).alias("format"),

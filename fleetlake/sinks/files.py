@@ -13,7 +13,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from fleetlake.functions.timestamps import iso_text
 from fleetlake.schema import EXPORT_COLUMNS, EXPORT_FORMATS
-from fleetlake.session import ensure_conf
+from fleetlake.session import ensure_conf, literal_path
 
 EXPORT_SCHEMA = StructType(
     [
@@ -76,7 +76,7 @@ def write_records(records: DataFrame, path: str, export_format: str, by_vehicle:
 def read_records(spark: SparkSession, path: str, export_format: str) -> DataFrame:
     """Read an export back with the export schema (for round-trip checks)."""
     if export_format == "json":
-        df = spark.read.schema(EXPORT_SCHEMA).json(path)
+        df = spark.read.schema(EXPORT_SCHEMA).json(literal_path(path))
     else:
-        df = spark.read.schema(EXPORT_SCHEMA).options(**CSV_WRITE_OPTIONS).csv(path)
+        df = spark.read.schema(EXPORT_SCHEMA).options(**CSV_WRITE_OPTIONS).csv(literal_path(path))
     return df.select(*EXPORT_COLUMNS)

@@ -7,7 +7,7 @@ import os
 
 import pytest
 
-from fleetlake.plans.export import VehicleNotFound, export_fleet, export_vehicle
+from fleetlake.plans.export import VehicleNotFound, export_fleet, export_manifest, export_vehicle
 from fleetlake.schema import EXPORT_COLUMNS, TELEMETRY
 from fleetlake.sinks.files import read_records
 
@@ -62,3 +62,21 @@ def test_json_export_keeps_nulls_and_non_ascii(spark, table, tmp_dir):
 def test_unknown_vehicle_is_not_found(spark, table, tmp_dir):
     with pytest.raises(VehicleNotFound):
         export_vehicle(spark, table, "nobody", f"{tmp_dir}/out")
+
+
+def test_manifest_counts_what_the_files_hold(spark, table, tmp_dir):
+    out = f"{tmp_dir}/out[1]"
+    manifest = export_fleet(table, out, "json")
+    part = [p for p in glob.glob(os.path.join(glob.escape(out), "**", "part-*.json"), recursive=True) if "vehicle=car-1" in p][0]
+    with open(part) as fh:
+        lines = fh.read().splitlines()
+    os.rename(part, f"{tmp_dir}/aside.json")
+    for crc in glob.glob(os.path.join(glob.escape(os.path.dirname(part)), ".*.crc")):
+        os.rename(crc, f"{tmp_dir}/aside.crc")
+    held = {r["vehicle_id"]: r["rows"] for r in manifest_of(spark, out).collect()}
+    assert held.get("car-1", 0) == 2 - len(lines) and held["vehicle/one:ü"] == 1
+    assert manifest.columns == ["vehicle_id", "file_name", "format", "rows"]
+
+
+def manifest_of(spark, out):
+    return export_manifest(read_records(spark, out, "json"), "json")

@@ -6,7 +6,8 @@ next symbol adds that number and goes on from the linked node, so a word costs a
 backtracks nor builds a piece. The count equals that of greedy longest-match-first splitting.
 
 The vocabulary is that of a public tokenizer file: pieces that end a word carry its end-of-word suffix, and are matched with
-the end symbol; no piece is trained here. Words are what the fixed pattern below finds in the lower-cased text. Words that
+the end symbol; no piece is trained here. Pieces without the suffix may end a word too, as they are: the last piece of a word
+is matched in either form, so the end symbol costs nothing and is never left alone. Words are what the fixed pattern below finds in the lower-cased text. Words that
 a worker has met are remembered up to a bound, and counting is one pass over the text without a shuffle.
 
 Defined cases: a null or empty text has no tokens. A word that no pieces cover counts as one unknown token, as in
@@ -36,7 +37,8 @@ _END = 256
 
 
 def vocabulary_pieces(path: str) -> Iterator[tuple[int, ...]]:
-    """The pieces of a byte-level vocabulary file as symbols: bytes, and the end of a word."""
+    """The pieces of a byte-level vocabulary file as symbols: bytes, and the end of a word. Each piece can be the last of a
+    word; one without the suffix can also stand before others."""
     with open(path, encoding="utf-8") as f:
         model = json.load(f)["model"]
     suffix = model.get("end_of_word_suffix") or ""
@@ -47,7 +49,10 @@ def vocabulary_pieces(path: str) -> Iterator[tuple[int, ...]]:
         ends = bool(suffix) and piece.endswith(suffix)
         body = piece[:-len(suffix)] if ends else piece
         if body and all(c in byte_of for c in body):
-            yield (*(byte_of[c] for c in body), *([_END] if ends else []))
+            symbols = tuple(byte_of[c] for c in body)
+            yield (*symbols, _END)
+            if not ends:
+                yield symbols
 
 
 class LongestMatch:

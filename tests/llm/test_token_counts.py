@@ -1,3 +1,4 @@
+import json
 import random
 
 import pyarrow.parquet as pq
@@ -50,6 +51,41 @@ def test_texts_against_greedy_splitting(pieces):
         assert counter.text(text) == brute(pieces, text), text
 
 
+def test_words_that_end_in_an_inner_piece_are_counted_whole():
+    """Against a splitter of bytes that reads the vocabulary file itself: the last piece in its inner or its end form."""
+    model = json.load(open(VOCABULARY, encoding="utf-8"))["model"]
+    suffix = model["end_of_word_suffix"]
+    inner = {p for p in model["vocab"] if not p.endswith(suffix)}
+    last = {p.removesuffix(suffix) for p in model["vocab"]}
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    char = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
+
+    def split(word):
+        rest, out = "".join(char[b] for b in word.encode()), []
+        while rest:
+            if rest in last:
+                return [*out, rest]
+            out.append(next(rest[:n] for n in range(len(rest), 0, -1) if rest[:n] in inner))
+            rest = rest[len(out[-1]):]
+        return out
+
+    rng = random.Random(2)
+    texts = ["für", "anan", "für anan für"]
+    texts += ["".join(rng.choices("абвгдежзиклмнопрстуя", k=9)) for _ in range(200)]
+    texts += ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzéüñ", k=500)) for _ in range(100)]
+    counter = TokenCounter(VOCABULARY)
+    for text in texts:
+        assert counter.text(text) == (len(text.split()), sum(len(split(w)) for w in text.split())), text
+    assert counter.word("für") > 1
+
+
+def test_a_word_without_pieces_stays_one_unknown_token(tmp_path):
+    path = tmp_path / "small.json"
+    path.write_text(json.dumps({"model": {"end_of_word_suffix": "</w>", "vocab": {"a": 0, "ab</w>": 1}}}))
+    counter = TokenCounter(str(path))
+    assert [counter.word(w) for w in ("a", "aa", "aab", "ax", "x")] == [1, 2, 2, 1, 1]
+
+
 def test_long_texts_are_counted_in_stretches(monkeypatch):
     text = "some words, and\nothers " * 50 + "y" * 100 + " end"
     whole = TokenCounter(VOCABULARY).text(text)

@@ -51,18 +51,19 @@ def matched_depth(similarity: float = SIMILARITY, trees: int = TREES, depth: int
     return depth
 
 
-def forest_labels(words: np.ndarray, counts: np.ndarray, k: int = SHINGLE_WORDS) -> np.ndarray:
-    """For each text with words, in order: its labels, as ``[text, tree, level]`` of 16-bit MinHash values."""
+def forest_labels(words: np.ndarray, counts: np.ndarray, k: int = SHINGLE_WORDS, depth: int = DEPTH) -> np.ndarray:
+    """For each text with words, in order: its labels to that depth, as ``[text, tree, level]`` of 16-bit MinHash values."""
     shingles, n = shingle_hashes(words, counts, k)
     starts = (np.cumsum(n) - n)[n > 0]
-    out = np.zeros((len(starts), TREES * DEPTH), dtype=np.uint16)
+    out = np.zeros((len(starts), TREES, depth), dtype=np.uint16)
     if len(starts):
-        masks = mix64(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64))
-        for j, mask in enumerate(masks):
-            # the member nearest to the mask in the order of its bits: each is as likely to be, whatever the mask
-            least = np.minimum.reduceat(shingles ^ mask, starts) ^ mask
-            out[:, j] = (mix64(least + np.uint64(j)) >> np.uint64(48)).astype(np.uint16)
-    return out.reshape(len(starts), TREES, DEPTH)
+        masks = mix64(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64)).reshape(TREES, DEPTH)
+        for tree in range(TREES):
+            for level in range(depth):
+                # mixed anew for every function: minima of one hash under different masks depend on each other
+                least = np.minimum.reduceat(mix64(shingles ^ masks[tree, level]), starts)
+                out[:, tree, level] = (mix64(least) >> np.uint64(48)).astype(np.uint16)
+    return out
 
 
 def signatures(docs: DataFrame, depth: int, k: int = SHINGLE_WORDS) -> DataFrame:
@@ -80,7 +81,7 @@ def signatures(docs: DataFrame, depth: int, k: int = SHINGLE_WORDS) -> DataFrame
                 ends = np.cumsum(counts)
                 digests = b"".join(xxhash.xxh3_128_digest(words[ends[i] - counts[i]:ends[i]].tobytes()) for i in some.tolist())
                 halves = np.frombuffer(digests, dtype="<i8").reshape(-1, 2)
-                prefix = np.ascontiguousarray(forest_labels(words, counts, k)[:, :, :depth])
+                prefix = forest_labels(words, counts, k, depth)
                 nodes = np.zeros(prefix.shape[:2], dtype=np.uint64)
                 for level in range(depth):
                     nodes = mix64(nodes * np.uint64(0x9E3779B97F4A7C15) + prefix[:, :, level])

@@ -102,6 +102,20 @@ def test_forest_nodes_collide_as_often_as_the_similarity():
     assert abs(got - true) < 0.02
 
 
+@pytest.mark.parametrize("size", [5, 10, 20])
+def test_short_pairs_at_the_bound_meet_in_some_tree(size):
+    """Pairs of 5 to 20 shingles at a similarity of 0.8: next to none is missed by all trees."""
+    pairs, depth, rng = 10_000, matched_depth(), np.random.default_rng(size)
+    hits = 0
+    for _ in range(5):
+        union = rng.integers(0, 1 << 63, (pairs, size), dtype=np.uint64)
+        # one word a shingle: both hold the first 0.8 of the union, the other shingles belong to the second text alone
+        sets = [row[:n] for row in union for n in (size * 4 // 5, size)]
+        labels = forest_labels(np.concatenate(sets), np.array([len(s) for s in sets]), k=1)[:, :, :depth]
+        hits += int((labels[0::2] == labels[1::2]).all(axis=2).any(axis=1).sum())
+    assert hits >= 0.9997 * 5 * pairs
+
+
 def test_word_hashes_do_not_depend_on_batching(monkeypatch):
     import fleetlake.llm.common as c
 

@@ -223,7 +223,8 @@ def shingle_hashes(words: np.ndarray, counts: np.ndarray, k: int = SHINGLE_WORDS
 
 
 def components(edges: DataFrame, label: str) -> DataFrame:
-    """``(node, component)`` for every node of ``edges (a, b)``; ``component`` is the smallest node reachable.
+    """``(node, component)`` for every node of ``edges (a, b)``; ``component`` is the smallest node reachable. Nodes
+    are of one type that has an order, such as a long integer or a struct of them.
 
     Contraction rounds: every node moves to the first node of its closed neighbourhood, by id in even rounds (a star
     is done in one) and by a seeded hash in odd ones (a path halves in expectation), and edges are renamed and
@@ -233,7 +234,7 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     def rank(c, seed):
         return F.struct(F.xxhash64(F.lit(seed), c).alias("r"), c.alias("n")) if seed else F.struct(F.lit(0).cast("long").alias("r"), c.alias("n"))
 
-    edges = stored(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b").distinct(), label)
+    edges = stored(edges.select("a", "b").where("a <> b").distinct(), label)
     nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
     moved = nodes.select("node", F.col("node").alias("at"))
     for n in itertools.count():

@@ -15,7 +15,8 @@ of one, to count shared shingles exactly, as text. Sketches and candidate pairs
 
 Defined cases: words are the runs of letters, marks and digits in lower case; texts and items of fewer than ``k`` words
 (null and empty ones among them) have no shingles and match nothing. Rows that repeat an ``item_id`` or a ``doc_id`` give
-one pair, with the largest containment. A null ``doc_id`` or ``item_id`` is an id like any other. Extra columns are left out.
+one pair, with the largest containment. A null ``doc_id`` or ``item_id`` is an id like any other. A row
+is dropped for its own text, never for another text of its id. Extra columns are left out.
 """
 
 from __future__ import annotations
@@ -75,32 +76,42 @@ def contaminated(
     docs: DataFrame, items: DataFrame, containment: float = SIMILARITY, k: int = SHINGLE_WORDS,
 ) -> DataFrame:
     """``(doc_id, item_id, n_shared, n_shingles, containment)`` for every pair of that containment or more."""
+    pairs = _contaminated_texts(docs, items, containment, k)
+    share = F.col("n_shared") / F.col("n_shingles")
+    best = F.max(F.struct(share.alias("containment"), F.col("n_shared"), F.col("n_shingles"))).alias("best")
+    return pairs.groupBy("doc_id", "item_id").agg(best).select(
+        "doc_id", "item_id", F.col("best.n_shared").cast("long").alias("n_shared"),
+        F.col("best.n_shingles").cast("long").alias("n_shingles"), "best.containment")
+
+
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _contaminated_texts(docs: DataFrame, items: DataFrame, containment: float, k: int) -> DataFrame:
+    """``(doc_id, h, item_id, n_shared, n_shingles)``: such pairs by row; ``h`` tells the texts of one id apart."""
     known = stored(item_sketches(items, containment, k), "item-sketches")
     members, sketch = _small(known.select("item", F.explode("sketch").alias("h")), "sketch-members")
     ceiling = members.agg(F.max("h").alias("h")).first().h
-    texts = docs.select("doc_id", words(F.col("text")).alias("w"))
-    places = texts.select("doc_id", "w", F.explode(_places(F.col("w"), k)).alias("i"))
-    hashed = places.select("doc_id", F.xxhash64(*_shingle_at(F.col("w"), F.col("i"), k)).alias("h"))
+    texts = docs.select(F.struct("doc_id", _text_hash(F.col("text")).alias("h")).alias("doc"), words(F.col("text")).alias("w"))
+    places = texts.select("doc", "w", F.explode(_places(F.col("w"), k)).alias("i"))
+    hashed = places.select("doc", F.xxhash64(*_shingle_at(F.col("w"), F.col("i"), k)).alias("h"))
     below = hashed.where(F.col("h") <= F.lit(ceiling).cast("long"))
-    found = below.join(sketch, "h").select(F.struct("doc_id").alias("doc"), "item").distinct()
+    found = below.join(sketch, "h").select("doc", "item").distinct()
     candidates, small = _small(found.groupBy("doc").agg(F.collect_set("item").alias("items")), "candidates")
     checked = (
-        docs.select(F.struct("doc_id").alias("doc"), F.col("text")).join(small, "doc")
+        docs.select(F.struct("doc_id", _text_hash(F.col("text")).alias("h")).alias("doc"), F.col("text")).join(small, "doc")
         .select("doc", words(F.col("text")).alias("w"), "items")
         .select("doc", shingles("w", k).alias("own"), "items")
         .select("doc", "own", F.explode("items").alias("item"))
         .join(known.select("item", "item_id", "n_shingles", "shingles"), "item")
-        .select("doc.doc_id", "item_id", F.size(F.array_intersect("shingles", "own")).alias("n_shared"), "n_shingles")
+        .select("doc.doc_id", "doc.h", "item_id", F.size(F.array_intersect("shingles", "own")).alias("n_shared"), "n_shingles")
     )
-    share = F.col("n_shared") / F.col("n_shingles")
-    pairs = checked.where(F.col("n_shared") >= F.lit(containment) * F.col("n_shingles") - 1e-9)
-    best = F.max(F.struct(share.alias("containment"), F.col("n_shared"), F.col("n_shingles"))).alias("best")
-    return pairs.groupBy("doc_id", "item_id").agg(best).select(
-        "doc_id", "item_id", F.col("best.n_shared").cast("long").alias("n_shared"),
-        F.col("best.n_shingles").cast("long").alias("n_shingles"), "best.containment")
+    return checked.where(F.col("n_shared") >= F.lit(containment) * F.col("n_shingles") - 1e-9)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, containment: float = SIMILARITY, k: int = SHINGLE_WORDS) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that hold no item."""
-    bad, small = _small(contaminated(docs, items, containment, k).select(F.col("doc_id").alias("bad_id")).distinct(), "contaminated")
-    return docs.join(small, docs["doc_id"].eqNullSafe(small["bad_id"]), "left_anti")
+    """The rows of ``docs``, with all their columns, that hold no item: each row is judged by its own text."""
+    found = _contaminated_texts(docs, items, containment, k).select(F.col("doc_id").alias("bad_id"), F.col("h").alias("bad_h")).distinct()
+    bad, small = _small(found, "contaminated")
+    return docs.join(small, docs["doc_id"].eqNullSafe(small["bad_id"]) & (_text_hash(docs["text"]) == small["bad_h"]), "left_anti")

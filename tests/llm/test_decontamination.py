@@ -70,3 +70,10 @@ def test_empty_tables(make_docs, make_items):
     docs = make_docs({1: "a b c d e f"})
     assert contaminated(docs, make_items([])).collect() == []
     assert decontaminate(docs, make_items([])).count() == 1
+
+
+def test_clean_texts_of_a_contaminated_id_stay(make_docs, make_items):
+    five = "one two three four five"
+    docs = [(None, "x " + five), (None, "a clean text of some words"), (None, None), (3, five), (3, "another clean text of words"), (4, five)]
+    left = decontaminate(make_docs(docs), make_items([(7, five)])).collect()
+    assert sorted(((r.doc_id, r.text) for r in left), key=str) == sorted([docs[1], docs[2], docs[4]], key=str)

@@ -82,6 +82,21 @@ def test_one_row_of_each_group_stays_with_all_columns(make_docs):
     assert sorted(r.doc_id for r in kept.collect()) == [3, 8, 9]
 
 
+def test_different_texts_of_null_and_repeated_ids_are_all_kept(make_docs):
+    rng = random.Random(6)
+    texts = [" ".join(words(rng, 40)) for _ in range(8)]
+    near = texts[0].split()
+    near[-1] = "edited"
+    rows = [(None, t) for t in texts[:5]] + [(None, " ".join(near)), (7, texts[5]), (7, texts[6]), (9, texts[1].upper()), (9, texts[7]), (4, texts[5])]
+    rows += [(None, texts[2]), (None, "..."), (None, "!"), (None, None)]
+    kept = [(r.doc_id, r.text) for r in one_of_each_group(make_docs(rows)).collect()]
+    group = lambda t: texts[0] if t == " ".join(near) else (t or "").lower()
+    assert sorted(group(t) for _, t in kept) == sorted([*texts, "...", "!", ""])
+    assert (4, texts[5]) in kept and (7, texts[6]) in kept and (None, texts[1]) in kept
+    links = sorted(str((r.doc_id, r.n_links)) for r in near_duplicates(make_docs(rows)).collect())
+    assert links == sorted(map(str, [(None, 1)] * 3 + [(None, 0)] * 6 + [(7, 1), (7, 0), (9, 1), (9, 0), (4, 1)]))
+
+
 def test_prefix_is_shortened_until_the_recall_is_met():
     assert matched_depth(recall=0.5) == 8
     assert [matched_depth(recall=r) for r in (0.99, 0.999, 0.9999)] == [7, 5, 4]

@@ -1,12 +1,18 @@
 """Licence families of paragraphs: sparse n-gram logistic regression, a calibrated unknown class, template comparison.
 
-Features of a paragraph (a line) are the distinct words and word pairs that occur in the templates. A multinomial logistic
+Features of a paragraph (a line, or neighbouring lines joined) are the distinct words and word pairs that occur in the templates. A multinomial logistic
 regression gives each family and an unknown class a probability. It is fitted on the driver from variations of the
 templates (words dropped, cut, joined with ordinary paragraphs) and from ordinary paragraphs, ``SAMPLE_LINES`` lines of
 ``SAMPLE_DOCS`` documents in the order of a seeded hash of their id, less those that hold much of a template. One in five
 of both is held out, to fit a temperature and the least probability at which a paragraph counts as a licence. A prediction
 is confirmed if the paragraph holds ``CONFIRMED`` of the features of one of the family's templates.
 
+A notice may be wrapped over lines. From each line on, it and the lines below it are joined, up to a line without words or one
+that holds a notice itself, until ``_LONGEST`` words follow the first line. A joined paragraph is reported if it is a confirmed
+licence, at the line on which it starts: without that line it holds less of the template, and with the line above no more.
+Only texts are joined that hold a word without which no template can be confirmed, and only joins that hold
+``CONFIRMED`` of a template's features leave the row.
+
 Scoring is DataFrame code. An upper bound of a paragraph's evidence comes first, in the row: each template word is worth its
 own positive weight and those of the pairs in which it is the rarer word, and the words that are worth something are summed.
 Paragraphs whose bound is below what the least probability asks for are unknown, whatever else they hold; the few others are
@@ -27,7 +33,7 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlake.llm.license_templates import TEMPLATES
@@ -62,6 +68,75 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("paragraph", "line"))
 
 
+def anchors(ordinary: Counter[str], templates: dict[str, tuple[str, ...]] = TEMPLATES) -> set[str]:
+    """Words of which every confirmed paragraph holds one: of each template the rarest, until too few features lack them."""
+    out: set[str] = set()
+    for text in (t for texts in templates.values() for t in texts):
+        grams = template_grams(text)
+        words = sorted((g for g in grams if " " not in g), key=lambda w: (ordinary[w], w))
+        own: set[str] = set()
+        while sum(own.isdisjoint(g.split(" ")) for g in grams) >= CONFIRMED * len(grams) - 1e-9:
+            own.add(words[len(own)])
+        out |= own
+    return out
+
+
+_KNOWN = [template_grams(t) for texts in TEMPLATES.values() for t in texts]
+#: Words that may follow a line of a wrapped notice, and lines that they may take.
+_LONGEST = max(len(re.split(_BREAK, t.lower())) for texts in TEMPLATES.values() for t in texts)
+
+
+def _strings(values: list[str]) -> Column:
+    return F.array(*[F.lit(v) for v in values])
+
+
+def _where(df: DataFrame, condition: Column, column: str, kind: str, *keys: str) -> DataFrame:
+    """``keys`` and ``column`` of the rows that meet a condition; by a generator, as a filter would be moved below the columns that
+    it names, and work them out for every template."""
+    kept = F.when(condition, F.array(column)).otherwise(F.array().cast(f"array<{kind}>"))
+    return df.select(*keys, F.explode(kept).alias(column))
+
+
+def joined_paragraphs(docs: DataFrame, model: LicenceModel) -> DataFrame:
+    """``(doc_id, paragraph, grams)``: the neighbouring lines that hold ``CONFIRMED`` of a template together, by their first
+    line. ``doc_id`` is a struct of the id and the text's hash; ``grams`` has the features of templates."""
+    rare = sorted(anchors(model.ordinary))
+    search = f"(?<![a-z0-9])(?:{'|'.join(rare)})(?![a-z0-9])"
+    text = F.coalesce("text", F.lit(""))
+    held = docs.where(F.lower(text).rlike(search)).select(
+        F.struct("doc_id", F.xxhash64(text).alias("h")).alias("doc_id"), F.split(text, "\n").alias("lines"))
+    held = held.withColumn("rare", F.transform("lines", lambda x: F.lower(x).rlike(search)))
+    near = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.exists(F.slice("rare", i + 1, _LONGEST), lambda x: x))
+    starts = F.transform(near, lambda i: F.struct(i.alias("paragraph"), F.slice("lines", i + 1, _LONGEST + 1).alias("lines")))
+    wide = held.select("doc_id", F.explode(starts).alias("x")).select("doc_id", "x.paragraph", "x.lines")
+    wide = wide.withColumn("words", F.transform("lines", _words))
+    # how many lines are joined: up to an empty one, until enough words follow the first
+    state = F.struct(F.lit(0).alias("n"), F.lit(0).alias("after"), F.lit(True).alias("open"))
+
+    def on(s: Column, w: Column) -> Column:
+        go = s["open"] & (F.size(w) > 0) & (s["after"] < _LONGEST)
+        return F.struct((s["n"] + go.cast("int")).alias("n"), (s["after"] + F.when(s["n"] > 0, F.size(w)).otherwise(0)).alias("after"), go.alias("open"))
+
+    wide = wide.withColumn("n", F.aggregate("words", state, on)["n"])
+    wide = _where(wide, F.col("n") > 1, "words", "array<array<string>>", "doc_id", "paragraph", "n").withColumn("words", F.slice("words", F.lit(1), F.col("n")))
+    templates = F.array(*[_strings(k) for k in _KNOWN])
+    features = _strings(sorted({g for k in _KNOWN for g in k}))
+    holds = lambda grams: F.exists(
+        templates, lambda t: F.size(F.array_intersect(t, grams)) >= F.lit(CONFIRMED) * F.size(t) - 1e-9)
+    whole = wide.withColumn("flat", F.flatten("words")).withColumn("grams", F.array_intersect(features, _grams("flat")))
+    whole = _where(whole, holds(F.col("grams")), "words", "array<array<string>>", "doc_id", "paragraph")
+    # few rows are left: end them at a line that is a notice itself
+    line = whole.select("doc_id", "paragraph", F.posexplode("words").alias("n", "words")).withColumn("grams", _grams("words"))
+    line = _where(line, F.col("n") >= 0, "grams", "array<string>", "doc_id", "paragraph", "n", "words")
+    ended = line.groupBy("doc_id", "paragraph").agg(
+        F.min(F.when(holds(F.col("grams")), F.col("n"))).alias("end"),
+        F.sort_array(F.collect_list(F.struct("n", "words"))).alias("lines"))
+    kept = F.filter("lines", lambda x: F.col("end").isNull() | (x["n"] < F.col("end")))
+    ended = ended.select("doc_id", "paragraph", F.transform(kept, lambda x: x["words"]).alias("words")).where("size(words) > 1")
+    again = ended.withColumn("flat", F.flatten("words")).withColumn("grams", F.array_intersect(features, _grams("flat")))
+    return _where(again, holds(F.col("grams")), "grams", "array<string>", "doc_id", "paragraph")
+
+
 @dataclass
 class LicenceModel:
     """Weights by class (families in order, then unknown), temperature, and the least probability of a licence."""
@@ -172,8 +247,6 @@ def train(docs: DataFrame) -> LicenceModel:
 def licences(docs: DataFrame, model: LicenceModel | None = None) -> DataFrame:
     """``(doc_id, paragraph, family, probability, template_share, confirmed)`` for every paragraph that is a licence."""
     model = model or train(docs)
-    spark = docs.sparkSession
-    n = len(model.families)
     worth = model.worth()
     words = sorted(worth) or [""]
     table = F.map_from_arrays(F.array(*[F.lit(x) for x in words]), F.array(*[F.lit(worth.get(x, 0.0)) for x in words]))
@@ -183,7 +256,27 @@ def licences(docs: DataFrame, model: LicenceModel | None = None) -> DataFrame:
     # a generator and no filter: a filter would be moved below the column of words, and split the line for every word
     kept = F.when((F.size("found") > 0) & (reach >= model.asked() - 1e-6), F.array("words")).otherwise(F.array().cast("array<array<string>>"))
     passed = lines.select("doc_id", "paragraph", F.explode(kept).alias("words"))
-    passed = passed.select("doc_id", "paragraph", _grams("words").alias("grams")).distinct()
+    features = _strings(model.grams)
+    # features alone are shuffled: no other words and pairs count
+    passed = passed.select("doc_id", "paragraph", F.array_intersect(features, _grams("words")).alias("grams")).distinct()
+    alone = _judged(passed, model)
+    starts = Window.partitionBy("doc_id", "family").orderBy("paragraph")
+    share = lambda step: F.when(
+        F.lag("paragraph", step).over(starts) == F.col("paragraph") - step, F.lag("template_share", step).over(starts))
+    joined = _judged(joined_paragraphs(docs, model).distinct(), model).where("confirmed")
+    joined = joined.withColumn("above", share(1)).withColumn("below", share(-1))
+    joined = joined.where("(above IS NULL OR above <= template_share) AND (below IS NULL OR below < template_share)")
+    joined = joined.select("doc_id.doc_id", "paragraph", "family", "probability", "template_share", "confirmed").distinct()
+    # a line that is a part of a confirmed notice gives no row of its own as its first line
+    taken = joined.select(F.col("doc_id").alias("taken_id"), F.col("paragraph").alias("taken"))
+    first = F.col("doc_id").eqNullSafe(F.col("taken_id")) & (F.col("paragraph") == F.col("taken")) & ~F.col("confirmed")
+    return alone.join(taken, first, "left_anti").unionByName(joined)
+
+
+def _judged(passed: DataFrame, model: LicenceModel) -> DataFrame:
+    """The licences among paragraphs ``(doc_id, paragraph, grams)``, scored exactly and compared with the templates."""
+    spark = passed.sparkSession
+    n = len(model.families)
     weights = spark.createDataFrame(
         [(g, [float(v) for v in row / model.temperature]) for g, row in zip(model.grams, model.weights)], "gram string, w array<double>")
     sums = (

@@ -17,6 +17,9 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "following conditions are met:",
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products.",
     ),
+    "boost": (
+        "Distributed under the Boost Software License, Version 1.0.",
+    ),
     "cc-by": (
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
@@ -29,12 +32,27 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Licensed under CC BY-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     ),
+    "epl": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
+        "Released under the Eclipse Public License.",
+    ),
     "gpl": (
         "This work is licensed under the GNU General Public License, version 3.",
         "Released under the GPL version 2 or later.",
         "You can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free "
         "Software Foundation.",
     ),
+    "isc": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies.",
+        "Released under the ISC License.",
+    ),
+    "lgpl": (
+        "This library is licensed under the GNU Lesser General Public License, version 3.",
+        "You can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the "
+        "Free Software Foundation.",
+        "Released under the LGPL version 2.1 or later.",
+    ),
     "mit": (
         "Released under the MIT License.",
         "Licensed under the MIT license.",
@@ -49,4 +67,9 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "This is free and unencumbered software released into the public domain.",
         "Dedicated to the public domain under CC0 1.0 Universal.",
     ),
+    "zlib": (
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter "
+        "it and redistribute it freely, subject to the following restrictions",
+        "Released under the zlib License.",
+    ),
 }

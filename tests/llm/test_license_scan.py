@@ -69,3 +69,39 @@ def test_query_finds_the_licence_lines(spark, run_query):
     assert {(r["doc_id"], r["paragraph"], r["family"]) for r in rows if r["confirmed"]} == expected
     model = m.train(spark.read.parquet(f"{d}/documents.parquet"))
     assert {(r["doc_id"], r["paragraph"], r["family"]) for r in rows} == {x[:3] for x in brute([(r["doc_id"], r["text"]) for r in docs], model)}
+
+
+MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
+    "files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify and merge")
+WRAPPED = {
+    "mit": MIT,
+    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License "
+           "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public "
+            "License as published by the Free Software Foundation; either version 2.1 of the License, or any later version.",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+           "provided that the above copyright notice and this permission notice appear in all copies.",
+    "zlib": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it "
+            "and redistribute it freely, subject to the following restrictions",
+}
+
+
+def test_wrapped_notices_are_confirmed_where_they_start(make_docs, model):
+    import textwrap
+
+    docs, expected, at = [], set(), 0
+    for width in (30, 72):
+        for family, text in WRAPPED.items():
+            for mark, gap in (("", "\n"), ("# ", "")):
+                lines = [mark + x for x in textwrap.wrap(text, width)]
+                docs.append((at, "\n".join([PLAIN, PLAIN]) + "\n" + gap + "\n".join(lines) + "\n" + gap + PLAIN))
+                # the templates of the GNU family start at "you can redistribute"
+                first = next(i for i, x in enumerate(lines) if "you" in x) if "gpl" in family else 0
+                expected.add((at, 2 + len(gap) + first, family))
+                at += 1
+    docs.append((None, "\n".join(textwrap.wrap(MIT, 72))))
+    docs.append((None, PLAIN + "\n" + PLAIN))
+    rows = [r for r in m.licences(make_docs(docs), model).collect() if r.confirmed]
+    assert sorted(((r.doc_id, r.paragraph, r.family) for r in rows), key=str) == sorted(expected | {(None, 0, "mit")}, key=str)

@@ -1,6 +1,6 @@
 """The command line drives the same plans."""
 
-from conftest import write_files
+from filetree import write_files
 from fleetlake import cli
 
 HEADER = "timestamp,speed,odometer,soc,elevation,shift_state"

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import write_files
+from filetree import write_files
 from fleetlake.plans.ingest import import_file, load_directory
 from fleetlake.sinks.table import read_audit, read_rejects, read_table
 

@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import write_files
+from filetree import write_files
 from fleetlake.operators.validate import validate
 from fleetlake.sources.csv_files import header_contract, read_csv_directory, read_csv_file, read_uploads
 from fleetlake.sources.lines import parse_lines, scan_lines

@@ -11,6 +11,7 @@ sys.path.insert(0, os.path.join(ROOT, "scripts"))
 import duckdb  # noqa: E402
 
 import __spark_entry__ as entry  # noqa: E402
+from fleetlake.catalog import ORACLES, QUERIES  # noqa: E402
 from check_oracles import TABLES, rows_key  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -24,9 +25,8 @@ def con():
     return c
 
 
-def test_every_query_has_an_oracle_or_is_file_based():
-    missing = set(entry.queries()) - set(entry.oracle_sql())
-    assert missing == set(), missing
+def test_every_query_has_an_oracle():
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry_runs(spark):
@@ -38,11 +38,11 @@ def test_entry_runs(spark):
     ]
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_oracle(spark, con, name):
-    df = entry.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     rows = [tuple(r) for r in df.collect()]
-    res = con.execute(entry.oracle_sql()[name])
+    res = con.execute(ORACLES[name])
     ocols = [d[0] for d in res.description]
     orows = res.fetchall()
     assert sorted(df.columns) == sorted(ocols)

@@ -59,7 +59,7 @@ def test_parse_and_join_run_in_generated_code(spark, tmp_dir):
     fused, its method is too large for the JIT and measured 1.6x slower."""
     import re
 
-    from conftest import write_files
+    from filetree import write_files
     from fleetlake.operators import validate as v
     from fleetlake.sources.csv_files import read_csv_directory
 

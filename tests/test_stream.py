@@ -3,7 +3,7 @@
 import glob
 import os
 
-from conftest import write_files
+from filetree import write_files
 from fleetlake.sinks.table import read_audit, read_table
 from fleetlake.streaming.ingest_stream import run_available_now
 

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlake.llm import (
-    decontamination, embedding_join, license_scan, line_dedup, ngram_join, quality_crf, source_mixing, substring_dedup, token_counts,
-    token_output,
+    alignment, decontamination, embedding_join, license_scan, line_dedup, merge_replay, ngram_join, quality_crf, source_mixing,
+    substring_dedup, token_counts, token_output, whitening,
 )
 from fleetlake.llm.common import table
 
@@ -203,3 +203,25 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The paragraphs of documents that are licence notices, their family, and whether a template confirms it."""
     return license_scan.licences(table(spark, sf_dir, "documents"))
+
+
+@register("op11_embedding_whitening")
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 16 whitened components of every embedding, fitted on the distinct ones."""
+    return whitening.whitened_components(table(spark, sf_dir, "embeddings"))
+
+
+@register("op12_tokenizer_alignment")
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between the tokens of two tokenizers for every document, and how often linked ids meet in the corpus."""
+    found = alignment.alignments(table(spark, sf_dir, "documents"))
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("")
+    return found.select(*[c for c in found.columns if c != "groups"], digest.alias("groups_sha256"))
+
+
+@register("op13_merge_replay")
+def op13_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of every document by merge replay, and the bytes that they decode to."""
+    found = merge_replay.decode(merge_replay.encode(table(spark, sf_dir, "documents")))
+    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))

@@ -9,7 +9,8 @@ of a word does not depend on the block it meets, and the ids of words met before
 
 That equals the library's rule, in each word the pair of lowest rank and of these the leftmost: places are taken from left
 to right, a merge never makes a pair of its own rank, and if it makes one of a lower rank (a token may be made of other
-parts than those it was learnt from), that rank is replayed before the other places of the higher one. A word that is a
+parts than those it was learnt from), that rank is replayed before the other places of the higher one. Merges of low rank, which have many places, are
+applied as arrays; a word in which one of them makes a pair of a lower rank is replayed once more, place by place. A word that is a
 token itself is that token, as in the library.
 
 Defined cases: a null or empty text has no ids. Rows that repeat a ``doc_id`` each get their row, a null ``doc_id`` stays.
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +40,9 @@ REMEMBERED_CHARS = 64
 #: What a remembered word takes beside its characters and ids.
 _WORD_OVERHEAD = 160
 #: Bytes of new words that are replayed together.
-REPLAY_BYTES = 1 << 20
+REPLAY_BYTES = 4 << 20
+#: Merges of lower rank have many places in a block, which are merged as arrays; later ones go place by place.
+ARRAY_RANKS = 12000
 _SHIFT = 20
 _NONE = -1
 
@@ -52,49 +56,102 @@ class Merges:
         self.bytes_of = [b""] * (max(self.id_of.values()) + 1)
         for token, i in self.id_of.items():
             self.bytes_of[i] = token
-        self._byte = [self.id_of[bytes([b])] for b in range(256)]
+        self._byte = np.array([self.id_of[bytes([b])] for b in range(256)])
         self._made: dict[int, int] = {}
         for token, i in self.id_of.items():
             for cut in range(1, len(token)):
                 a, b = self.id_of.get(token[:cut]), self.id_of.get(token[cut:])
                 if a is not None and b is not None:
                     self._made[a << _SHIFT | b] = i
-        self._first = np.full((256, 256), _NONE, dtype=np.int64)
-        for token, i in self.id_of.items():
-            if len(token) == 2:
-                self._first[token[0], token[1]] = i
-
-    def _index(self, data: np.ndarray, inside: np.ndarray) -> dict[int, list[int]]:
-        """Places by the token that the two bytes there make."""
-        made = np.where(inside[:-1] & inside[1:], self._first[data[:-1], data[1:]], _NONE)
-        places = np.flatnonzero(made != _NONE)
-        places = places[np.argsort(made[places], kind="stable")]
-        ranks, starts = np.unique(made[places], return_index=True)
-        bounds = [*starts.tolist(), len(places)]
-        where = places.tolist()
-        return {r: where[a:b] for r, a, b in zip(ranks.tolist(), bounds, bounds[1:])}
-
-    def replay(self, words: list[bytes]) -> list[list[int]]:
-        """The ids of each word (not empty), all merges replayed over all words together."""
-        joined = b"\0".join(words) + b"\0"
+        self._pairs = np.array(sorted(self._made), dtype=np.int64)
+        self._ranks = np.array([self._made[k] for k in self._pairs.tolist()], dtype=np.int64)
+
+    def _look_up(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The ids that pairs of symbols make, ``_NONE`` where they make none."""
+        if not len(self._pairs):
+            return np.full(len(a), _NONE)
+        keys = a << _SHIFT | b
+        at = np.minimum(np.searchsorted(self._pairs, keys), len(self._pairs) - 1)
+        return np.where((self._pairs[at] == keys) & (a != _NONE) & (b != _NONE), self._ranks[at], _NONE)
+
+    def replay(self, words: list[bytes], array_ranks: int = ARRAY_RANKS) -> list[bytes]:
+        """The ids of each word (not empty) as little-endian 32-bit integers, all merges replayed over all words together."""
+        data = np.frombuffer(b"\0".join(words) + b"\0", dtype=np.uint8)
         ends = np.cumsum([len(w) + 1 for w in words]) - 1
-        data = np.frombuffer(joined, dtype=np.uint8)
-        inside = np.ones(len(data), dtype=bool)
-        inside[ends] = False
-        symbols = np.where(inside, np.array(self._byte)[data], _NONE).tolist()
-        symbols.append(_NONE)
-        after, before = list(range(1, len(symbols) + 1)), list(range(-1, len(symbols) - 1))
-        index, made = self._index(data, inside), self._made.get
+        symbols = self._byte[data]
+        symbols[ends] = _NONE
+        symbols = np.append(symbols, _NONE)
+        after, before = np.arange(1, len(symbols) + 1), np.arange(-1, len(symbols) - 1)
+        irregular = self._merge_arrays(symbols, after, before, array_ranks)
+        symbols = np.array(self._merge_places(symbols, after, before))
+        places = np.flatnonzero(symbols != _NONE)
+        bounds = [0, *(4 * np.searchsorted(places, ends)).tolist()]
+        ids = symbols[places].astype("<i4").tobytes()
+        out = [ids[a:b] for a, b in zip(bounds, bounds[1:])]
+        again = sorted(set(np.searchsorted(ends, irregular).tolist()))
+        for i, found in zip(again, self.replay([words[i] for i in again], 0) if again else ()):
+            out[i] = found
+        return out
+
+    def _index(self, symbols: np.ndarray, after: np.ndarray, places: np.ndarray) -> dict[int, list[np.ndarray]]:
+        """The given places by the token that the pair there makes."""
+        made = self._look_up(symbols[places], symbols[after[places]])
+        return _by_rank(made, places)
+
+    def _merge_arrays(self, symbols: np.ndarray, after: np.ndarray, before: np.ndarray, most: int) -> np.ndarray:
+        """Apply all merges of ranks below ``most``, each to all its places at once. Returns places of words in which a
+        merge made a pair of a lower rank: their order was not kept, they are to be replayed place by place."""
+        irregular = [np.zeros(0, dtype=np.int64)]
+        if most <= 0:
+            return irregular[0]
+        index = self._index(symbols, after, np.flatnonzero(symbols[:-1] != _NONE))
+        queue = [r for r in index if r < most]
+        heapq.heapify(queue)
+        while queue:
+            rank = heapq.heappop(queue)
+            places = np.unique(np.concatenate(index.pop(rank)))
+            # Places are not taken out of the index when a neighbour merges: what stands there now counts.
+            places = places[self._look_up(symbols[places], symbols[after[places]]) == rank]
+            if len(places) > 1:
+                # In a row of overlapping places every other one merges, from the left.
+                at = np.arange(len(places))
+                alone = np.append(True, after[places[:-1]] != places[1:])
+                places = places[(at - np.maximum.accumulate(np.where(alone, at, 0))) % 2 == 0]
+            if not len(places):
+                continue
+            gone = after[places]
+            right = after[gone]
+            was_right = symbols[right]
+            symbols[places], symbols[gone] = rank, _NONE
+            after[places], before[right] = right, places
+            left = before[places]
+            ranks = np.full(len(places), rank)
+            made_left, made_right = self._look_up(symbols[left], ranks), self._look_up(ranks, symbols[right])
+            first_right = self._look_up(ranks, was_right)
+            lower = ((made_left != _NONE) & (made_left < rank)) | ((first_right != _NONE) & (first_right < rank))
+            if lower.any():
+                irregular.append(places[lower])
+            for new, found in _by_rank(np.append(made_left, made_right), np.append(left, places), rank, most).items():
+                if new in index:
+                    index[new].extend(found)
+                else:
+                    index[new] = found
+                    heapq.heappush(queue, new)
+        return np.concatenate(irregular)
+
+    def _merge_places(self, symbols: np.ndarray, after: np.ndarray, before: np.ndarray) -> list[int]:
+        """Apply the merges that are left, place by place; returns the symbols."""
+        found = self._index(symbols, after, np.flatnonzero(symbols[:-1] != _NONE))
+        index = {r: places[0].tolist() for r, places in found.items()}
+        symbols, after, before, made = symbols.tolist(), after.tolist(), before.tolist(), self._made.get
         queue = list(index)
         heapq.heapify(queue)
-
         while queue:
             rank = heapq.heappop(queue)
             places = index.pop(rank)
             places.sort()
             for n, i in enumerate(places):
                 j = after[i]
-                # Places are not taken out of the index when a neighbour merges: what stands there now counts.
                 if made(symbols[i] << _SHIFT | symbols[j]) != rank or symbols[i] == _NONE or symbols[j] == _NONE:
                     continue
                 symbols[i], symbols[j] = rank, _NONE
@@ -110,15 +167,21 @@ class Merges:
                         else:
                             index[new] = [place]
                             heapq.heappush(queue, new)
-                if lower:
+                if lower:  # that rank comes first, then the places that are left of this one
                     index[rank] = places[n + 1:]
                     heapq.heappush(queue, rank)
                     break
-        out, start = [], 0
-        for end in ends.tolist():
-            out.append([s for s in symbols[start:end] if s != _NONE])
-            start = end + 1
-        return out
+        return symbols
+
+
+def _by_rank(made: np.ndarray, places: np.ndarray, above: int = _NONE, below: int = 1 << _SHIFT) -> dict[int, list[np.ndarray]]:
+    """``places`` by what they make, for ranks between the bounds."""
+    of_use = np.flatnonzero((made > above) & (made < below))
+    order = of_use[np.argsort(made[of_use], kind="stable")]
+    ranks = made[order]
+    starts = np.flatnonzero(np.append(True, ranks[1:] != ranks[:-1])) if len(ranks) else ranks
+    bounds, places = [*starts.tolist(), len(ranks)], places[order]
+    return {r: [places[a:b]] for r, a, b in zip(ranks[starts].tolist(), bounds, bounds[1:])}
 
 
 class Replayer:
@@ -144,8 +207,8 @@ class Replayer:
                 size += len(data) + 1
             if held and (size >= REPLAY_BYTES or n == len(words)):
                 for w, ids in zip(held, self.merges.replay([w.encode() for w in held])):
-                    packed = self._known[w] = np.array(ids, dtype="<i4").tobytes()
-                    self._size += len(w) + len(packed) + _WORD_OVERHEAD
+                    self._known[w] = ids
+                    self._size += len(w) + len(ids) + _WORD_OVERHEAD
                 held, size = [], 0
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -154,12 +217,10 @@ class Replayer:
             self._known.clear()
             self._size = 0
         known = self._known
-        out, seen = [], 0
         split_texts = [split(t) for t in texts]
         new = set().union(*split_texts).difference(known)
         self._learn(list(new))
-        for words in split_texts:
-            out.append(b"".join(map(known.__getitem__, words)))
+        out = [b"".join(map(known.__getitem__, words)) for words in split_texts]
         for word in new:
             if len(word) > REMEMBERED_CHARS:
                 self._size -= len(word) + len(known.pop(word)) + _WORD_OVERHEAD
@@ -198,7 +259,10 @@ def decode(encoded: DataFrame, ranks: str = RANKS) -> DataFrame:
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = [replayer(ranks).decode(ids or ()) for ids in batch.column(1).to_pylist()]
+            column = batch.column(1)
+            ids, sizes = column.flatten().to_numpy().tolist(), (0 if n is None else n for n in column.value_lengths().to_pylist())
+            bounds = [0, *itertools.accumulate(sizes)]
+            data = [replayer(ranks).decode(ids[a:b]) for a, b in zip(bounds, bounds[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary())], names=["doc_id", "ids", "data"])
 
     bounded_batches(encoded)

@@ -7,7 +7,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from fleetlake.llm.alignment import BYTE_LEVEL, PIECES, aligned_blocks, alignments
+from fleetlake.llm.alignment import BYTE_LEVEL, PIECES, Pair, aligned_blocks, alignments
 
 ODD = [
     "", " ", "plain words", "  two spaces", "tab\there\nand line", "café straße İ", "漢字かな", "\U0001f600\U0001f44d\U0001f3fd", "<|endoftext|> in text", "<s> </s> <unk> <0x41>",
@@ -111,3 +111,12 @@ def test_empty_table_and_clashing_names(spark, make_docs, brute):
     assert alignments(make_docs([])).collect() == []
     clash = spark.createDataFrame([(1, "two words", "x", 3)], "doc_id long, text string, groups string, block int")
     assert rows_of(alignments(clash)) == brute([(1, "two words")])
+
+
+def test_fast_encoding_equals_the_file():
+    """The texts of the rule's own check: every token, and code points that libraries put into different classes."""
+    pair = Pair(BYTE_LEVEL, PIECES)
+    assert pair._fast is not None
+    texts = [f"a{c}1{c}. {c} \t{c}{c}" for c in map(chr, [*range(0, 0x3000, 3), *range(0xA000, 0x20000, 17)]) if not "\ud800" <= c < "\ue000"]
+    texts += ["ab" * 5000, *ODD]
+    assert [pair._encode_a(t) for t in texts] == [pair._a.encode(t, add_special_tokens=False).ids for t in texts]

@@ -17,6 +17,7 @@ makes one larger shard. Extra columns are left out. No rows give no files.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -38,6 +39,14 @@ END_ID = 2
 SHARD_TOKENS = 1 << 22
 #: Encoded words that a Python worker remembers; beyond it, it starts anew.
 REMEMBERED_WORDS = 1_000_000
+#: Longer words are not remembered.
+REMEMBERED_CHARS = 64
+#: The normaliser and the splitting for which a text's ids are those of its words.
+_NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 #: Fixed value: the white space that the tokenizer's own splitting drops (Unicode White_Space).
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _OTHER_SPLITS = re.compile("[\x1c-\x1f]")
@@ -60,7 +69,7 @@ class WordEncoder:
 
     No token of this tokenizer spans white space, so a text's ids are those of its words in order. A word of letters,
     or letters and closing marks, goes to the library's normaliser and BPE model directly; any other word takes the
-    library's whole encode. Ids come as bytes, unsigned 32-bit little-endian.
+    library's whole encode, as does every text if the file's normaliser or splitting is another. Ids come as bytes, unsigned 32-bit little-endian.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED_WORDS) -> None:
@@ -74,6 +83,11 @@ class WordEncoder:
         self._packed = [i.to_bytes(4, "little") for i in ids]
         self._remembered = remembered
         self._known: dict[str, bytes] = {}
+        # Ids of the letters before closing marks: what is known of a word says nothing of it as a stem, as the library's
+        # lower case may end in a combining mark, which forms one piece with the marks behind it.
+        self._stems: dict[str, bytes] = {}
+        made = json.loads(self._tokenizer.to_str())
+        self._by_words = (made["normalizer"], made["pre_tokenizer"]) == (_NORMALIZER, _PRE_TOKENIZER)
 
     def _whole(self, text: str) -> bytes:
         packed = self._packed
@@ -95,30 +109,41 @@ class WordEncoder:
         stem = plain.rstrip(_MARKS)
         if not stem.isalpha():
             return self._whole(word)
-        ids = self._known.get(stem)
+        ids = self._stems.get(stem)
         if ids is None:
             ids = self._letters_only(stem)
             if ids is None:
                 return self._whole(word)
-            self._known[stem] = ids
+            if len(stem) <= REMEMBERED_CHARS:
+                self._stems[stem] = ids
         if len(stem) == len(plain):
             return ids
         marks = plain[len(stem):]
         tail = self._known.get(marks)
         if tail is None:
-            tail = self._known[marks] = self._whole(marks)
+            tail = self._whole(marks)
+            if len(marks) <= REMEMBERED_CHARS:
+                self._known[marks] = tail
         return ids + tail
 
     def encode(self, text: str) -> bytes:
+        if not self._by_words:
+            return self._whole(text)
         if text.isascii() and "<|" not in text:  # special tokens are spelled in one case
             text = text.lower()
         words = _SPACE.split(text) if _OTHER_SPLITS.search(text) else text.split()
         known = self._known
-        if len(known) > self._remembered:
+        if len(known) + len(self._stems) > self._remembered:
             known.clear()
-        for word in set(words).difference(known):
+            self._stems.clear()
+        new = set(words).difference(known)
+        for word in new:
             known[word] = self._word(word) if word else b""
-        return b"".join([known[word] for word in words])
+        ids = b"".join([known[word] for word in words])
+        for word in new:
+            if len(word) > REMEMBERED_CHARS:
+                del known[word]
+        return ids
 
 
 _encoders: dict[str, WordEncoder] = {}

@@ -1,3 +1,6 @@
+import json
+import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -28,6 +31,47 @@ def test_word_encoder_equals_whole_text_encoding(whole):
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == whole(text), repr(text)
 
 
+def test_what_was_met_before_changes_nothing(whole):
+    """Each word alone, with marks behind it, and again in the other order, by an encoder of its own: letters whose lower or
+    normal form is not all letters, and a sample of the others."""
+    odd = [c for c in map(chr, range(0x80, 0x20000)) if c.isalpha() and not unicodedata.normalize("NFC", c.lower()).isalpha()]
+    assert "İ" in odd
+    for c in [*odd, *map(chr, range(0xC0, 0x600, 23)), "a", "1"]:
+        for word in (f"tar{c}", f"{c}a{c}", f"TAR{c}H"):
+            texts = [word, f"{word},", f"{word}...", f"{word}!", word.upper(), f"{word.upper()},"]
+            for order in (texts, texts[::-1]):
+                encoder = _shared(order)
+                assert [np.frombuffer(encoder.encode(t), "<u4").tolist() for t in order] == [whole(t) for t in order], (word, order)
+
+
+_encoder = WordEncoder(TOKENIZER)
+
+
+def _shared(_order):
+    _encoder._known.clear()
+    _encoder._stems.clear()
+    return _encoder
+
+
+def test_random_strings_equal_the_library(whole):
+    pick = random.Random(9)
+    parts = ["İ", "I", "ı", "ẞ", "ß", "é", "é", "́", "̇", "a", "B", "tar", ",", ".", "!", "'s", " ", "\n", "1", "ǅ", "ﬁ", "漢", "\x1c"]
+    encoder = WordEncoder(TOKENIZER)
+    for _ in range(4000):
+        text = "".join(pick.choice(parts) for _ in range(pick.randint(1, 12)))
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == whole(text), text
+
+
+def test_another_vocabulary_takes_the_library(tmp_path):
+    with open(TOKENIZER, encoding="utf-8") as f:
+        made = json.load(f)
+    made["normalizer"]["normalizers"].pop()
+    path = tmp_path / "cased.json"
+    path.write_text(json.dumps(made), encoding="utf-8")
+    text = "Mixed CASE words, and İ."
+    assert np.frombuffer(WordEncoder(str(path)).encode(text), "<u4").tolist() == Tokenizer.from_file(str(path)).encode(text, add_special_tokens=False).ids
+
+
 def expected(docs, whole):
     out, start = [], 0
     for doc_id, text in sorted(docs, key=lambda x: (x[0] is not None, x[0])):

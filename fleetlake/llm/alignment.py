@@ -96,18 +96,20 @@ class Pair:
         return tiktoken.Encoding(
             "byte-level", pat_str=public_tokenizers.PATTERN, mergeable_ranks={self.bytes_a[i]: i for i in tokens.values()}, special_tokens={})
 
-    def _encode_a(self, text: str) -> list[int]:
-        if self._fast is None or len(max(text.split(), key=len, default="")) > LONGEST_WORD:
-            return self._a.encode(text, add_special_tokens=False).ids
-        return self._fast.encode_ordinary(text)
-
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]] | None]:
+    def _encode_a(self, text: str) -> np.ndarray | None:
+        """The ids of a text, None if they do not give it back."""
+        if self._fast is None or (len(text) > LONGEST_WORD and len(max(text.split(), key=len, default="")) > LONGEST_WORD):
+            ids = self._a.encode(text, add_special_tokens=False).ids
+            return np.array(ids, dtype=np.int64) if b"".join(map(self.bytes_a.__getitem__, ids)) == text.encode() else None
+        return self._fast.encode_to_numpy(text, disallowed_special=()).astype(np.int64)  # bytes merge to tokens of the same bytes
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
         """Both id lists of each text, None where either does not give the text back."""
-        out: list[tuple[list[int], list[int]] | None] = []
+        out: list[tuple[np.ndarray, np.ndarray] | None] = []
         for text, ids_b in zip(texts, self._b.encode(texts, num_threads=1)):
-            whole, ids_a = (" " + text).encode(), self._encode_a(" " + text)
-            same = b"".join(map(self.bytes_a.__getitem__, ids_a)) == whole and b"".join(map(self.bytes_b.__getitem__, ids_b)) == whole
-            out.append((ids_a, ids_b) if text and same else None)
+            whole = " " + text
+            ids_a = self._encode_a(whole) if text and b"".join(map(self.bytes_b.__getitem__, ids_b)) == whole.encode() else None
+            out.append(None if ids_a is None else (ids_a, np.array(ids_b)))
         return out
 
     def links(self, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -158,7 +160,9 @@ def aligned_blocks(docs: DataFrame, byte_level: str = BYTE_LEVEL, pieces: str =
 
         def close() -> pa.RecordBatch:
             links = np.concatenate(held) if held else np.zeros(0, np.int64)
-            pairs, codes, counts = np.unique(links, return_inverse=True, return_counts=True)
+            coded = pa.array(links).dictionary_encode()
+            pairs, codes = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+            counts = np.bincount(codes, minlength=len(pairs))
             order = np.argsort(-counts, kind="stable")
             number = np.empty(len(order), dtype=np.int64)
             number[order] = np.arange(len(order))
@@ -175,7 +179,7 @@ def aligned_blocks(docs: DataFrame, byte_level: str = BYTE_LEVEL, pieces: str =
                     doc_links.append(0)
                     chars += len(text)
                     if sides:
-                        ids_a, ids_b = map(np.array, sides)
+                        ids_a, ids_b = sides
                         at_a, at_b, end_a, end_b = pair.links(ids_a, ids_b)
                         doc_links[-1] = len(at_a)
                         held.append(ids_a[at_a] << _SHIFT | ids_b[at_b])

@@ -57,8 +57,17 @@ def csv_cell(c: F.Column) -> F.Column:
     return F.coalesce(F.when(c.rlike('[",\r\n]'), quoted).otherwise(c), F.lit(""))
 
 
-def write_csv_tree(spark: SparkSession, sf_dir: str) -> str:
-    """Write the derived CSV files in one job; returns the folder holding ``<date>/``.
+def _with_breaks(rows: DataFrame) -> DataFrame:
+    """The same records, with quoted line breaks: before the speed of every seventh row, and in every fifth row's
+    extra column, between quotes and commas."""
+    speed = F.when(F.col("id") % 7 == 0, F.concat(F.lit("\n"), "speed")).otherwise(F.col("speed"))
+    extra = F.when(F.col("id") % 5 == 0, F.lit('leg "one",\n"leg" two,\nend')).otherwise(F.col(EXTRA_COLUMN))
+    return rows.withColumns({"speed": speed, EXTRA_COLUMN: extra})
+
+
+def write_csv_tree(spark: SparkSession, sf_dir: str, breaks: bool = False) -> str:
+    """Write the derived CSV files in one job; returns the folder holding ``<date>/``. ``breaks`` puts quoted line
+    breaks into cells where they change no value (:func:`_with_breaks`).
 
     Every line (a header line per file, then its rows in ``event_id`` order)
     is built as text, so the three header layouts go out in a single
@@ -67,6 +76,7 @@ def write_csv_tree(spark: SparkSession, sf_dir: str) -> str:
     base = scratch_path(spark, "csv-tree")
     stage, dest = f"{base}/stage", f"{base}/files"
     raw = raw_records(driver_table(spark, sf_dir, "events")).withColumn(EXTRA_COLUMN, F.lit("x"))
+    raw = _with_breaks(raw) if breaks else raw
     vnum = F.substring("vehicle_id", 5, 4).cast("int")
     line, header = None, None
     for vehicles, columns in LAYOUTS:
@@ -207,6 +217,22 @@ def import_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register(
+    "quoted_line_breaks",
+    _CTES
+    + """SELECT source_file, row_number, vehicle_id, "timestamp", speed, odometer, soc,
+       CASE WHEN v = 9 THEN NULL ELSE elevation END AS elevation, shift_state, file_reasons AS reasons FROM checked""",
+)
+def quoted_line_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose cells hold quoted line breaks, with values, reasons and record numbers of every row."""
+    tree = write_csv_tree(spark, sf_dir, breaks=True)
+    checked = v.validate(read_csv_directory(spark, tree, recursive=True).records)
+    return checked.select(
+        _relative().alias("source_file"), "row_number", *v.TYPED_COLUMNS,
+        F.array_join("reject_reasons", ";").alias("reasons"),
+    )
+
+
 @register(
     "first_invalid_row",
     _CTES

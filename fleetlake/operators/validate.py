@@ -49,7 +49,7 @@ def validate(raw: DataFrame) -> DataFrame:
     the steps apart because the facts are used several times.
 
     Reasons: ``missing_columns:<sorted list>``, ``encoding_invalid`` (the line is
-    not valid UTF-8), ``vehicle_id_empty``,
+    not valid UTF-8), ``record_too_long`` (its quoted line breaks take in too much), ``vehicle_id_empty``,
     ``vehicle_id_too_long``, ``timestamp_empty``, ``timestamp_invalid``,
     ``speed_not_numeric``, ``<odometer|soc|elevation>_empty``,
     ``<…>_not_numeric``, ``odometer_negative``, ``soc_out_of_range``,
@@ -57,8 +57,9 @@ def validate(raw: DataFrame) -> DataFrame:
     as missing, not again per row.
     """
     ensure_conf(raw.sparkSession)  # naive text is read as UTC
-    keep = [c for c in raw.columns if c not in REQUIRED_COLUMNS + ("vehicle_id", "missing_columns", "bad_encoding")]
+    keep = [c for c in raw.columns if c not in REQUIRED_COLUMNS + ("vehicle_id", "missing_columns", "bad_encoding", "too_long")]
     bad_encoding = F.col("bad_encoding") if "bad_encoding" in raw.columns else F.lit(False)
+    too_long = F.col("too_long") if "too_long" in raw.columns else F.lit(False)
     missing = (
         F.col("missing_columns") if "missing_columns" in raw.columns else F.lit(None).cast("array<string>")
     )
@@ -67,6 +68,7 @@ def validate(raw: DataFrame) -> DataFrame:
         "vehicle_id",
         missing.alias("_missing"),
         bad_encoding.alias("_bad_encoding"),
+        too_long.alias("_too_long"),
         *[F.col(c).alias(f"raw_{c}") for c in REQUIRED_COLUMNS],
         *[strip(c).alias(f"_t_{c}") for c in REQUIRED_COLUMNS],
     )
@@ -76,6 +78,7 @@ def validate(raw: DataFrame) -> DataFrame:
         "vehicle_id",
         "_missing",
         "_bad_encoding",
+        "_too_long",
         *[f"raw_{c}" for c in REQUIRED_COLUMNS],
         _blank(t["timestamp"]).alias("_ts_blank"),
         iso_to_timestamp(t["timestamp"]).alias("_ts"),
@@ -107,6 +110,7 @@ def validate(raw: DataFrame) -> DataFrame:
         F.array(
             F.when(F.size(miss) > 0, F.concat(F.lit("missing_columns:"), F.array_join(miss, ","))),
             _reason(F.col("_bad_encoding"), "encoding_invalid"),
+            _reason(F.col("_too_long"), "record_too_long"),
             _reason(vid.isNull() | (F.length(vid) == 0), "vehicle_id_empty"),
             _reason(F.length(vid) > VEHICLE_ID_MAX_LENGTH, "vehicle_id_too_long"),
             _reason(present("timestamp") & F.col("_ts_blank"), "timestamp_empty"),

@@ -24,9 +24,12 @@ reported) and "Invalid row N" messages, for files of any size. So:
    the cell at the position of its name in that file's header.
 
 No step keeps a whole file in one task, and no per-row window runs over a
-file. Quoted line breaks are not supported (such a row is rejected). A line
-that is not valid UTF-8 is marked, so that it is rejected. Files without any
-line are known from the file listing and lack every column.
+file. A line that is not valid UTF-8 is marked, so that it is rejected. Files
+without any line are known from the file listing and lack every column.
+
+Quoted line breaks: a file in which some line, read from its start, ends
+inside a quoted cell has records of several lines; the split table knows these
+files, and they alone take the way of :mod:`fleetlake.sources.records`.
 """
 
 from __future__ import annotations
@@ -42,6 +45,7 @@ from pyspark.sql.window import Window
 from fleetlake.functions.naming import vehicle_id_from_path
 from fleetlake.schema import REQUIRED_COLUMNS
 from fleetlake.session import literal_path, scratch_path
+from fleetlake.sources import records as quoted
 
 # The split table is broadcast when its estimated size is below this.
 SPLIT_TABLE_BROADCAST_BYTES = 64 * 1024 * 1024
@@ -55,8 +59,8 @@ class ParsedLines:
     """Result of :func:`parse_lines`.
 
     ``records``: one row per data line — ``source_file, row_number,
-    order_key, vehicle_id, missing_columns, bad_encoding`` and the six contract columns
-    as text. ``files``: one row per file — ``source_file, header,
+    order_key, vehicle_id, missing_columns, bad_encoding`` (and ``too_long``, if records of several lines
+    were met) and the six contract columns as text. ``files``: one row per file — ``source_file, header,
     missing_columns, data_rows``. Call :meth:`release` when done if
     ``cache`` was requested.
     """
@@ -124,6 +128,7 @@ def split_table(lines: DataFrame) -> DataFrame:
         F.min("line_id").alias("first_line_id"),
         F.count(F.lit(1)).alias("n_lines"),
         F.min_by("value", "line_id").alias("first_line"),
+        F.max(quoted.opens(F.col("value"))).alias("opens"),
     )
     by_file = Window.partitionBy("file_path")
     running = by_file.orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
@@ -136,6 +141,7 @@ def split_table(lines: DataFrame) -> DataFrame:
         F.coalesce(F.sum("n_lines").over(running), F.lit(0)).alias("line_offset"),
         header.alias("header_line"),
         F.sum("n_lines").over(by_file).alias("file_lines"),
+        F.max("opens").over(by_file).alias("breaks"),
     )
 
 
@@ -186,10 +192,26 @@ def parse_lines(
     stats = splits.agg(
         F.max(F.size(F.split("header_line", ",", -1))).alias("width"),
         F.sum(F.length("file_path") + F.length("header_line") + F.lit(48)).alias("bytes"),
+        F.max("breaks").alias("breaks"),
     ).first()
     width = int(stats["width"] or len(REQUIRED_COLUMNS))
     width = max(width, len(REQUIRED_COLUMNS))
     est_bytes = int(stats["bytes"] or 0)
+    joined_records: DataFrame | None = None
+    if stats["breaks"]:
+        joined_records, broken_files = quoted.assemble(lines, splits.where("breaks"))
+        widest = broken_files.agg(F.max(F.size(F.split("header_line", ",", -1)))).first()[0]
+        width = max(width, int(widest or 0))
+        # What the split table says of these files counts lines; now it counts records.
+        splits = splits.drop("breaks").join(
+            F.broadcast(broken_files.select("file_path", F.col("header_line").alias("_header"), "n_records"))
+            if est_bytes <= broadcast_bytes else broken_files.select("file_path", F.col("header_line").alias("_header"), "n_records"),
+            "file_path", "left",
+        ).select(
+            "file_path", "block_start", "first_line_id", "line_offset",
+            F.coalesce("_header", "header_line").alias("header_line"), F.coalesce("n_records", "file_lines").alias("file_lines"),
+            F.col("n_records").isNotNull().alias("breaks"),
+        )
 
     header = _cells(F.col("header_line"), width)
     header = F.slice(header, 1, F.size(F.split("header_line", ",", -1)))
@@ -199,6 +221,7 @@ def parse_lines(
         "first_line_id",
         "line_offset",
         header.alias("header"),
+        "breaks",
     )
     if isinstance(vehicle_id, DataFrame):
         # One look-up per split, not per line.
@@ -209,16 +232,24 @@ def parse_lines(
     join_side = F.broadcast(split_info) if est_bytes <= broadcast_bytes else split_info
     # Parse each line once, before the join: the join keeps Catalyst from
     # inlining the parser into every later use of a cell.
-    parsed_lines = lines.withColumn("_csv", _csv_struct(F.col("value"), width)).select(
-        "file_path", "block_start", "line_id", (~F.is_valid_utf8("value")).alias("bad_encoding"), F.array(*[F.col(f"_csv.c{i}") for i in range(width)]).alias("cells")
-    )
-    joined = parsed_lines.join(join_side, ["file_path", "block_start"], "inner")
+    def parsed(texts: DataFrame, *columns: str) -> DataFrame:
+        return texts.withColumn("_csv", _csv_struct(F.col("value"), width)).select(
+            "file_path", "block_start", "line_id", *columns, F.array(*[F.col(f"_csv.c{i}") for i in range(width)]).alias("cells")
+        )
+
+    checked = lines.select("*", (~F.is_valid_utf8("value")).alias("bad_encoding"))
+    joined = parsed(checked, "bad_encoding").join(join_side, ["file_path", "block_start"], "inner")
     row_number = F.col("line_id") - F.col("first_line_id") + F.col("line_offset") + F.lit(1)
+    if joined_records is not None:
+        joined = joined.where(~F.col("breaks")).withColumns({"row": row_number, "too_long": F.lit(False)}).unionByName(
+            parsed(joined_records, "bad_encoding", "too_long", "row").join(join_side, ["file_path", "block_start"], "inner"))
+        row_number = F.col("row")
     with_rn = joined.select(
         "file_path",
         "cells",
         "header",
         "bad_encoding",
+        *(["too_long"] if joined_records is not None else []),
         *(["given_id"] if isinstance(vehicle_id, DataFrame) else []),
         row_number.alias("row_number"),
         # Total order of lines inside a file without extra work: split start, then line id.
@@ -245,6 +276,7 @@ def parse_lines(
         vid.alias("vehicle_id"),
         F.array_except(required, F.col("header")).alias("missing_columns"),
         "bad_encoding",
+        *(["too_long"] if joined_records is not None else []),
         *bound,
     )
     per_file = splits.groupBy("file_path").agg(

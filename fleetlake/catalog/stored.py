@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlake.catalog.registry import LOOKUP_ID, RANGE_END, RANGE_START, TELEMETRY_CTE, VEHICLE, register, with_ctes
 from fleetlake.operators import query
 from fleetlake.session import scratch_path
+from fleetlake.sinks import key_index
 from fleetlake.sinks import table as sink
 from fleetlake.sources.tables import TELEMETRY_COLUMNS, driver_telemetry, read_telemetry
 
@@ -67,3 +70,23 @@ def stored_page_after(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stored_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row by id from the stored table."""
     return query.point_lookup(stored_telemetry(spark, sf_dir), LOOKUP_ID).select(*TELEMETRY_COLUMNS)
+
+
+@register(
+    "insert_new_indexed",
+    with_ctes(TELEMETRY_CTE) + """SELECT * FROM telemetry t WHERE id % 5 <> 0
+AND NOT EXISTS (SELECT 1 FROM telemetry e WHERE e.id % 3 < 2 AND e.vehicle_id = t.vehicle_id AND e."timestamp" = t."timestamp")""",
+)
+def insert_new_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch against all stored keys: one load in the bucketed index, one that it lacks yet."""
+    path = scratch_path(spark, "indexed")
+    index = key_index.KeyIndex(
+        f"fleetlake_keys_{uuid.uuid4().hex[:12]}", f"{path}-keys", max(16, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    rows = driver_telemetry(spark, sf_dir)
+    for k, load in enumerate(("first", "second")):
+        sink.write_id_range(spark, path, load, 0, 1)
+        sink.write_telemetry(rows.filter(F.col("id") % 3 == k), path, load)
+        if not k:
+            key_index.refresh_key_index(spark, path, index)
+    batch = rows.filter(F.col("id") % 5 != 0).select(*TELEMETRY_COLUMNS)
+    return key_index.insert_new_indexed(spark, batch, path, index).select(*TELEMETRY_COLUMNS)

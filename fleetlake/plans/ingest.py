@@ -19,6 +19,7 @@ from fleetlake.operators.dedup import KEY, dedup_first, insert_new
 from fleetlake.operators.identity import assign_ids
 from fleetlake.session import ensure_conf
 from fleetlake.sinks import table as sink
+from fleetlake.sinks.key_index import KeyIndex, insert_new_indexed
 from fleetlake.sources.lines import ParsedLines
 
 MODES = ("permissive", "strict")
@@ -26,7 +27,7 @@ MODES = ("permissive", "strict")
 # Batch keys are broadcast for the history lookup only below this size
 # (measured: the vehicle id's bytes, plus timestamp and hash-table overhead).
 KEY_OVERHEAD_BYTES = 64
-BROADCAST_KEYS_BYTES = 256 * 1024 * 1024
+BROADCAST_KEYS_BYTES = 32 * 1024 * 1024
 
 # Rows per range partition when numbering and writing a load (~100–200 MB).
 ROWS_PER_ID_PARTITION = 1_000_000
@@ -96,6 +97,8 @@ def ingest_parsed(
     rejects_path: str | None = None,
     audit_path: str | None = None,
     id_base: int | None = None,
+    key_index: KeyIndex | None = None,
+    broadcast_bytes: int = BROADCAST_KEYS_BYTES,
 ) -> IngestResult:
     """Load one batch of parsed CSV lines into the table, idempotently.
 
@@ -103,7 +106,9 @@ def ingest_parsed(
     partitions with the same rows and ids: a load's id range is recorded beside
     the table before its rows are written, and a replay finds it. ``id_base``
     (largest id of other loads) may be passed by a caller that tracks it and
-    knows that this is no replay, e.g. a running stream.
+    knows that this is no replay, e.g. a running stream. A batch whose keys
+    exceed ``broadcast_bytes`` is compared with ``key_index``, where one is
+    given, instead of a shuffle of the history of its days.
     """
     ensure_conf(spark)
     validated = apply_mode(v.validate(parsed.records), mode).persist(StorageLevel.MEMORY_AND_DISK)
@@ -127,13 +132,18 @@ def ingest_parsed(
             history = history.filter(
                 F.col("timestamp").between(F.timestamp_micros(F.lit(span["t0"])), F.timestamp_micros(F.lit(span["t1"])))
             )
-        if int(span["key_bytes"] or 0) <= BROADCAST_KEYS_BYTES:
+        small = int(span["key_bytes"] or 0) <= broadcast_bytes
+        if small:
             # Small batch against a big day of history: scan the day's keys once,
             # keep those that match the broadcast batch keys (no shuffle of the
             # history), then anti join against those few matches.
-            batch_keys = valid.select(*KEY)
+            batch_keys = winners.select(*KEY)
             history = history.select(*KEY).join(F.broadcast(batch_keys), list(KEY), "left_semi")
-        new_rows = insert_new(winners, history).persist(StorageLevel.MEMORY_AND_DISK)
+        if key_index is not None and not small:
+            new_rows = insert_new_indexed(spark, winners, table_path, key_index, ingest_id)
+        else:
+            new_rows = insert_new(winners, history)
+        new_rows = new_rows.persist(StorageLevel.MEMORY_AND_DISK)
         helpers.append(new_rows)
 
         # Ids follow (date, vehicle, time): each range partition then covers one
@@ -244,6 +254,7 @@ def load_directory(
     audit_path: str | None = None,
     recursive: bool = False,
     files_per_batch: int | None = None,
+    key_index: KeyIndex | None = None,
 ) -> IngestResult:
     """S1 + ingest: every ``*.csv`` of a directory, vehicle id from the file name.
 
@@ -256,11 +267,11 @@ def load_directory(
 
     if not files_per_batch:
         parsed = read_csv_directory(spark, directory, recursive=recursive)
-        return ingest_parsed(spark, parsed, table_path, ingest_id, mode, rejects_path, audit_path)
+        return ingest_parsed(spark, parsed, table_path, ingest_id, mode, rejects_path, audit_path, key_index=key_index)
     total: IngestResult | None = None
     for k, group in enumerate(file_batches(spark, directory, files_per_batch, recursive)):
         parsed = read_csv_files(spark, group)
-        res = ingest_parsed(spark, parsed, table_path, f"{ingest_id}-{k}", mode, rejects_path, audit_path)
+        res = ingest_parsed(spark, parsed, table_path, f"{ingest_id}-{k}", mode, rejects_path, audit_path, key_index=key_index)
         total = res if total is None else IngestResult(
             ingest_id=ingest_id,
             rows_read=total.rows_read + res.rows_read,

@@ -90,3 +90,26 @@ def insert_new_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
             key_index.refresh_key_index(spark, path, index)
     batch = rows.filter(F.col("id") % 5 != 0).select(*TELEMETRY_COLUMNS)
     return key_index.insert_new_indexed(spark, batch, path, index).select(*TELEMETRY_COLUMNS)
+
+
+@register(
+    "finished_loads",
+    with_ctes(TELEMETRY_CTE) + """SELECT 'before' AS phase, * FROM telemetry WHERE id % 2 = 0
+UNION ALL SELECT 'after', * FROM telemetry""",
+)
+def finished_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K6: what a reader sees while one load has stopped half-way, and after its replay."""
+    path, seen = scratch_path(spark, "finished"), scratch_path(spark, "finished-seen")
+    rows = driver_telemetry(spark, sf_dir)
+    for load, left in (("even", 0), ("odd", 1)):
+        own = rows.filter(F.col("id") % 2 == left)
+        sink.write_id_range(spark, path, load, 0, 1, finished=False)
+        sink.write_telemetry(own if not left else own.filter(F.col("id") % 4 == 1), path, load)
+        if not left:
+            sink.write_id_range(spark, path, load, 0, 1, finished=True)
+    read_telemetry(spark, path).write.parquet(seen)
+    sink.write_telemetry(rows.filter(F.col("id") % 2 == 1), path, "odd")
+    sink.write_id_range(spark, path, "odd", 0, 1, finished=True)
+    views = {"before": spark.read.parquet(seen), "after": read_telemetry(spark, path)}
+    before, after = (df.select(F.lit(phase).alias("phase"), *TELEMETRY_COLUMNS) for phase, df in views.items())
+    return before.unionByName(after)

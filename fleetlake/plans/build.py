@@ -14,7 +14,7 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructField, St
 from fleetlake.operators import marts
 from fleetlake.operators.quality import Check, check_counts
 from fleetlake.schema import HOURLY_MART
-from fleetlake.session import ensure_conf, literal_path
+from fleetlake.session import ensure_conf, literal_path, scratch_path
 
 # The declared tests of the source, staging and mart models.
 SOURCE_CHECKS = [
@@ -101,19 +101,31 @@ def build_with_tests(
     return spark.createDataFrame(rows, SUMMARY)
 
 
-FILES_PER_DAY = 4
+# Mart rows of a day's file, about; a day has as many files as its rows need.
+MART_ROWS_PER_FILE = 2_000_000
+MOST_WRITE_TASKS = 100_000
 MART_COLUMNS = tuple(HOURLY_MART.fieldNames())
 
 
-def write_mart(mart: DataFrame, path: str, dynamic: bool) -> None:
+def write_mart(mart: DataFrame, path: str, dynamic: bool, rows_per_file: int = MART_ROWS_PER_FILE) -> None:
     """K5: the mart as a table partitioned by UTC day. ``dynamic=False`` is a
-    full rebuild; ``dynamic=True`` replaces only the days present in ``mart``."""
-    out = mart.select(*MART_COLUMNS, F.to_date("observed_hour").alias("observed_date"))
-    # A day's rows meet in FILES_PER_DAY tasks at most, so a day has few files.
-    slot = F.pmod(F.xxhash64("vehicle_id"), F.lit(FILES_PER_DAY))
+    full rebuild; ``dynamic=True`` replaces only the days present in ``mart``.
+
+    The mart is written once to scratch and counted by day there, one row a
+    day, so that no day is funnelled through a fixed number of tasks."""
+    spark, scratch = mart.sparkSession, scratch_path(mart.sparkSession, "mart")
+    dated = mart.select(*MART_COLUMNS, F.to_date("observed_hour").alias("observed_date"))
+    dated.write.parquet(scratch)
+    out = spark.read.schema(dated.schema).parquet(scratch)
+    files = out.groupBy("observed_date").agg(F.ceil(F.count(F.lit(1)) / F.lit(rows_per_file)).alias("_files"))
+    # A vehicle has a row an hour, so its rows of a day may go to one file, whichever vehicle it is.
+    slot = F.pmod(F.xxhash64("vehicle_id"), F.col("_files"))
+    sized = out.join(F.broadcast(files), "observed_date").withColumn("_slot", slot)
+    total = int(files.agg(F.sum("_files")).first()[0] or 1)
     (
-        out.repartition("observed_date", slot)
-        .sortWithinPartitions("observed_date", "vehicle_id", "observed_hour")
+        sized.repartition(max(1, min(total, MOST_WRITE_TASKS)), "observed_date", "_slot")
+        .sortWithinPartitions("observed_date", "_slot", "vehicle_id", "observed_hour")
+        .drop("_files", "_slot")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic" if dynamic else "static")
         .partitionBy("observed_date")

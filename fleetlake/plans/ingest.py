@@ -204,7 +204,7 @@ def ingest_parsed(
                 base = own[0]
             else:
                 base = max(highest, own[1] if own else 0)
-        sink.write_id_range(spark, table_path, ingest_id, base, base + inserted)
+        sink.write_id_range(spark, table_path, ingest_id, base, base + inserted, finished=False)
         with_ids = with_ids.withColumn("id", F.col("id") + F.lit(base))
         audit = audit.withColumns({c: F.col(c) + F.lit(base) for c in ("min_id", "max_id")})
         sink.write_telemetry(with_ids, table_path, ingest_id)
@@ -212,6 +212,7 @@ def ingest_parsed(
             sink.write_rejects(v.rejected_rows(validated), rejects_path, ingest_id)
         if audit_path:
             sink.write_audit(audit, audit_path, n_rows=int(totals[6] or 0))
+        sink.write_id_range(spark, table_path, ingest_id, base, base + inserted, finished=True)
         return IngestResult(
             ingest_id=ingest_id,
             rows_read=int(totals[0] or 0),

@@ -4,8 +4,8 @@ Layout of the telemetry table: ``observed_date=…/ingest_id=…/part-….parque
 sorted inside by ``(vehicle_id, timestamp)`` so row-group statistics skip
 data for vehicle and time filters. A load writes only its own ``ingest_id``
 partitions with dynamic partition overwrite, so running it again replaces
-exactly what it wrote before. Assumes one writer at a time; a reader may see
-half of a load while it is being written (no transaction log here).
+exactly what it wrote before. Assumes one writer at a time. Files of a load
+appear one by one; :func:`read_finished` leaves out loads that are under way.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from fleetlake.schema import INGEST_AUDIT, REJECTS, STORED_TELEMETRY, TELEMETRY
 from fleetlake.session import literal_path
@@ -124,9 +124,14 @@ def read_audit(spark: SparkSession, path: str) -> DataFrame:
 
 # One row per load: the ids it may use are base + 1 … last. Kept beside the
 # table and written before the load's rows, so a range is never given twice,
-# whatever fails later, and a replay finds the range it had.
+# whatever fails later, and a replay finds the range it had. ``finished`` is
+# false from before a load's first row until all it writes is written, also
+# while it is replayed; loads of tables older than the column count as finished.
 ID_LOG = StructType(
-    [StructField("ingest_id", StringType(), False), StructField("base", LongType(), False), StructField("last", LongType(), False)]
+    [
+        StructField("ingest_id", StringType(), False), StructField("base", LongType(), False), StructField("last", LongType(), False),
+        StructField("finished", BooleanType(), True),
+    ]
 )
 
 
@@ -138,9 +143,25 @@ def read_id_log(spark: SparkSession, table_path: str) -> DataFrame:
     return _read_or_empty(spark, id_log_path(table_path), ID_LOG)
 
 
-def write_id_range(spark: SparkSession, table_path: str, ingest_id: str, base: int, last: int) -> None:
+def unfinished_loads(spark: SparkSession, table_path: str) -> list[str]:
+    """Loads under way, or stopped half-way and not replayed yet: a few."""
+    rows = read_id_log(spark, table_path).filter(~F.col("finished")).select("ingest_id").distinct()
+    return sorted(r[0] for r in rows.collect())
+
+
+def read_finished(spark: SparkSession, path: str) -> DataFrame:
+    """The table without the rows of unfinished loads, as of now: a load is seen
+    whole or not at all. Their folders are pruned, so nothing is joined."""
+    hidden = unfinished_loads(spark, path)
+    rows = read_table(spark, path)
+    return rows.filter(~F.col("ingest_id").isin(hidden)) if hidden else rows
+
+
+def write_id_range(
+    spark: SparkSession, table_path: str, ingest_id: str, base: int, last: int, finished: bool | None = None
+) -> None:
     (
-        spark.createDataFrame([(ingest_id, base, last)], ID_LOG).coalesce(1)
+        spark.createDataFrame([(ingest_id, base, last, finished)], ID_LOG).coalesce(1)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("ingest_id")

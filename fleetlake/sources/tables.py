@@ -7,21 +7,25 @@ from pyspark.sql import functions as F
 
 from fleetlake.schema import TELEMETRY
 from fleetlake.session import ensure_conf
-from fleetlake.sinks.table import read_table
+from fleetlake.sinks.table import read_finished, read_table
 
 TELEMETRY_COLUMNS = tuple(f.name for f in TELEMETRY.fields)
 
 
-def read_telemetry(spark: SparkSession, path: str, keep_partition_columns: bool = False) -> DataFrame:
+def read_telemetry(
+    spark: SparkSession, path: str, keep_partition_columns: bool = False, finished_only: bool = True
+) -> DataFrame:
     """Scan the stored table (``observed_date=…/ingest_id=…`` parquet).
 
     The schema is passed explicitly, so an empty or not-yet-created table
     reads as zero rows instead of failing, and nothing is inferred. Pair
     ``timestamp`` filters with ``observed_date`` (``operators.query.
-    filter_time_range(date_col=...)``) to prune partitions.
+    filter_time_range(date_col=...)``) to prune partitions. Loads that are
+    under way, or that stopped half-way, are left out unless
+    ``finished_only`` is false.
     """
     ensure_conf(spark)
-    df = read_table(spark, path)
+    df = read_finished(spark, path) if finished_only else read_table(spark, path)
     return df if keep_partition_columns else df.select(*TELEMETRY_COLUMNS)
 
 

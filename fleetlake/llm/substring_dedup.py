@@ -3,18 +3,20 @@
 A gear hash rolls over the UTF-8 bytes of each text (a random 16-bit value for each byte, shifted in, so that it
 depends on the last 16 bytes). A chunk ends where that hash is the smallest within ``reach`` bytes on either side, so
 cuts depend on nearby bytes alone: an insertion moves the cuts around it and no others, chunks are ``reach`` bytes or
-longer and about twice that on average. Chunks are deduplicated by a 64-bit digest: one is repeated if documents with
-different ids hold it, and belongs to the smallest of these ids. Neighbouring repeated chunks of a document are joined
+longer and about twice that on average. Chunks are deduplicated by a 64-bit digest: one is repeated if different
+documents hold it, and belongs to the smallest of these ids. Neighbouring repeated chunks of a document are joined
 to a run; runs of ``min_chars`` characters or more count as repeated passages (a shared short line is none). With the
 defaults, a repeated passage of over 50 words keeps enough whole chunks to be found even when all around it differs.
 
-What is shuffled: one row of some 30 bytes for each chunk, twice (smallest and largest id by digest, summed before the
-shuffle; then the look-up, a sort-merge join whose skewed keys Spark splits), and the repeated chunks once more by
-document. The text itself is not shuffled to find passages, and once, by ``doc_id``, to cut them out.
+What is shuffled: one row of some 50 bytes for each chunk, twice (smallest and largest document by digest, summed before
+the shuffle; then the look-up, a sort-merge join whose skewed keys Spark splits), and the repeated chunks once more by
+document. The text itself is not shuffled to find passages, and once, by document, to cut them out.
 
-Defined cases: a null or empty text has no chunks. Rows that repeat a ``doc_id`` are one document: what repeats only
-there is left alone, as are repeats inside one text. A null ``doc_id`` is read as the smallest long integer, and is
-null again in the result. Offsets are code points, the end is exclusive. Extra columns are left out.
+Defined cases: a null or empty text has no chunks. A document is its ``doc_id`` and its text (by hash): different texts
+of one id, or of none, are different documents, ordered by that hash, and each is cut at its own passages only. Rows that
+repeat both are one document: what repeats only there is left alone, as are repeats inside one text. A null ``doc_id``
+is read as the smallest long integer, and is null again in the result. Offsets are code points, the end is exclusive.
+Extra columns are left out.
 """
 
 from __future__ import annotations
@@ -103,16 +105,22 @@ def _chunks(text: str, reach: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
     return starts, ends - starts, digests
 
 
+def _identified(docs: DataFrame) -> DataFrame:
+    """``(doc_id, h, text)``: ``h`` tells the texts of one id apart, no id is the smallest long."""
+    return keyed_texts(docs).select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+
+
 def chunk_table(docs: DataFrame, reach: int = REACH) -> DataFrame:
-    """``(doc_id, start, n, digest)``: every chunk of every row."""
+    """``(doc_id, h, start, n, digest)``: every chunk of every row."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "start", "n", "digest"]
+        names = ["doc_id", "h", "start", "n", "digest"]
         for batch in batches:
             held, size = [], 0
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
+            for doc_id, h, text in zip(*batch.columns):
                 starts, n, digests = _chunks(text.as_py(), reach)
-                held.append((np.full(len(n), doc_id.as_py()), starts, n, np.array(digests, dtype=np.uint64).view(np.int64)))
+                of_doc = np.full(len(n), doc_id.as_py()), np.full(len(n), h.as_py())
+                held.append((*of_doc, starts, n, np.array(digests, dtype=np.uint64).view(np.int64)))
                 size += len(n)
                 if size > 200_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=names)
@@ -120,43 +128,46 @@ def chunk_table(docs: DataFrame, reach: int = REACH) -> DataFrame:
             if size:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=names)
 
-    texts = keyed_texts(docs).select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), "text").where("text <> ''")
-    return texts.mapInArrow(explode, "doc_id long, start long, n long, digest long")
+    return _identified(docs).where("text <> ''").mapInArrow(explode, "doc_id long, h long, start long, n long, digest long")
 
 
 def repeated_passages(docs: DataFrame, min_chars: int = MIN_CHARS, reach: int = REACH) -> DataFrame:
     """``(doc_id, start, end, first_doc_id, kept)``: the parts of each document that repeat across documents.
 
-    ``kept`` parts belong to this document, the smallest id that holds their chunks; the others repeat
+    ``kept`` parts belong to this document, the first that holds their chunks; the others repeat
     ``first_doc_id`` (the smallest owner of their chunks) and are what :func:`dedup_substrings` cuts out.
     """
+    named = lambda c: F.nullif(F.col(c), F.lit(_NO_ID)).alias(c)
+    return _passages(docs, min_chars, reach).select(named("doc_id"), "start", "end", named("first_doc_id"), "kept")
+
+
+def _passages(docs: DataFrame, min_chars: int, reach: int) -> DataFrame:
+    """``(doc_id, h, start, end, first_doc_id, kept)``, with the smallest long for no id."""
     chunks = chunk_table(docs, reach)
-    owners = chunks.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
+    doc = F.struct("doc_id", "h")
+    owners = chunks.groupBy("digest").agg(F.min(doc).alias("owner"), F.max(doc).alias("last"))
     owners = stored(owners.where("owner <> last").select("digest", "owner"), "chunk-owners")
-    hits = chunks.join(owners, "digest").select("doc_id", "start", "n", "owner")
-    hits = hits.repartition("doc_id").groupBy("doc_id", "start", "n").agg(F.min("owner").alias("owner"))
-    by_place = Window.partitionBy("doc_id").orderBy("start", "n")
+    hits = chunks.join(owners, "digest").select("doc_id", "h", "start", "n", "owner")
+    hits = hits.repartition("doc_id", "h").groupBy("doc_id", "h", "start", "n").agg(F.min("owner").alias("owner"))
+    by_place = Window.partitionBy("doc_id", "h").orderBy("start", "n")
     before = F.lag(F.col("start") + F.col("n")).over(by_place)
-    hits = hits.withColumn("kept", F.col("owner") == F.col("doc_id"))
+    hits = hits.withColumn("kept", F.col("owner") == doc)
     marked = hits.withColumn("new_run", F.when(before == F.col("start"), 0).otherwise(1)).withColumn(
         "new_part", F.when((F.col("new_run") == 0) & (F.lag("kept").over(by_place) == F.col("kept")), 0).otherwise(1))
     placed = marked.withColumn("run", F.sum("new_run").over(by_place)).withColumn("part", F.sum("new_part").over(by_place))
-    parts = placed.groupBy("doc_id", "run", "part").agg(
+    parts = placed.groupBy("doc_id", "h", "run", "part").agg(
         F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("end"),
-        F.min("owner").alias("first_doc_id"), F.first("kept").alias("kept"))
-    whole_run = F.sum(F.col("end") - F.col("start")).over(Window.partitionBy("doc_id", "run"))
-    named = lambda c: F.nullif(F.col(c), F.lit(_NO_ID)).alias(c)
-    return parts.withColumn("run_chars", whole_run).where(F.col("run_chars") >= min_chars).select(
-        named("doc_id"), "start", "end", named("first_doc_id"), "kept")
+        F.min("owner.doc_id").alias("first_doc_id"), F.first("kept").alias("kept"))
+    whole_run = F.sum(F.col("end") - F.col("start")).over(Window.partitionBy("doc_id", "h", "run"))
+    return parts.withColumn("run_chars", whole_run).where(F.col("run_chars") >= min_chars).drop("run", "part", "run_chars")
 
 
 def dedup_substrings(docs: DataFrame, min_chars: int = MIN_CHARS, reach: int = REACH) -> DataFrame:
     """``(doc_id, n_cut, text)`` for every row: its text without the parts that repeat another document."""
     spans = (
-        repeated_passages(docs, min_chars, reach).where(~F.col("kept"))
-        .groupBy(F.col("doc_id").alias("span_id")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+        _passages(docs, min_chars, reach).where(~F.col("kept"))
+        .groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
     )
-    texts = keyed_texts(docs)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,5 +183,6 @@ def dedup_substrings(docs: DataFrame, min_chars: int = MIN_CHARS, reach: int = R
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n_cut, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_cut", "text"])
 
-    joined = texts.join(spans, texts.doc_id.eqNullSafe(spans.span_id), "left").select("doc_id", "text", "spans")
+    joined = _identified(docs).join(spans, ["doc_id", "h"], "left").select(
+        F.nullif("doc_id", F.lit(_NO_ID)).alias("doc_id"), "text", "spans")
     return joined.mapInArrow(cut, "doc_id long, n_cut long, text string")

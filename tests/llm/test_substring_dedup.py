@@ -78,6 +78,19 @@ def test_repeats_inside_one_document_null_ids_and_clashing_columns(make_docs):
     assert repeated_passages(make_docs([])).collect() == []
 
 
+def test_texts_of_one_id_or_of_none_are_told_apart(make_docs):
+    rng = random.Random(6)
+    repeated, other, third = (words(rng, 80) for _ in range(3))
+    docs = make_docs([(1, repeated), (5, repeated), (5, other), (None, third), (None, "new " + third), (None, other[:40])])
+    assert {(r.doc_id, r.first_doc_id, r.kept) for r in repeated_passages(docs).collect()} == {
+        (1, 1, True), (5, 1, False), (None, None, True), (None, None, False)}
+    texts = sorted(r.text for r in dedup_substrings(docs).where("doc_id = 5").collect())
+    assert texts == ["", other]
+    left = sorted(len(r.text) for r in dedup_substrings(docs).where("doc_id is null").collect())
+    assert left[0] < 80 and left[1] == 40 or left[0] == 40 and left[1] < 80
+    assert left[2] >= len(third)
+
+
 def test_query_against_brute_force(run_query):
     """Every reported part is a substring that another document holds, and every 51 shared words are reported."""
     import pyarrow.parquet as pq

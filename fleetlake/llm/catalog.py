@@ -107,65 +107,70 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-OP2_SQL = r"""
+def _split_sql(nodes: str, parents: str, name: str) -> str:
+    """Siblings of ``nodes`` in order, the full ones among them, and the shares of the others by the rounded line."""
+    by = f"PARTITION BY {parents}" if parents else ""
+    order = f"{by} ORDER BY room / CAST(weight AS DOUBLE), {name} NULLS FIRST"
+    return f"""{nodes}_full AS (
+    SELECT *, room * CAST(sum(weight) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS HUGEINT) <= CAST(weight AS HUGEINT)
+        * (budget - coalesce(sum(room) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS is_full FROM {nodes}
+), {nodes}_line AS (
+    SELECT *, CAST(budget - coalesce(sum(room) FILTER (WHERE is_full) OVER ({by}), 0) AS HUGEINT) AS rest,
+           sum(weight) FILTER (WHERE NOT is_full) OVER ({by}) AS open_weight,
+           sum(weight) FILTER (WHERE NOT is_full) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS reached
+    FROM {nodes}_full
+), {nodes}_share AS (
+    SELECT *, CAST(CASE WHEN is_full THEN room
+        ELSE rest * reached // open_weight - rest * (reached - weight) // open_weight END AS BIGINT) AS share FROM {nodes}_line
+)"""
+
+
+OP2_SQL = rf"""
 WITH docs AS (
-    SELECT doc_id, CASE WHEN regexp_matches(source, '[0-9]{1,9}$')
-             THEN 'domain' || (CAST(regexp_extract(source, '([0-9]{1,9})$', 1) AS BIGINT) % 4) ELSE 'other' END AS domain,
-           lang, source,
+    SELECT doc_id, CASE WHEN regexp_matches(source, '[0-9]{{1,9}}$')
+             THEN 'domain' || (CAST(regexp_extract(source, '([0-9]{{1,9}})$', 1) AS BIGINT) % 4) ELSE 'other' END AS domain,
+           lang, source, md5(coalesce(text, '')) AS text_key,
            len(list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\r\f\x0B]+'), lambda x: x <> '')) AS tokens
     FROM documents
 ), leaves AS (
     SELECT domain, lang, source, CAST(sum(tokens) AS BIGINT) AS tokens FROM docs GROUP BY ALL
 ), total AS (
     SELECT CAST(sum(tokens) AS BIGINT) AS budget FROM leaves
-), d0 AS (
+), d AS (
     SELECT domain, CAST(sum(tokens) * 4 AS BIGINT) AS room, any_value(budget) AS budget,
            CASE domain WHEN 'domain0' THEN 4 WHEN 'domain1' THEN 3 WHEN 'domain2' THEN 2 ELSE 1 END AS weight
     FROM leaves, total GROUP BY domain
-), d1 AS (
-    SELECT *, room * sum(weight) OVER (ORDER BY room / CAST(weight AS DOUBLE), domain ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
-        <= weight * (budget - coalesce(sum(room) OVER (ORDER BY room / CAST(weight AS DOUBLE), domain
-                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS is_full FROM d0
-), d2 AS (
-    SELECT domain, CASE WHEN is_full THEN room ELSE weight * (budget - coalesce(sum(room) FILTER (WHERE is_full) OVER (), 0))
-        // sum(weight) FILTER (WHERE NOT is_full) OVER () END AS budget FROM d1
-), l0 AS (
-    SELECT domain, lang, CAST(sum(l.tokens) * 4 AS BIGINT) AS room, any_value(budget) AS budget,
+), {_split_sql("d", "", "domain")}, l AS (
+    SELECT domain, lang, CAST(sum(n.tokens) * 4 AS BIGINT) AS room, any_value(share) AS budget,
            CASE lang WHEN 'en' THEN 5 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 ELSE 1 END AS weight
-    FROM leaves l JOIN d2 USING (domain) GROUP BY domain, lang
-), l1 AS (
-    SELECT *, room * sum(weight) OVER (PARTITION BY domain ORDER BY room / CAST(weight AS DOUBLE), lang ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
-        <= weight * (budget - coalesce(sum(room) OVER (PARTITION BY domain ORDER BY room / CAST(weight AS DOUBLE), lang
-                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS is_full FROM l0
-), l2 AS (
-    SELECT domain, lang, CASE WHEN is_full THEN room ELSE weight * (budget - coalesce(sum(room) FILTER (WHERE is_full) OVER (PARTITION BY domain), 0))
-        // sum(weight) FILTER (WHERE NOT is_full) OVER (PARTITION BY domain) END AS budget FROM l1
-), s0 AS (
-    SELECT domain, lang, source, tokens, tokens * 4 AS room, budget, 1 AS weight FROM leaves JOIN l2 USING (domain, lang)
-), s1 AS (
-    SELECT *, room * sum(weight) OVER (PARTITION BY domain, lang ORDER BY room / CAST(weight AS DOUBLE), source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
-        <= weight * (budget - coalesce(sum(room) OVER (PARTITION BY domain, lang ORDER BY room / CAST(weight AS DOUBLE), source
-                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS is_full FROM s0
-), s2 AS (
-    SELECT domain, lang, source, tokens AS leaf_tokens, CASE WHEN is_full THEN room
-        ELSE weight * (budget - coalesce(sum(room) FILTER (WHERE is_full) OVER (PARTITION BY domain, lang), 0))
-        // sum(weight) FILTER (WHERE NOT is_full) OVER (PARTITION BY domain, lang) END AS share FROM s1
-), planned AS (
-    SELECT *, CASE WHEN leaf_tokens > 0 THEN CAST(share // leaf_tokens AS BIGINT) ELSE 0 END AS epochs FROM s2
+    FROM leaves n JOIN d_share USING (domain) GROUP BY domain, lang
+), {_split_sql("l", "domain", "lang")}, s AS (
+    SELECT n.domain, n.lang, n.source, n.tokens AS leaf_tokens, n.tokens * 4 AS room, p.share AS budget, 1 AS weight
+    FROM leaves n JOIN l_share p ON n.domain = p.domain AND n.lang IS NOT DISTINCT FROM p.lang
+), {_split_sql("s", "domain, lang", "source")}, planned AS (
+    SELECT *, CASE WHEN leaf_tokens > 0 THEN CAST(share // leaf_tokens AS BIGINT) ELSE 0 END AS epochs FROM s_share
+), keyed AS (
+    SELECT d.*, p.epochs, p.share - p.epochs * p.leaf_tokens AS left_over,
+           md5('2:' || p.epochs || ':' || coalesce(CAST(d.doc_id AS VARCHAR), 'null') || ':' || text_key) AS key
+    FROM docs d JOIN planned p ON d.domain = p.domain AND d.lang IS NOT DISTINCT FROM p.lang AND d.source IS NOT DISTINCT FROM p.source
 ), placed AS (
-    SELECT d.*, p.epochs, p.share - p.epochs * p.leaf_tokens AS rest,
-           sum(d.tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('2:' || p.epochs || ':' || d.doc_id)) AS reached
-    FROM docs d JOIN planned p USING (domain, lang, source)
+    SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY key) AS upto,
+           sum(tokens) OVER (PARTITION BY domain, lang, source, key) AS in_place,
+           count(*) OVER (PARTITION BY domain, lang, source, key) AS n_rows
+    FROM keyed
 ), taken AS (
-    SELECT doc_id, domain, lang, source, tokens, epochs + CASE WHEN reached <= rest THEN 1 ELSE 0 END AS copies FROM placed
+    SELECT doc_id, domain, lang, source, tokens, epochs + CASE WHEN upto <= left_over THEN 1 ELSE 0 END AS copies,
+           CAST(CASE WHEN upto > left_over AND upto - in_place <= left_over THEN (left_over - upto + in_place) // n_rows ELSE 0 END AS BIGINT)
+               AS cut_tokens
+    FROM placed
 )
-SELECT * FROM taken WHERE copies > 0
+SELECT * FROM taken WHERE copies > 0 OR cut_tokens > 0
 """
 
 
 @register("op2_source_mixing", OP2_SQL)
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that a mixture of domains, languages and sources takes, and in how many epochs."""
+    """The documents that a mixture of domains, languages and sources takes: in how many epochs, and cut at which token."""
     return source_mixing.mixed(table(spark, sf_dir, "documents"))
 
 

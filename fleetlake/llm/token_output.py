@@ -187,7 +187,7 @@ def write_token_shards(
         if ids:
             yield close()
 
-    ranged = keyed_texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ranged = keyed_texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ranged.mapInArrow(shards, SHARD_SCHEMA).write.option("maxRecordsPerFile", 1).option("compression", "uncompressed").parquet(path)
     return path
 

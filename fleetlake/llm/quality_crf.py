@@ -13,7 +13,7 @@ without a shuffle; a task holds one small batch, and a line's features are sums
 Defined cases: a null or empty text is one empty line. Documents without a label are scored like all others; labels that
 are null or neither 0 nor 1 are ignored, and of several labels of one id the smallest counts. Without labels of both
 kinds in the sample every document scores 1 (nothing is known against it). Rows that repeat a ``doc_id`` each get their
-row; a null ``doc_id`` is scored and counts as not held out. Extra columns are left out.
+row, and count as one in the sample (the text whose features sort first); a null ``doc_id`` is scored and counts as not held out. Extra columns are left out.
 """
 
 from __future__ import annotations
@@ -315,7 +315,11 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Q
                         names=["doc_id", "label", "shape", "weight"])
 
     found = sample.mapInArrow(shapes, "doc_id long, label int, shape binary, weight binary")
-    by_id = {r.doc_id: r for r in found.collect()}
+    by_id: dict[int, object] = {}
+    for r in found.collect():  # of the texts of one id, whatever their order, the one with the smallest features
+        held = by_id.setdefault(r.doc_id, r)
+        if (r.shape, r.weight) < (held.shape, held.weight):
+            by_id[r.doc_id] = r
     rows, lines = [], 0
     for r in sorted(by_id.values(), key=lambda r: mix64(np.array([r.doc_id], dtype=np.int64))[0]):
         lines += len(r.weight) // 4

@@ -15,9 +15,10 @@ def shingles(text, k=5):
 def brute(docs, items, t=0.8):
     out = {}
     for i, text in items:
-        own = shingles(text)
+        n = min(5, len(re.findall(r"[^\W_]+", (text or "").lower())))
+        own = shingles(text, n) if n else set()
         for d, body in docs:
-            shared = len(own & shingles(body))
+            shared = len(own & shingles(body, n))
             if own and shared >= t * len(own) - 1e-9:
                 out[d, i] = max(out.get((d, i), 0), shared)
     return {(d, i, n) for (d, i), n in out.items()}
@@ -60,9 +61,9 @@ def test_nulls_short_texts_and_repeats(make_docs, make_items):
     docs = [(1, five), (1, five), (2, None), (3, ""), (4, "one two three four"), (None, "x " + five.upper() + " y"), (5, "\t".join(five.split()))]
     items = [(7, five), (7, five), (7, five + " six"), (8, "one two"), (9, None), (None, five)]
     rows = got(contaminated(make_docs(docs), make_items(items)))
-    assert rows == {(d, i, 1) for d in (1, None, 5) for i in (7, None)}
+    assert rows == {(d, i, 1) for d in (1, None, 5) for i in (7, None)} | {(d, 8, 1) for d in (1, None, 5, 4)}
     left = decontaminate(make_docs(docs).selectExpr("*", "doc_id AS bad_id", "lang AS item"), make_items(items))
-    assert sorted(r.doc_id for r in left.collect()) == [2, 3, 4] and left.columns[-2:] == ["bad_id", "item"]
+    assert sorted(r.doc_id for r in left.collect()) == [2, 3] and left.columns[-2:] == ["bad_id", "item"]
 
 
 def test_empty_tables(make_docs, make_items):
@@ -77,3 +78,20 @@ def test_clean_texts_of_a_contaminated_id_stay(make_docs, make_items):
     docs = [(None, "x " + five), (None, "a clean text of some words"), (None, None), (3, five), (3, "another clean text of words"), (4, five)]
     left = decontaminate(make_docs(docs), make_items([(7, five)])).collect()
     assert sorted(((r.doc_id, r.text) for r in left), key=str) == sorted([docs[1], docs[2], docs[4]], key=str)
+
+
+@pytest.mark.parametrize("rows", [200_000, 0])
+def test_items_of_one_to_four_words(make_docs, make_items, monkeypatch, rows):
+    monkeypatch.setattr(m, "BROADCAST_ROWS", rows)
+    rng = random.Random(rows + 1)
+    some = words(rng, 14)
+    phrase = lambda *sizes: " ".join(rng.choices(some, k=rng.choice(sizes)))
+    items = [(i, phrase(2, 3, 4, 4, 6)) for i in range(60)] + [(60, "capital of france paris")]
+    docs = [(d, phrase(0, 1, 3, 40, 400).replace(" ", ", ")) for d in range(60)]
+    docs += [(60, "The Capital of France: Paris."), (61, "capital of france parisian"), (62, "the capital of france"), (63, "paris")]
+    expected = brute(docs, items)
+    found = got(contaminated(make_docs(docs), make_items(items)))
+    assert found == expected and (60, 60, 1) in found and len({i for _, i, _ in found}) > 5
+    assert not {(61, 60, 1), (62, 60, 1)} & found
+    left = {r.doc_id for r in decontaminate(make_docs(docs), make_items(items)).collect()}
+    assert left == {d for d, _ in docs} - {d for d, _, _ in expected}

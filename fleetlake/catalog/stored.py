@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetlake.catalog.registry import LOOKUP_ID, RANGE_END, RANGE_START, TELEMETRY_CTE, VEHICLE, register, with_ctes
 from fleetlake.operators import query
+from fleetlake.plans.reconcile import reconcile
 from fleetlake.session import scratch_path
 from fleetlake.sinks import key_index
 from fleetlake.sinks import table as sink
@@ -113,3 +114,23 @@ def finished_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
     views = {"before": spark.read.parquet(seen), "after": read_telemetry(spark, path)}
     before, after = (df.select(F.lit(phase).alias("phase"), *TELEMETRY_COLUMNS) for phase, df in views.items())
     return before.unionByName(after)
+
+
+@register(
+    "reconciled_loads",
+    with_ctes(TELEMETRY_CTE) + """SELECT id + CASE WHEN ingest_id = 'stream' THEN (SELECT max(id) FROM telemetry) ELSE 0 END AS id,
+    vehicle_id, "timestamp", speed, odometer, soc, elevation, shift_state, ingest_id
+FROM (SELECT *, row_number() OVER (PARTITION BY vehicle_id, "timestamp" ORDER BY id, ingest_id) AS n FROM (
+    SELECT *, 'batch' AS ingest_id FROM telemetry WHERE id % 3 <> 0 UNION ALL SELECT *, 'stream' FROM telemetry WHERE id % 3 <> 1))
+WHERE n = 1""",
+)
+def reconciled_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two loads that overlap in keys and in ids, as two writers at a time leave them, brought back to one row each."""
+    path = scratch_path(spark, "two-writers")
+    rows = driver_telemetry(spark, sf_dir)
+    highest = rows.agg(F.max("id")).first()[0] or 0
+    for load, absent in (("batch", 0), ("stream", 1)):
+        sink.write_id_range(spark, path, load, 0, highest, finished=True)
+        sink.write_telemetry(rows.filter(F.col("id") % 3 != absent), path, load)
+    reconcile(spark, path)
+    return read_telemetry(spark, path, keep_partition_columns=True).select(*TELEMETRY_COLUMNS, "ingest_id")

@@ -75,6 +75,28 @@ def write_telemetry(rows: DataFrame, path: str, ingest_id: str) -> None:
     )
 
 
+def replace_folders(rows: DataFrame, path: str) -> None:
+    """Overwrite the ``observed_date=…/ingest_id=…`` folders that ``rows`` (stored rows, with these columns) name.
+    Rows are dealt by folder and vehicle, so that a big folder is written by many tasks."""
+    out = rows.select(*STORED_TELEMETRY.fieldNames())
+    (
+        out.repartitionByRange("observed_date", "ingest_id", "vehicle_id", "timestamp")
+        .sortWithinPartitions("observed_date", "ingest_id", "vehicle_id", "timestamp")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("observed_date", "ingest_id")
+        .parquet(path)
+    )
+
+
+def drop_folder(spark: SparkSession, path: str, day: str, ingest_id: str) -> None:
+    """Remove the folder of a load's day that has no rows left (an overwrite by no rows would keep it)."""
+    jvm = spark.sparkContext._jvm
+    name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(ingest_id)
+    folder = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/observed_date={day}/ingest_id={name}")
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def write_rejects(rejected: DataFrame, path: str, ingest_id: str) -> None:
     """K7: rejected rows with raw text, reasons, file and row, per load."""
     out = rejected.select(

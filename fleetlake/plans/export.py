@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fleetlake.functions.naming import export_file_name
 from fleetlake.operators.query import filter_vehicle
 from fleetlake.schema import EXPORT_FORMATS
-from fleetlake.sinks.files import export_records, read_records, write_records
+from fleetlake.sinks.files import FILE_ROWS, export_records, joined_parts, read_records, write_joined, write_records
 
 
 class VehicleNotFound(LookupError):
@@ -42,6 +42,15 @@ def export_fleet(telemetry: DataFrame, path: str, export_format: str = "csv") ->
     return export_manifest(read_records(telemetry.sparkSession, path, export_format), export_format)
 
 
+def export_downloads(telemetry: DataFrame, path: str, export_format: str = "csv", file_rows: int = FILE_ROWS) -> DataFrame:
+    """K3: the whole fleet, one downloadable file per vehicle. Returns ``vehicle_id, file_name, format, part, offset,
+    length``: a vehicle's file is its parts from offset 0 on, end to end (one part, up to ``file_rows`` rows)."""
+    write_joined(export_records(telemetry), path, export_format, file_rows)
+    return joined_parts(telemetry.sparkSession, path).select(
+        "vehicle_id", export_file_name("vehicle_id", export_format).alias("file_name"), F.lit(export_format).alias("format"),
+        "part", "offset", "length")
+
+
 def export_manifest(written: DataFrame, export_format: str) -> DataFrame:
     """``vehicle_id, file_name, format, rows`` — the download name per vehicle, and
     the rows that its files hold (``written`` is the export read back)."""

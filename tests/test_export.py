@@ -7,7 +7,7 @@ import os
 
 import pytest
 
-from fleetlake.plans.export import VehicleNotFound, export_fleet, export_manifest, export_vehicle
+from fleetlake.plans.export import VehicleNotFound, export_downloads, export_fleet, export_manifest, export_vehicle
 from fleetlake.schema import EXPORT_COLUMNS, TELEMETRY
 from fleetlake.sinks.files import read_records
 
@@ -80,3 +80,47 @@ def test_manifest_counts_what_the_files_hold(spark, table, tmp_dir):
 
 def manifest_of(spark, out):
     return export_manifest(read_records(spark, out, "json"), "json")
+
+
+def _downloads(manifest):
+    """Each vehicle's file by its manifest: parts end to end, each at the byte that the manifest names."""
+    from urllib.parse import unquote, urlparse
+
+    out, parts = {}, {}
+    for r in sorted(manifest.collect(), key=lambda r: (r.vehicle_id, r.offset)):
+        path = r.part if os.path.exists(urlparse(r.part).path) else unquote(r.part)
+        with open(urlparse(path).path, "rb") as fh:
+            data = fh.read()
+        assert len(out.get(r.vehicle_id, b"")) == r.offset and len(data) == r.length
+        out[r.vehicle_id] = out.get(r.vehicle_id, b"") + data
+        parts[r.vehicle_id] = parts.get(r.vehicle_id, 0) + 1
+    return out, parts
+
+
+@pytest.mark.parametrize("fmt", ["csv", "json"])
+def test_parts_end_to_end_are_one_valid_file(spark, tmp_dir, fmt):
+    import csv
+    import io
+
+    start = dt.datetime(2031, 1, 1, tzinfo=dt.timezone.utc)
+    sizes = {"busy": 900, 'a "b", c/ü:*': 40, "12": 1, "one\nline": 2}
+    rows = [(i, v, start + dt.timedelta(seconds=37 * i), None if i % 3 else i / 7, float(i), 5.0, 1.0, "D" if i % 2 else None)
+            for v, n in sizes.items() for i in range(n)]
+    telemetry = spark.createDataFrame(rows, TELEMETRY).repartition(5)
+    files, parts = _downloads(export_downloads(telemetry, f"{tmp_dir}/out", fmt, file_rows=100))
+    assert set(files) == set(sizes) and parts.pop("busy") > 1 and set(parts.values()) == {1}
+    for vehicle, data in files.items():
+        if fmt == "csv":
+            records = list(csv.DictReader(io.StringIO(data.decode(), newline="")))
+            assert data.decode().startswith(",".join(EXPORT_COLUMNS) + "\n")
+        else:
+            records = [json.loads(x) for x in data.decode().splitlines()]
+        assert [r["vehicle_id"] for r in records] == [vehicle] * sizes[vehicle]
+        assert [float(r["odometer"]) for r in records] == [float(i) for i in range(sizes[vehicle])]  # in time order
+        assert [r["shift_state"] or None for r in records] == ["D" if i % 2 else None for i in range(sizes[vehicle])]
+
+
+def test_downloads_of_an_empty_table_and_a_wrong_format(spark, table, tmp_dir):
+    assert export_downloads(table.limit(0), f"{tmp_dir}/out").collect() == []
+    with pytest.raises(ValueError):
+        export_downloads(table, f"{tmp_dir}/xml", "xml")

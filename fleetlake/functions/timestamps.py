@@ -7,24 +7,19 @@ from pyspark.sql import functions as F
 
 from fleetlake.functions.tokens import strip
 
-# Extended ISO 8601 accepted by the contract: a date, optionally a time after
-# ``T`` or a space (HH, HH:MM, HH:MM:SS with a ``.``/``,`` fraction of any
-# length), optionally ``Z`` or an offset ±HH, ±HHMM, ±HH:MM, ±HH:MM:SS.
 _OFFSET = r"(?:Z|[+-]\d{2}(?::?\d{2}(?::\d{2})?)?)?"
+# What Spark's cast reads as it stands: an extended date, optionally ``T`` or a
+# space, HH:MM:SS, a ``.`` fraction of any length, and ``Z`` or an offset ±HH,
+# ±HHMM, ±HH:MM, ±HH:MM:SS. Nearly all text is of this form.
+FULL_TIMESTAMP_PATTERN = rf"^\d{{4}}-\d{{2}}-\d{{2}}(?:[T ]\d{{2}}:\d{{2}}:\d{{2}}(?:\.\d+)?{_OFFSET})?$"
+# All ISO 8601 accepted by the contract, those above included: an extended or
+# basic date (20260721), optionally any one character that is not a digit and a
+# time, extended or basic, of hours alone, without seconds, or with a ``.``/``,``
+# fraction, then ``Z`` or an offset. Week dates are not accepted.
 ISO_TIMESTAMP_PATTERN = (
-    r"^\d{4}-\d{2}-\d{2}"
-    rf"(?:[T ]\d{{2}}(?::\d{{2}}(?::\d{{2}}(?:[.,]\d+)?)?)?{_OFFSET})?$"
-)
-# The other forms taken: a basic date (20260721), any one character that is not
-# a digit before the time, a basic time (103000). Week dates are not accepted.
-OTHER_TIMESTAMP_PATTERN = (
     r"^(?:\d{4}-\d{2}-\d{2}|\d{8})"
     rf"(?:\D(?:\d{{2}}(?::\d{{2}}(?::\d{{2}}(?:[.,]\d+)?)?)?|\d{{4}}(?:\d{{2}}(?:[.,]\d+)?)?){_OFFSET})?$"
 )
-# Instants of the years 1 to 9999 in UTC; what lies outside has no value in
-# Python, JSON exports or most databases.
-_FIRST_MICROS, _LAST_MICROS = -62_135_596_800_000_000, 253_402_300_799_999_999
-
 # The two patterns of the streaming path, tried in order.
 STREAM_TIMESTAMP_PATTERNS = ("yyyy-MM-dd HH:mm:ss.SSS", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")
 
@@ -38,38 +33,33 @@ _HOUR_ONLY = r"^(\d{4}-\d{2}-\d{2}[T ]\d{2})(?=[Z+-]|$)"
 _NO_SECONDS = r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2})(?=[Z+-]|$)"
 
 
-def _in_years(ts: Column) -> Column:
-    low, high = (F.timestamp_micros(F.lit(m)) for m in (_FIRST_MICROS, _LAST_MICROS))
-    return F.when(ts.between(low, high), ts)
-
-
-def _read_extended(text: Column) -> Column:
-    full = F.regexp_replace(F.regexp_replace(text, _HOUR_ONLY, "$1:00:00"), _NO_SECONDS, "$1:00")
-    return F.regexp_replace(full, ",", ".").try_cast("timestamp")
-
-
-def _as_extended(text: Column) -> Column:
-    """Text of ``OTHER_TIMESTAMP_PATTERN`` in the extended form."""
+def _as_full(text: Column) -> Column:
+    """Text of ``ISO_TIMESTAMP_PATTERN`` in the full form."""
     for pattern, form in (
         (r"^(\d{4})(\d{2})(\d{2})", "$1-$2-$3"),
         (r"^(.{10})\D", "$1T"),
         (r"^(.{11}\d{2})(\d{2})(\d{2})", "$1:$2:$3"),
         (r"^(.{11}\d{2})(\d{2})", "$1:$2"),
+        (_HOUR_ONLY, "$1:00:00"),
+        (_NO_SECONDS, "$1:00"),
     ):
         text = F.regexp_replace(text, pattern, form)
-    return text
+    return F.translate(text, ",", ".")
 
 
 def iso_to_timestamp(text: Column) -> Column:
-    """Already-stripped ISO text → timestamp (see ``ISO_TIMESTAMP_PATTERN`` and
-    ``OTHER_TIMESTAMP_PATTERN``): missing minutes/seconds are filled in, a ``,``
-    fraction becomes ``.``, then Spark's cast reads it (offsets applied, naive =
-    session zone). NULL for the year 0000 and for instants outside the years
-    1 to 9999 in UTC."""
-    read = F.when(text.rlike(ISO_TIMESTAMP_PATTERN), _read_extended(text)).when(
-        text.rlike(OTHER_TIMESTAMP_PATTERN), _read_extended(_as_extended(text))
-    )
-    return F.when(~text.startswith("0000"), _in_years(read))
+    """Already-stripped ISO text → timestamp (see ``ISO_TIMESTAMP_PATTERN``):
+    text of another form is first brought to the full one (missing minutes and
+    seconds filled in, a ``,`` fraction with ``.``), then one cast reads it
+    (offsets applied, naive = session zone). NULL for the year 0000 and for
+    instants outside the years 1 to 9999 in UTC, which have no value in Python,
+    JSON exports or most databases; an offset can lead out of them only from
+    the first and the last year, so only there is the instant looked at."""
+    full = F.when(text.rlike(FULL_TIMESTAMP_PATTERN), text).when(text.rlike(ISO_TIMESTAMP_PATTERN), _as_full(text))
+    read = full.try_cast("timestamp")
+    at_the_ends = text.startswith("0001") | text.startswith("9999")
+    inside = ~at_the_ends | (F.year(read) % 10_000 != 0)
+    return F.when(~text.startswith("0000") & inside, read)
 
 
 def parse_iso_timestamp(c: Column | str) -> Column:

@@ -7,8 +7,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlake.catalog.registry import LOOKUP_ID, RANGE_END, RANGE_START, TELEMETRY_CTE, VEHICLE, register, with_ctes
+from fleetlake.catalog.registry import (
+    LOOKUP_ID,
+    MART_CTE,
+    RANGE_END,
+    RANGE_START,
+    REFRESH_FROM,
+    STAGING_CTE,
+    TELEMETRY_CTE,
+    VEHICLE,
+    register,
+    with_ctes,
+)
 from fleetlake.operators import query
+from fleetlake.plans.build import read_mart
+from fleetlake.plans.mart_state import update_mart
 from fleetlake.plans.reconcile import reconcile
 from fleetlake.session import scratch_path
 from fleetlake.sinks import key_index
@@ -134,3 +147,20 @@ def reconciled_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
         sink.write_telemetry(rows.filter(F.col("id") % 3 != absent), path, load)
     reconcile(spark, path)
     return read_telemetry(spark, path, keep_partition_columns=True).select(*TELEMETRY_COLUMNS, "ingest_id")
+
+
+@register("mart_from_states", with_ctes(TELEMETRY_CTE, STAGING_CTE, MART_CTE) + "SELECT * FROM fct_vehicle_hourly")
+def mart_from_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2/K5: three loads that share every hour, the last of them late, and one first written without its later days and
+    then replayed; the mart merged from their states equals a build from all rows."""
+    base = scratch_path(spark, "mart-states")
+    table, states, mart = f"{base}/table", f"{base}/states", f"{base}/mart"
+    rows = driver_telemetry(spark, sf_dir)
+    loads = [rows.filter(F.col("id") % 3 == k) for k in range(3)]
+    sink.write_telemetry(loads[0].filter(F.to_date("timestamp") < F.lit(REFRESH_FROM).cast("date")), table, "load-0")
+    sink.write_telemetry(loads[1], table, "load-1")
+    update_mart(spark, table, states, mart, ["load-0", "load-1"])
+    for k in (0, 2):
+        sink.write_telemetry(loads[k], table, f"load-{k}")
+        update_mart(spark, table, states, mart, [f"load-{k}"])
+    return read_mart(spark, mart)

@@ -157,9 +157,10 @@ def refresh_mart_days(spark: SparkSession, telemetry: DataFrame, mart_path: str,
     # Days that have no rows any more: nothing was written over what they had.
     left = {r[0] for r in source.select(F.to_date("timestamp").cast("string")).distinct().collect()}
     for day in sorted({str(d) for d in days} - left):
-        _drop_day(spark, mart_path, day)
+        drop_day(spark, mart_path, day)
 
 
-def _drop_day(spark: SparkSession, mart_path: str, day: str) -> None:
+def drop_day(spark: SparkSession, mart_path: str, day: str) -> None:
+    """Remove a day's folder of the mart (an overwrite by no rows would keep it)."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{mart_path.rstrip('/')}/observed_date={day}")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -4,9 +4,11 @@ Equal vectors of a label are first joined to one row with a weight. Vectors of u
 sqrt(2 - 2 cos), a metric, so a cosine of ``threshold`` or more is a distance of ``reach`` or less. A label with more
 than ``cell_rows`` vectors gets pivots from a seeded sample; each vector's home is the cell of its nearest pivot, at
 distance ``d``. By the triangle inequality a partner with home at pivot ``p`` can only exist if ``d(x, p) <= d + 2 reach``
-and ``d(x, p) <= radius(p) + reach``; those cells get a copy of ``x`` as a visitor. Every home vector so meets all its
-partners in its own cell, and cells join independently. Cells beyond ``block_rows`` are cut into pairs of blocks: the
-home vectors of block ``i`` against all members of block ``j``.
+and ``d(x, p) <= radius(p) + reach``. The chord is a straight distance too, so ``x`` must also lie within ``reach`` of the
+plane halfway between ``p`` and its own pivot, ``(d(x, p)^2 - d^2) / 2 <= reach * distance of the two pivots``, which
+excludes more, in many dimensions above all. The cells that are left get a copy of ``x`` as a visitor. Every home vector
+so meets all its partners in its own cell, and cells join independently. Cells beyond ``block_rows`` are cut into pairs of
+blocks: the home vectors of block ``i`` against all members of block ``j``.
 
 Pivots are the only thing that reaches the driver or is sent to every task: ``MAX_PIVOT_VALUES`` numbers at most, given
 to the largest labels first; a label without pivots is one cell, joined in blocks like any other. Inside a task one pair of
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlake.llm.common import bounded_batches, components, sorted_groups, stored
@@ -39,7 +41,9 @@ BLOCK_ROWS = 4096
 MAX_PIVOT_VALUES = 1 << 21
 MAX_LABEL_PIVOTS = 512
 _SLICE = 512
-_ROUNDING = 1e-9
+#: Vectors by hash for each pivot wanted.
+_OVERSAMPLE = 4
+_ROUNDING = 1e-6
 
 
 def _unit(column: pa.Array) -> np.ndarray:
@@ -52,11 +56,13 @@ def _unit(column: pa.Array) -> np.ndarray:
 
 
 def _pivots(vectors: DataFrame, cell_rows: int) -> dict[tuple[str, int], list]:
-    """For each large (label, length): its pivots, the vectors with the smallest seeded hash of their id."""
+    """For each large (label, length): its pivots, vectors with small seeded hashes of their ids. One job for the sizes and
+    one for all pivots, whatever the number of labels; by chance a label may get fewer than wanted, or none (one cell)."""
     large = (
         vectors.groupBy("label", "dim").agg(F.count("*").alias("n")).where(F.col("n") > cell_rows)
         .orderBy(F.desc("n"), "label", "dim").limit(MAX_PIVOT_VALUES // 2).collect()
     )
+    sizes = {(r.label, r.dim): r.n for r in large}
     budget, wanted = MAX_PIVOT_VALUES, []
     for r in large:
         k = min(MAX_LABEL_PIVOTS, math.ceil(r.n / cell_rows), budget // r.dim)
@@ -64,16 +70,26 @@ def _pivots(vectors: DataFrame, cell_rows: int) -> dict[tuple[str, int], list]:
             wanted.append((r.label, r.dim, k))
             budget -= k * r.dim
     found: dict[tuple[str, int], list] = {}
-    for label, dim, k in wanted:
-        chosen = vectors.where((F.col("label") == label) & (F.col("dim") == dim)).orderBy(F.xxhash64(F.lit(17), "rep"), "rep").limit(k)
-        found[label, dim] = [r.embedding for r in chosen.select("embedding").collect()]
-    return found
+    if not wanted:
+        return found
+    shares = vectors.sparkSession.createDataFrame(
+        [(label, dim, k, _OVERSAMPLE * k / sizes[label, dim]) for label, dim, k in wanted], "label string, dim int, k int, share double")
+    order = F.xxhash64(F.lit(17), "rep")
+    # any vectors may be pivots: a share by hash is about _OVERSAMPLE times as many as are wanted, the first of it are taken
+    some = vectors.join(F.broadcast(shares), ["label", "dim"]).where(F.pmod(order, F.lit(1 << 40)) < F.col("share") * (1 << 40))
+    first = Window.partitionBy("label", "dim").orderBy(order, "rep")
+    chosen = some.withColumn("place", F.row_number().over(first)).where(
+        (F.col("place") <= MAX_LABEL_PIVOTS) & (F.col("place") <= F.col("k")))
+    for r in chosen.select("label", "dim", "place", "embedding").orderBy("label", "dim", "place").collect():
+        found.setdefault((r.label, r.dim), []).append(r.embedding)
+    return {key: pivots for key, pivots in found.items() if len(pivots) > 1}
 
 
 def _assign(vectors: DataFrame, pivots: dict[tuple[str, int], list], reach: float) -> DataFrame:
     """``(label, dim, cell, home, rep, weight, unit, far)``: the home cell of each vector, and the distances to the cells
     it may have to visit (``visits``, with their distances)."""
     unit_pivots = {k: _unit(pa.array([list(map(float, v)) for v in p])) for k, p in pivots.items()}
+    apart = {k: np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (p @ p.T))) for k, p in unit_pivots.items()}
     schema = ("label string, dim int, rep long, weight long, unit array<double>, cell int, near double, "
               "visits array<int>, distances array<double>")
 
@@ -91,10 +107,13 @@ def _assign(vectors: DataFrame, pivots: dict[tuple[str, int], list], reach: floa
                 visits: list[list[int]] = [[]] * n
                 distances: list[list[float]] = [[]] * n
                 if key in unit_pivots:
-                    d = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (unit @ unit_pivots[key].T)))
+                    cosine = unit @ unit_pivots[key].T
+                    d = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * cosine))
                     cell = d.argmin(axis=1).astype(np.int32)
                     near = d[np.arange(n), cell]
                     may = d <= near[:, None] + 2 * reach + _ROUNDING
+                    gain = cosine[np.arange(n), cell][:, None] - cosine
+                    may &= gain <= reach * apart[key][cell] + _ROUNDING
                     may[np.arange(n), cell] = False
                     visits = [np.flatnonzero(m).tolist() for m in may]
                     distances = [d[i, v].tolist() for i, v in enumerate(visits)]

@@ -2,7 +2,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
-from fleetlake.llm.embedding_join import near_duplicate_vectors
+from fleetlake.llm.embedding_join import _assign, _pivots, near_duplicate_vectors
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
@@ -49,6 +49,25 @@ def test_cells_and_blocks_against_brute_force(spark, cell_rows, block_rows):
     assert sorted(map(tuple, got), key=str) == brute(rows)
 
 
+def test_pivots_of_many_labels_and_planes_between_them(spark):
+    rows = clustered(3, 900, 48, labels=12, spread=0.25)
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(map(tuple, near_duplicate_vectors(df, cell_rows=10, block_rows=64).collect()), key=str) == brute(rows)
+    vectors = df.selectExpr("cast(label AS string) AS label", "embedding", "vec_id AS rep", "1L AS weight", "size(embedding) AS dim")
+    pivots = _pivots(vectors, 10)
+    sizes = {str(k): sum(r[2] == k for r in rows) for k in range(12)}
+    assert set(pivots) == {(label, 48) for label in sizes}
+    assert all(2 <= len(p) <= -(-sizes[label] // 10) for (label, _), p in pivots.items())
+    assert pivots == _pivots(vectors.repartition(7), 10)
+    reach, by_triangle = np.sqrt(0.14), 0
+    unit = lambda v: np.array(v, float) / np.linalg.norm(np.array(v, float), axis=1, keepdims=True)
+    for (label, _), p in pivots.items():
+        d = np.sqrt(np.maximum(0, 2 - 2 * unit([r[1] for r in rows if str(r[2]) == label]) @ unit(p).T))
+        by_triangle += int((d <= d.min(axis=1, keepdims=True) + 2 * reach).sum()) - len(d)
+    visits = _assign(vectors, pivots, reach).selectExpr("sum(size(visits)) AS n").first().n
+    assert 0 < visits < by_triangle
+
+
 def test_unusable_vectors_nulls_and_repeated_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0], 0), (2, [1.0, 0.01], 0), (2, [1.0, 0.01], 0), (3, [1.0, 0.0], None), (4, None, 0), (5, [0.0, 0.0], 0),

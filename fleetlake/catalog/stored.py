@@ -35,6 +35,9 @@ REQUEST = query.PageRequest(
     VEHICLE, start=RANGE_START, end=RANGE_END, page=2, page_size=50, sort_by="speed", sort_order="asc"
 )
 
+DEEP_REQUEST = query.PageRequest(VEHICLE, page=12, page_size=40, sort_by="speed", sort_order="desc")
+DEEP_ROWS = 100
+
 
 def stored_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The driver's telemetry written as two loads, and read back with its partition columns."""
@@ -164,3 +167,13 @@ def mart_from_states(spark: SparkSession, sf_dir: str) -> DataFrame:
         sink.write_telemetry(loads[k], table, f"load-{k}")
         update_mart(spark, table, states, mart, [f"load-{k}"])
     return read_mart(spark, mart)
+
+
+@register(
+    "stored_page_deep",
+    with_ctes(TELEMETRY_CTE) + f"""SELECT * FROM telemetry WHERE {_VEHICLE}
+ORDER BY speed DESC NULLS FIRST, id LIMIT {DEEP_REQUEST.page_size} OFFSET {DEEP_REQUEST.offset}""",
+)
+def stored_page_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O2: a page behind the first ``DEEP_ROWS`` rows of a vehicle; only the range of speeds that holds it is sorted."""
+    return query.page_deep(stored_telemetry(spark, sf_dir), DEEP_REQUEST, most_rows=DEEP_ROWS).select(*TELEMETRY_COLUMNS)

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import date, datetime, timezone
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -145,7 +146,7 @@ def filtered(df: DataFrame, req: PageRequest, date_col: str | None = None) -> Da
 def page_items(df: DataFrame, req: PageRequest, date_col: str | None = None, with_position: bool = False) -> DataFrame:
     """O2: one page. Planned as ``TakeOrderedAndProject(limit=offset+size,
     offset=offset)``: each task keeps only offset+size rows, so no full sort.
-    Deep pages cost more (see the keyset form ``page_after``)."""
+    Deep pages cost more (see ``page_deep``, and the keyset form ``page_after``)."""
     keys = sort_columns(req.sort_by, req.sort_order)
     items = filtered(df, req, date_col).orderBy(*keys).offset(req.offset).limit(req.page_size)
     if with_position:
@@ -220,3 +221,113 @@ def chart_series(df: DataFrame, fields: tuple[str, ...] = ("speed", "odometer",
         df.unpivot(["id", "vehicle_id", "timestamp"], list(fields), "field", "value")
         .filter(F.col("value").isNotNull())
     )
+
+
+# Ranges that a round of page_deep cuts a sort key into, and rows that it leaves to be sorted.
+DEEP_RANGES = 64
+DEEP_ROWS = 100_000
+
+
+def _bounds(rows: DataFrame, column: str) -> list:
+    """At most ``DEEP_RANGES`` sorted values of a column, its largest among them (of text: of its first values)."""
+    if dict(rows.dtypes)[column] == "string":
+        first = rows.select(column).filter(F.col(column).isNotNull()).distinct().orderBy(column).limit(DEEP_RANGES)
+        return [r[0] for r in first.collect()]
+    key = _number_of(rows, column)
+    cuts = [i / DEEP_RANGES for i in range(1, DEEP_RANGES)]
+    found = rows.agg(F.percentile_approx(key, cuts, 10_000).alias("cuts"), F.max(key).alias("last")).first()
+    inner = sorted({b for b in found["cuts"] or () if b == b and b != found["last"]})
+    return inner if found["last"] is None else [*inner, found["last"]]  # NaN, the largest of all, comes last
+
+
+def _number_of(rows: DataFrame, column: str) -> Column:
+    # Micros, not datetimes: these would pass through the driver's local zone.
+    return F.unix_micros(column) if dict(rows.dtypes)[column].startswith("timestamp") else F.col(column)
+
+
+def _range_of(key: Column, bounds: list) -> Column:
+    """How many of the sorted ``bounds`` are not above ``key``, found by halves."""
+    if not bounds:
+        return F.lit(0)
+    middle = len(bounds) // 2
+    above = F.lit(middle + 1) + _range_of(key, bounds[middle + 1:])
+    return F.when(key >= F.lit(bounds[middle]), above).otherwise(_range_of(key, bounds[:middle]))
+
+
+def _in_ranges(rows: DataFrame, column: str, bounds: list, places: list[int | None]) -> Column:
+    """Neighbouring ranges as a filter on the column itself, which a scan can use; ``None`` is that of the NULLs."""
+    c, numbers = F.col(column), [p for p in places if p is not None]
+    of_time = dict(rows.dtypes)[column].startswith("timestamp")
+
+    def below(bound) -> Column:
+        if bound != bound:
+            return ~F.isnan(c)
+        return c < (F.timestamp_micros(F.lit(bound)) if of_time else F.lit(bound))
+
+    wanted = c.isNull() if None in places else F.lit(False)
+    if numbers:
+        inside = c.isNotNull()
+        if min(numbers) > 0:
+            inside = inside & ~below(bounds[min(numbers) - 1])
+        if max(numbers) < len(bounds):
+            inside = inside & below(bounds[max(numbers)])
+        wanted = wanted | inside
+    return wanted
+
+
+def _deep_parts(
+    rows: DataFrame, columns: tuple[str, ...], descending: bool, offset: int, size: int, most_rows: int
+) -> list[tuple[DataFrame, int, int]]:
+    """``(rows, offset, size)``: together the places ``offset`` to ``offset + size`` of ``rows`` by ``columns``, the first
+    of them descending or not, the others ascending; each with ``most_rows`` rows or fewer, or rows equal in all columns."""
+    column = columns[0]
+    bounds = _bounds(rows, column)
+    key = _number_of(rows, column)
+    counted = rows.groupBy(F.when(key.isNotNull(), _range_of(key, bounds)).alias("place")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(key).eqNullSafe(F.max(key)).alias("one")).collect()
+    # NULLs come after all ranges, and so first when these are read backwards.
+    ranges = sorted(counted, key=lambda r: len(bounds) + 1 if r["place"] is None else r["place"], reverse=descending)
+    held, passed = [], 0  # the ranges that hold places of the page, with the rows ahead of them
+    for r in ranges:
+        if offset < passed + r["n"] and passed < offset + size:
+            held.append((r, passed))
+        passed += r["n"]
+    if not held:
+        return []
+    if sum(r["n"] for r, _ in held) <= most_rows:
+        return [(rows.filter(_in_ranges(rows, column, bounds, [r["place"] for r, _ in held])), offset - held[0][1], size)]
+    parts = []
+    for r, ahead in held:
+        own = rows.filter(_in_ranges(rows, column, bounds, [r["place"]]))
+        start = max(0, offset - ahead)
+        take = min(offset + size, ahead + r["n"]) - ahead - start
+        if r["n"] <= most_rows or (r["one"] and len(columns) == 1):
+            parts.append((own, start, take))
+        elif r["one"]:
+            parts += _deep_parts(own, columns[1:], False, start, take, most_rows)
+        else:
+            parts += _deep_parts(own, columns, descending, start, take, most_rows)
+    return parts
+
+
+def page_deep(df: DataFrame, req: PageRequest, date_col: str | None = None, most_rows: int = DEEP_ROWS) -> DataFrame:
+    """O2 for pages far behind: the rows of ``page_items``, with few rows sorted.
+
+    Quantiles cut the sort key into ranges, counts per range tell which one holds
+    the page, and the next round looks at that one alone, until ``most_rows`` are
+    left to be sorted; rows of one value (ties, NULLs) are cut by ``id``. A page
+    over the edge of two ranges takes a part of each. A round is two aggregations
+    with partial sums in the map tasks; ``DEEP_RANGES`` bounds and counts reach
+    the driver, and the range is a filter that the scan can use. Rows that agree
+    in key and id too are sorted together. Pages near the front are ``page_items``."""
+    if req.offset + req.page_size <= most_rows:
+        return page_items(df, req, date_col)
+    keys, rows = sort_columns(req.sort_by, req.sort_order), filtered(df, req, date_col)
+    columns = tuple(dict.fromkeys((req.sort_by, "id")))
+    parts = [
+        part.orderBy(*keys).offset(start).limit(take)
+        for part, start, take in _deep_parts(rows, columns, req.sort_order == "desc", req.offset, req.page_size, most_rows)
+    ]
+    if not parts:
+        return rows.limit(0)
+    return reduce(DataFrame.unionByName, parts).orderBy(*keys)

@@ -115,3 +115,36 @@ def test_chart_series_drops_nulls(spark, rows):
     counts = {r["field"]: r["count"] for r in series.groupBy("field").count().collect()}
     assert counts == {"speed": 3, "odometer": 5, "soc": 5, "elevation": 5}
     assert series.filter(F.col("value").isNull()).count() == 0
+
+
+@pytest.fixture(scope="module")
+def many(spark):
+    """Ties of a third, NULLs, NaN, infinities and signed zeros in ``speed``; few letters in ``shift_state``."""
+    i = F.col("id")
+    speed = (
+        F.when(i % 3 == 0, 7.0).when(i % 7 == 1, F.lit(None)).when(i % 11 == 2, float("nan")).when(i % 13 == 3, float("inf"))
+        .when(i % 17 == 4, -0.0).when(i % 19 == 5, 0.0).otherwise((i * 37 % 101).cast("double"))
+    )
+    return spark.range(1, 1201).repartition(3, "id").select(
+        "id", F.lit("v").alias("vehicle_id"), F.timestamp_micros(i % 400 * 1_000_003 - 9_000_000).alias("timestamp"), speed.alias("speed"),
+        i.cast("double").alias("odometer"), F.lit(50.0).alias("soc"), (i * 7919 % 1201).cast("double").alias("elevation"),
+        F.when(i % 5 > 0, F.substring(F.lit("DPRNé"), (i % 5).cast("int") + 1, F.lit(1))).alias("shift_state")).persist()
+
+
+@pytest.mark.parametrize("order", ["asc", "desc"])
+@pytest.mark.parametrize("field", query.SORT_FIELDS)
+def test_deep_pages_are_the_pages(spark, many, field, order):
+    for page, size in ((1, 50), (9, 50), (3, 400), (25, 50)):
+        req = query.PageRequest("v", page=page, page_size=size, sort_by=field, sort_order=order)
+        want = [r["id"] for r in query.page_items(many, req).collect()]
+        assert [r["id"] for r in query.page_deep(many, req, most_rows=40).collect()] == want, (field, order, page)
+
+
+def test_deep_page_sorts_few_rows(spark, many):
+    req = query.PageRequest("v", page=14, page_size=20, sort_by="speed")
+    parts = query._deep_parts(query.filtered(many, req), ("speed", "id"), False, req.offset, 20, 60)
+    assert sum(size for _, _, size in parts) == 20 and all(rows.count() <= 60 for rows, _, _ in parts)
+    same = many.withColumn("id", F.lit(4).cast("long"))  # nothing to tell them apart
+    assert query.page_deep(same, query.PageRequest("v", page=10, page_size=50, sort_by="soc"), most_rows=40).count() == 50
+    none = query.page_deep(many.limit(0), query.PageRequest("v", page=9), most_rows=40)
+    assert none.collect() == [] and none.columns == many.columns

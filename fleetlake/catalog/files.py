@@ -78,15 +78,19 @@ def write_csv_tree(spark: SparkSession, sf_dir: str, breaks: bool = False) -> st
     raw = raw_records(driver_table(spark, sf_dir, "events")).withColumn(EXTRA_COLUMN, F.lit("x"))
     raw = _with_breaks(raw) if breaks else raw
     vnum = F.substring("vehicle_id", 5, 4).cast("int")
+    # Each cell is written once, whatever the layout, by one function over the row's cells; five layouts of all cells
+    # in one projection were a method too large for the JIT.
+    names = (*REQUIRED_COLUMNS, EXTRA_COLUMN)
+    written = raw.select("file_date", "vehicle_id", "id", F.transform(F.array(*[F.col(c) for c in names]), csv_cell).alias("_cells"))
     line, header = None, None
     for vehicles, columns in LAYOUTS:
         in_layout = vnum.isin(list(vehicles))
-        text = F.concat_ws(",", *[csv_cell(F.col(c)) for c in columns])
+        text = F.concat_ws(",", *[F.col("_cells")[names.index(c)] for c in columns])
         line = F.when(in_layout, text) if line is None else line.when(in_layout, text)
         header = F.when(in_layout, F.lit(",".join(columns))) if header is None else header.when(
             in_layout, F.lit(",".join(columns))
         )
-    rows = raw.select("file_date", "vehicle_id", F.col("id").alias("_order"), line.alias("value"))
+    rows = written.select("file_date", "vehicle_id", F.col("id").alias("_order"), line.alias("value"))
     headers = (
         raw.select("file_date", "vehicle_id").distinct()
         .select("file_date", "vehicle_id", F.lit(-1).cast("long").alias("_order"), header.alias("value"))
@@ -121,7 +125,8 @@ def write_csv_tree(spark: SparkSession, sf_dir: str, breaks: bool = False) -> st
 
 
 def _relative(col: str = "source_file") -> F.Column:
-    return F.regexp_extract(F.col(col), r"([^/]+/[^/]+)$", 1)
+    """``<date>/<vehicle>.csv`` of a file's path."""
+    return F.substring_index(F.col(col), "/", -2)
 
 
 # Expected rows per file: layout, file name, row number (header is row 1).

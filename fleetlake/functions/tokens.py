@@ -49,7 +49,7 @@ def parse_number(text: Column) -> Column:
     ``try_cast`` alone would also take ``1d``, ``1.0f`` and ``0x1p3``, and it
     rejects ``-nan``; special values are therefore mapped explicitly."""
     return (
-        F.when(text.rlike(NUMBER_PATTERN), F.regexp_replace(text, "_", "").try_cast("double"))
+        F.when(text.rlike(NUMBER_PATTERN), F.replace(text, F.lit("_"), F.lit("")).try_cast("double"))
         .when(text.rlike(r"(?i)^[+-]?nan$"), F.lit(float("nan")))
         .when(text.rlike(r"(?i)^-inf(inity)?$"), F.lit(float("-inf")))
         .when(text.rlike(r"(?i)^\+?inf(inity)?$"), F.lit(float("inf")))

@@ -180,101 +180,96 @@ def parse_lines(
     but no executor memory at any input size, and survives a lost executor.
     """
     cached: list[DataFrame] = []
-    if cache:
-        lines = lines.persist(StorageLevel.MEMORY_AND_DISK)
-        cached.append(lines)
-    else:
-        spark, path = lines.sparkSession, scratch_path(lines.sparkSession, "lines")
-        lines.write.parquet(path)
-        lines = spark.read.schema(lines.schema).parquet(path)
+    spark = lines.sparkSession
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        if cache:
+            cached.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+            return df
+        path = scratch_path(spark, label)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    lines = keep(lines, "lines")
     splits = split_table(lines).persist(StorageLevel.MEMORY_AND_DISK)
     cached.append(splits)
     stats = splits.agg(
         F.max(F.size(F.split("header_line", ",", -1))).alias("width"),
         F.sum(F.length("file_path") + F.length("header_line") + F.lit(48)).alias("bytes"),
         F.max("breaks").alias("breaks"),
+        F.min("breaks").alias("all_break"),
     ).first()
     width = int(stats["width"] or len(REQUIRED_COLUMNS))
     width = max(width, len(REQUIRED_COLUMNS))
     est_bytes = int(stats["bytes"] or 0)
     joined_records: DataFrame | None = None
     if stats["breaks"]:
-        joined_records, broken_files = quoted.assemble(lines, splits.where("breaks"))
+        few = est_bytes <= broadcast_bytes
+        plain = splits.where(~F.col("breaks")).select("file_path", "block_start")
+        broken = None if stats["all_break"] else splits.where("breaks")
+        joined_records, broken_files = quoted.assemble(
+            lines, broken if broken is None or not few else F.broadcast(broken), keep=keep, broadcast=few)
+        # Lines of files with such records are not parsed a second time as they stand.
+        lines = None if broken is None else lines.join(F.broadcast(plain) if few else plain, ["file_path", "block_start"], "left_semi")
+        broken_files = broken_files.persist(StorageLevel.MEMORY_AND_DISK)
+        cached.append(broken_files)
         widest = broken_files.agg(F.max(F.size(F.split("header_line", ",", -1)))).first()[0]
         width = max(width, int(widest or 0))
         # What the split table says of these files counts lines; now it counts records.
-        splits = splits.drop("breaks").join(
-            F.broadcast(broken_files.select("file_path", F.col("header_line").alias("_header"), "n_records"))
-            if est_bytes <= broadcast_bytes else broken_files.select("file_path", F.col("header_line").alias("_header"), "n_records"),
-            "file_path", "left",
-        ).select(
+        counted = broken_files.select("file_path", F.col("header_line").alias("_header"), "n_records")
+        splits = splits.drop("breaks").join(F.broadcast(counted) if few else counted, "file_path", "left").select(
             "file_path", "block_start", "first_line_id", "line_offset",
             F.coalesce("_header", "header_line").alias("header_line"), F.coalesce("n_records", "file_lines").alias("file_lines"),
-            F.col("n_records").isNotNull().alias("breaks"),
         )
 
     header = _cells(F.col("header_line"), width)
     header = F.slice(header, 1, F.size(F.split("header_line", ",", -1)))
-    split_info = splits.select(
+    # Listed in sorted order, so array_except returns the missing names sorted
+    # without an extra array_sort.
+    required = F.array(*[F.lit(c) for c in sorted(REQUIRED_COLUMNS)])
+    # What follows from a file's name or header is found once per split, not per line.
+    split_info = splits.select("file_path", "block_start", "first_line_id", "line_offset", header.alias("header")).select(
         "file_path",
         "block_start",
         "first_line_id",
         "line_offset",
-        header.alias("header"),
-        "breaks",
+        F.array(*[_position(F.col("header"), name) - F.lit(1) for name in REQUIRED_COLUMNS]).alias("places"),
+        F.array_except(required, F.col("header")).alias("missing_columns"),
     )
     if isinstance(vehicle_id, DataFrame):
-        # One look-up per split, not per line.
         split_info = split_info.withColumn("path_key", path_key(F.col("file_path"))).join(
-            vehicle_id.select("path_key", F.col("vehicle_id").alias("given_id")), "path_key", "left"
+            vehicle_id.select("path_key", "vehicle_id"), "path_key", "left"
         ).drop("path_key")
         est_bytes += vehicle_id.count() * GIVEN_ID_BYTES
+    else:
+        split_info = split_info.withColumn(
+            "vehicle_id", vehicle_id_from_path(F.col("file_path")) if vehicle_id is None else F.lit(vehicle_id)
+        )
     join_side = F.broadcast(split_info) if est_bytes <= broadcast_bytes else split_info
     # Parse each line once, before the join: the join keeps Catalyst from
     # inlining the parser into every later use of a cell.
     def parsed(texts: DataFrame, *columns: str) -> DataFrame:
         return texts.withColumn("_csv", _csv_struct(F.col("value"), width)).select(
             "file_path", "block_start", "line_id", *columns, F.array(*[F.col(f"_csv.c{i}") for i in range(width)]).alias("cells")
-        )
+        ).join(join_side, ["file_path", "block_start"], "inner")
 
-    checked = lines.select("*", (~F.is_valid_utf8("value")).alias("bad_encoding"))
-    joined = parsed(checked, "bad_encoding").join(join_side, ["file_path", "block_start"], "inner")
     row_number = F.col("line_id") - F.col("first_line_id") + F.col("line_offset") + F.lit(1)
+    joined = None
+    if lines is not None:
+        checked = lines.select("*", (~F.is_valid_utf8("value")).alias("bad_encoding"))
+        joined = parsed(checked, "bad_encoding").withColumn("row", row_number)
     if joined_records is not None:
-        joined = joined.where(~F.col("breaks")).withColumns({"row": row_number, "too_long": F.lit(False)}).unionByName(
-            parsed(joined_records, "bad_encoding", "too_long", "row").join(join_side, ["file_path", "block_start"], "inner"))
-        row_number = F.col("row")
-    with_rn = joined.select(
-        "file_path",
-        "cells",
-        "header",
-        "bad_encoding",
-        *(["too_long"] if joined_records is not None else []),
-        *(["given_id"] if isinstance(vehicle_id, DataFrame) else []),
-        row_number.alias("row_number"),
-        # Total order of lines inside a file without extra work: split start, then line id.
-        F.struct("block_start", "line_id").alias("order_key"),
-    ).filter(F.col("row_number") > F.lit(1))
-
-    # Listed in sorted order, so array_except returns the missing names sorted
-    # without an extra array_sort.
-    required = F.array(*[F.lit(c) for c in sorted(REQUIRED_COLUMNS)])
-    bound = [
-        F.get(F.col("cells"), _position(F.col("header"), name) - F.lit(1)).alias(name)
-        for name in REQUIRED_COLUMNS
-    ]
-    if vehicle_id is None:
-        vid = vehicle_id_from_path(F.col("file_path"))
-    elif isinstance(vehicle_id, str):
-        vid = F.lit(vehicle_id)
-    else:
-        vid = F.col("given_id")
+        several = parsed(joined_records, "bad_encoding", "too_long", "row")
+        joined = several if joined is None else joined.withColumn("too_long", F.lit(False)).unionByName(several)
+    with_rn = joined.filter(F.col("row") > F.lit(1))
+    bound = [F.get(F.col("cells"), F.get(F.col("places"), F.lit(i))).alias(name) for i, name in enumerate(REQUIRED_COLUMNS)]
     records = with_rn.select(
         F.col("file_path").alias("source_file"),
-        "row_number",
-        "order_key",
-        vid.alias("vehicle_id"),
-        F.array_except(required, F.col("header")).alias("missing_columns"),
+        F.col("row").alias("row_number"),
+        # Total order of lines inside a file without extra work: split start, then line id.
+        F.struct("block_start", "line_id").alias("order_key"),
+        "vehicle_id",
+        "missing_columns",
         "bad_encoding",
         *(["too_long"] if joined_records is not None else []),
         *bound,

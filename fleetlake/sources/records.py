@@ -11,7 +11,9 @@ two running values of a window over one split (file and block), which is bounded
 3. joined back, every line knows the number of its record. Lines that are a record by themselves are passed on; the lines
    of the others are gathered by file and record number, and joined with the line break between them.
 
-Only files that have such a record come here, and only the lines of records with breaks are gathered. A record of more than
+Only files that have such a record come here, and only the lines of records with breaks are gathered. The lines with the
+values of step 1 are held (written to the scratch folder, or persisted for a micro-batch): step 2 and all readers of step 3
+start from there, so that no reader runs the windows again. A record of more than
 ``RECORD_BYTES`` (a quote that is never closed takes in the rest of its file) is not gathered: it becomes one row marked
 ``too_long``, which is rejected. A quoted cell follows the rules of Python's reader: a quote opens a cell only as its first
 character, two quotes inside are one, and what stands between the closing quote and the next comma belongs to the cell.
@@ -20,6 +22,8 @@ Blank lines are no records, and inside a cell they are left out of its text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -76,7 +80,7 @@ def line_states(lines: DataFrame) -> DataFrame:
 
 
 def split_states(states: DataFrame) -> DataFrame:
-    """Step 2: ``starts_in`` and ``records_before`` of every split."""
+    """Step 2: ``starts_in``, ``records`` and ``records_before`` of every split."""
     def after(s: int) -> Column:
         return F.when(F.col(f"in_{s}"), F.col("_in")).otherwise(F.col("_out"))
 
@@ -89,27 +93,50 @@ def split_states(states: DataFrame) -> DataFrame:
     records = F.when(F.col("starts_in"), F.col("n_1")).otherwise(F.col("n_0"))
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     return placed.select(
-        "file_path", "block_start", "starts_in", F.coalesce(F.sum(records).over(before), F.lit(0)).alias("records_before"))
+        "file_path", "block_start", "starts_in", records.alias("records"),
+        F.coalesce(F.sum(records).over(before), F.lit(0)).alias("records_before"))
+
+
+def _by_itself(df: DataFrame, label: str) -> DataFrame:
+    return df
 
 
-def assemble(lines: DataFrame, broken: DataFrame, record_bytes: int = RECORD_BYTES) -> tuple[DataFrame, DataFrame]:
-    """``(records, files)`` of the files that have a row in ``broken`` (``file_path, block_start``, one row a split).
+def assemble(
+    lines: DataFrame,
+    broken: DataFrame | None,
+    record_bytes: int = RECORD_BYTES,
+    keep: Callable[[DataFrame, str], DataFrame] = _by_itself,
+    broadcast: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """``(records, files)`` of the files that have a row in ``broken`` (``file_path, block_start``, one row a split; None: all).
 
     ``records``: ``file_path, block_start, line_id`` (place of its first line), ``row`` (the header is row 1), ``value``,
-    ``bad_encoding``, ``too_long``. ``files``: ``file_path, n_records, header_line``."""
-    own = lines.join(broken.select("file_path", "block_start"), ["file_path", "block_start"], "left_semi")
-    states = line_states(own)
-    known = states.join(split_states(states), ["file_path", "block_start"])
+    ``bad_encoding``, ``too_long``. ``files``: ``file_path, n_records, header_line``. ``keep(df, label)`` holds what several
+    steps read, so that the windows run once; ``broadcast``: the rows of the splits are few enough to be sent to all tasks."""
+    own = lines if broken is None else lines.join(broken.select("file_path", "block_start"), ["file_path", "block_start"], "left_semi")
+    marked = own.withColumns({"bad_encoding": ~F.is_valid_utf8("value"), "bytes": F.octet_length("value")})
+    states = keep(line_states(marked), "line-states")
+    starts = keep(split_states(states), "split-states")
+    known = states.join(F.broadcast(starts) if broadcast else starts, ["file_path", "block_start"])
     begun = F.when(F.col("starts_in"), F.col("begun_1")).otherwise(F.col("begun_0"))
     placed = known.select(
-        "file_path", "block_start", "line_id", "value", (F.col("records_before") + begun).alias("row"),
-        F.when(F.col("starts_in"), F.col("in_1")).otherwise(F.col("in_0")).alias("_inside"), "_out",
-        (~F.is_valid_utf8("value")).alias("bad_encoding"))
+        "file_path", "block_start", "line_id", "value", "bytes", (F.col("records_before") + begun).alias("row"),
+        F.when(F.col("starts_in"), F.col("in_1")).otherwise(F.col("in_0")).alias("_inside"), "_out", "bad_encoding")
+    records = _gathered(placed, record_bytes)
+    # Of the text only the first record of a file is asked for; the splits know how many there are.
+    headers = _gathered(placed.where(F.col("row") == 1), record_bytes).select(
+        "file_path", F.regexp_replace("value", "^\ufeff", "").alias("header_line"))
+    counts = starts.groupBy("file_path").agg(F.max(F.col("records_before") + F.col("records")).alias("n_records"))
+    return records, counts.join(headers, "file_path", "left").select("file_path", "n_records", "header_line")
+
+
+def _gathered(placed: DataFrame, record_bytes: int) -> DataFrame:
+    """Step 3: one row a record. Lines that are one by themselves are only passed on."""
     # A line inside a cell before any record cannot be: a file starts outside.
     alone = placed.where(~F.col("_inside") & ~F.col("_out")).select(
         "file_path", "block_start", "line_id", "row", "value", "bad_encoding", F.lit(False).alias("too_long"))
     parts = placed.where(F.col("_inside") | F.col("_out"))
-    sizes = parts.groupBy("file_path", "row").agg(F.sum(F.octet_length("value") + F.lit(1)).alias("size"))
+    sizes = parts.groupBy("file_path", "row").agg(F.sum(F.col("bytes") + F.lit(1)).alias("size"))
     too_long = sizes.where(F.col("size") > F.lit(record_bytes)).select("file_path", "row", F.lit(True).alias("too_long"))
     gathered = (
         parts.join(too_long, ["file_path", "row"], "left").where(F.col("too_long").isNull() | ~F.col("_inside"))
@@ -121,7 +148,4 @@ def assemble(lines: DataFrame, broken: DataFrame, record_bytes: int = RECORD_BYT
     several = gathered.select(
         "file_path", F.col("parts")[0]["block_start"].alias("block_start"), F.col("parts")[0]["line_id"].alias("line_id"), "row",
         F.when(~F.col("too_long"), text).otherwise("").alias("value"), "bad_encoding", "too_long")
-    records = alone.unionByName(several)
-    files = records.groupBy("file_path").agg(
-        F.max("row").alias("n_records"), F.max(F.when(F.col("row") == 1, F.regexp_replace("value", "^\ufeff", ""))).alias("header_line"))
-    return records, files
+    return alone.unionByName(several)

@@ -12,7 +12,8 @@ from fleetlake.operators.validate import validate
 from fleetlake.plans.ingest import load_directory
 from fleetlake.sinks.table import read_audit, read_rejects, read_table
 from fleetlake.sources import records
-from fleetlake.sources.csv_files import header_contract, read_csv_directory
+from fleetlake.sources.csv_files import csv_source, header_contract, read_csv_directory
+from fleetlake.sources.lines import list_files, parse_lines, scan_lines
 from fleetlake.streaming.ingest_stream import run_available_now
 
 HEADER = ["timestamp", "speed", "odometer", "soc", "elevation", "shift_state", "note"]
@@ -154,3 +155,47 @@ def test_files_without_breaks_do_not_pay(spark, tmp_dir):
     parsed = read_csv_directory(spark, tmp_dir)
     assert "too_long" not in parsed.records.columns
     assert parsed.records.count() == 1
+
+
+def test_readers_of_records_do_not_run_the_windows_again(spark, tmp_dir, small_splits):
+    pick = random.Random(4)
+    write_files(tmp_dir, {f"car-{k}.csv": written(random_rows(pick, 40)) for k in range(2)})
+    parsed = read_csv_directory(spark, tmp_dir)
+    plan = parsed.records._jdf.queryExecution().optimizedPlan()
+    leaves = [plan.collectLeaves().apply(i).toString() for i in range(plan.collectLeaves().size())]
+    # Lines by themselves, parts and their sizes, each with the row of its split; then the split table.
+    assert len(leaves) <= 12, len(leaves)
+    assert parsed.records.count() == 80
+
+
+def test_files_with_and_without_breaks_together(spark, tmp_dir, small_splits):
+    """By broadcast and by shuffle, held in the scratch folder and cached: the same records."""
+    pick = random.Random(5)
+    texts = {f"car-{k}.csv": written(random_rows(pick, 30)) for k in range(2)}
+    texts["plain.csv"] = written([[f"2031-02-03T04:00:{i:02d}Z", str(i), "2", "3", "4", "D", "a, b"] for i in range(30)])
+    write_files(tmp_dir, texts)
+    source = csv_source(spark, tmp_dir)
+    for options in ({}, {"broadcast_bytes": 0}, {"cache": True}):
+        parsed = parse_lines(scan_lines(spark, source), listing=list_files(source), **options)
+        rows = parsed.records.collect()
+        for name, text in texts.items():
+            got = {r["row_number"]: cells(r) for r in rows if r["vehicle_id"] == name[:-4]}
+            assert stripped(got) == stripped(read_by_python(text)), (name, options)
+            assert not any(r["missing_columns"] for r in rows)
+        assert sum(r["data_rows"] for r in parsed.files.collect()) == 90
+        parsed.release()
+
+
+def test_parser_and_validation_are_compiled_in_methods_the_jit_takes(spark, tmp_dir):
+    """A generated method of over 8000 bytes is only interpreted, several times slower."""
+    import re
+
+    write_files(tmp_dir, {"car.csv": written([["2031-02-03T04:00:00Z", "1", "2", "3", "4", "D", "x\ny"]]), "plain.csv": written([["2031-02-03T04:00:00Z", "1", "2", "3", "4", "D", "x"]])})
+    checked = validate(read_csv_directory(spark, tmp_dir).records)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString(checked.select("*")._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text)]
+    assert sizes and max(sizes) < 8000, sizes

@@ -56,8 +56,8 @@ def apply_mode(validated: DataFrame, mode: str) -> DataFrame:
         raise ValueError(f"mode must be one of {MODES}")
     if mode == "permissive":
         return validated
-    bad_files = validated.filter(~v.is_valid()).select("source_file").distinct().withColumn("_bad", F.lit(True))
-    flagged = validated.join(bad_files, "source_file", "left")
+    rows, bad_files = v.held_with_bad_files(validated)
+    flagged = rows.join(bad_files.withColumn("_bad", F.lit(True)), "source_file", "left")
     reasons = F.when(
         F.col("_bad") & (F.size("reject_reasons") == F.lit(0)), F.array(F.lit("file_rejected"))
     ).otherwise(F.col("reject_reasons"))

@@ -4,8 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from filetree import write_files
-from fleetlake.plans.ingest import import_file, load_directory
+from fleetlake.operators import validate
+from fleetlake.plans.ingest import apply_mode, import_file, load_directory
 from fleetlake.sinks.table import read_audit, read_rejects, read_table
+from fleetlake.sources.csv_files import read_csv_directory
 
 HEADER = "timestamp,speed,odometer,soc,elevation,shift_state"
 
@@ -219,3 +221,25 @@ def test_refresh_removes_days_without_rows(spark, tmp_dir):
     gone = rows.filter("observed_date <> DATE'2031-02-03'")
     refresh_mart_days(spark, gone, f"{tmp_dir}/mart", ["2031-02-03", "2031-02-04"])
     assert [r["observed_hour"].day for r in read_mart(spark, f"{tmp_dir}/mart").collect()] == [4]
+
+
+def test_whole_file_rule_validates_once_and_keeps_its_rows(spark, tmp_dir):
+    """Both joins; values at the ends of the calendar pass through the held rows."""
+    head = HEADER + "\n"
+    good = ["0001-01-02T00:00:00.000001Z", "1500-03-01T00:00:00Z", "1899-12-31T23:59:59.999999Z", "9999-12-31T23:59:59Z"]
+    files = {"ok.csv": head + "".join(f"{t},NULL,1e3,50,-0.0,d\n" for t in good), "empty.csv": head}
+    files["bad.csv"] = head + f"{good[1]},1,2,3,4,D\n" + "x,1,2,3,4,D\n" + f"{good[0]},1,2,3,4,D\n"
+    write_files(tmp_dir, files)
+    checked = validate.validate(read_csv_directory(spark, tmp_dir).records)
+    whole = apply_mode(checked, "strict")
+    assert "from_csv" not in whole._jdf.queryExecution().optimizedPlan().toString()
+    found = {(r["vehicle_id"], r["row_number"]): r["reject_reasons"] for r in whole.collect()}
+    assert {k: v for k, v in found.items() if k[0] == "bad"} == {
+        ("bad", 2): ["file_rejected"], ("bad", 3): ["timestamp_invalid"], ("bad", 4): ["file_rejected"]}
+    assert [v for k, v in sorted(found.items()) if k[0] == "ok"] == [[]] * 4
+    micros = F.unix_micros("timestamp").alias("t")
+    expected = sorted(map(tuple, validate.valid_rows(checked).where("vehicle_id = 'ok'").select("row_number", micros, "odometer", "shift_state").collect()))
+    for rows in (validate.valid_rows(whole), validate.valid_rows(validate.strict_files(checked))):
+        assert sorted(map(tuple, rows.select("row_number", micros, "odometer", "shift_state").collect())) == expected
+    rows, bad_files = validate.held_with_bad_files(checked, broadcast_bytes=0)
+    assert rows.join(bad_files, "source_file", "left_anti").count() == len(expected) == 4
